@@ -12,12 +12,8 @@ TREE_FAMILIES = ("XGB", "LGB", "RF")
 ENSEMBLE_MARK = "Ensemble"
 
 
-def model_family(name: Column, ensembles: bool = False) -> Column:
-    """Family of a model by the first matching fragment; ``Other`` if none matches.
-
-    With ``ensembles`` the blends form a family of their own, tested first.
-    """
-    marks = ((ENSEMBLE_MARK,) if ensembles else ()) + FAMILIES
+def model_family(name: Column, marks: tuple[str, ...] = FAMILIES) -> Column:
+    """The first of ``marks`` found in the name; ``Other`` if there is none."""
     return F.coalesce(*[F.when(name.contains(m), F.lit(m)) for m in marks], F.lit("Other"))
 
 

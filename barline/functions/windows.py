@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 SERIES = ("symbol",)
@@ -25,36 +25,47 @@ def trailing(n: int, by: Sequence[str] = SERIES, order: str = "date") -> WindowS
     return series(by, order).rowsBetween(-(n - 1), 0)
 
 
-def _mean(x: Column, w: WindowSpec, n: int) -> Column:
-    return F.avg(x).over(w)
+def by_series(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
+    """Spread the series over all shuffle partitions.
 
-
-def _std(x: Column, w: WindowSpec, n: int) -> Column:
-    return F.stddev_samp(x).over(w)
+    Window stages cost far more time per byte than a shuffle expects, so the number of
+    partitions is stated and adaptive execution does not merge them by size.  Every later window
+    by series reuses this exchange.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def _max(x: Column, w: WindowSpec, n: int) -> Column:
-    return F.max(x).over(w)
+# Aggregates over a frame; skewness and kurtosis are computed from the collected frame instead.
+STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
+MOMENT_STATISTICS = ("skew", "kurt")
 
 
-def _min(x: Column, w: WindowSpec, n: int) -> Column:
-    return F.min(x).over(w)
+def rolling_stat(x: Column, stat: str, n: int, by: Sequence[str] = SERIES, order: str = "date") -> Column:
+    """``stat`` over the last ``n`` rows, NULL unless all ``n`` values are present."""
+    w = trailing(n, by, order)
+    return F.when(F.count(x).over(w) == n, STATISTICS[stat](x).over(w))
 
 
-def _skew(x: Column, w: WindowSpec, n: int) -> Column:
-    # Spark's skewness is the population one; the factor makes it the bias-corrected one.
-    return F.skewness(x).over(w) * F.lit((n * (n - 1)) ** 0.5 / (n - 2))
+def central_sums(values: Column, mean: Column) -> Column:
+    """Sums of the second, third and fourth powers of the deviations from ``mean``."""
+    start = F.struct(F.lit(0.0).alias("m2"), F.lit(0.0).alias("m3"), F.lit(0.0).alias("m4"))
 
+    def step(acc: Column, v: Column) -> Column:
+        d = v - mean
+        return F.struct(
+            (acc["m2"] + d * d).alias("m2"), (acc["m3"] + d * d * d).alias("m3"), (acc["m4"] + d * d * d * d).alias("m4")
+        )
 
-def _kurt(x: Column, w: WindowSpec, n: int) -> Column:
-    factor = (n - 1) / ((n - 2) * (n - 3))
-    return (F.kurtosis(x).over(w) * F.lit(float(n + 1)) + F.lit(6.0)) * F.lit(factor)
+    return F.aggregate(values, start, step)
 
 
-STATISTICS = {"mean": _mean, "std": _std, "max": _max, "min": _min, "skew": _skew, "kurt": _kurt}
+def skew_of(sums: Column, n: int) -> Column:
+    """Bias-corrected skewness of ``n`` values."""
+    scale = (n * (n - 1)) ** 0.5 / (n - 2)
+    return F.try_divide(sums["m3"] / n, F.pow(sums["m2"] / n, F.lit(1.5))) * F.lit(scale)
 
 
-def rolling_stat(x: Column, stat: str, n: int, by: Sequence[str] = SERIES, order: str = "date") -> Column:
-    """``stat`` over the last ``n`` rows, NULL unless all ``n`` values are present."""
-    w = trailing(n, by, order)
-    return F.when(F.count(x).over(w) == n, STATISTICS[stat](x, w, n))
+def kurt_of(sums: Column, n: int) -> Column:
+    """Bias-corrected excess kurtosis of ``n`` values."""
+    excess = F.try_divide(sums["m4"] * n, sums["m2"] * sums["m2"]) - 3
+    return (excess * F.lit(float(n + 1)) + F.lit(6.0)) * F.lit((n - 1) / ((n - 2) * (n - 3)))

@@ -12,7 +12,17 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.windows import SERIES, rolling_stat, series
+from barline.functions.windows import (
+    MOMENT_STATISTICS,
+    SERIES,
+    STATISTICS,
+    central_sums,
+    kurt_of,
+    rolling_stat,
+    series,
+    skew_of,
+    trailing,
+)
 
 LABEL = "next_5day_return"
 KEYS = ("symbol", "date")
@@ -124,10 +134,6 @@ def lag_columns(column: str, ks: Iterable[int] = LAGS, by: Sequence[str] = SERIE
     return {f"{column}_lag{k}": F.lag(column, k).over(series(by)) for k in ks}
 
 
-def rolling_columns(column: str, stat: str, windows: Iterable[int] = WINDOWS, by: Sequence[str] = SERIES) -> Columns:
-    return {f"{column}_{stat}_{n}": rolling_stat(F.col(column), stat, n, by) for n in windows}
-
-
 def indicator_motion_columns(names: Iterable[str], by: Sequence[str] = SERIES) -> Columns:
     """First differences; ``rsi_14`` gives ``rsi_momentum``."""
     return {f"{n.split('_')[0]}_momentum": F.col(n) - F.lag(n, 1).over(series(by)) for n in names}
@@ -199,10 +205,48 @@ def lags(df: DataFrame, columns: Iterable[str], ks: Iterable[int] = LAGS, by: Se
 
 
 def rolling(
-    df: DataFrame, column: str, stat: str, windows: Iterable[int] = WINDOWS, by: Sequence[str] = SERIES
+    df: DataFrame,
+    column: str,
+    stats: str | Sequence[str],
+    windows: Iterable[int] = WINDOWS,
+    by: Sequence[str] = SERIES,
 ) -> DataFrame:
-    """Trailing ``mean``, ``std``, ``max``, ``min``, ``skew`` or ``kurt`` over full windows."""
-    return df.withColumns(dict(rolling_columns(column, stat, windows, by)))
+    """Trailing ``mean``, ``std``, ``max``, ``min``, ``skew`` or ``kurt``; NULL unless the window is full.
+
+    All statistics of a window share one count.  Skewness and kurtosis need four rows or more;
+    they are summed over the collected frame, whose length is the longest window.
+    """
+    stats = (stats,) if isinstance(stats, str) else tuple(stats)
+    windows = tuple(windows)
+    moments = [s for s in stats if s in MOMENT_STATISTICS]
+    plain = [s for s in stats if s not in MOMENT_STATISTICS]
+    needed = plain + [s for s in ("mean", "std") if moments and s not in plain]
+    x = F.col(column)
+    frames: dict[str, Column] = {}
+    for n in windows:
+        w = trailing(n, by)
+        frames[f"_n_{n}"] = F.count(x).over(w)
+        frames.update({f"_{s}_{n}": STATISTICS[s](x).over(w) for s in needed})
+    if moments:
+        frames["_recent"] = F.collect_list(x).over(trailing(max(windows), by))
+    framed = df.withColumns(frames)
+    long = [n for n in windows if n > 3]
+    if moments:
+        framed = framed.withColumns(
+            {
+                f"_sums_{n}": F.when(
+                    (F.col(f"_n_{n}") == n) & (F.col(f"_std_{n}") > 0),
+                    central_sums(F.slice("_recent", -n, n), F.col(f"_mean_{n}")),
+                )
+                for n in long
+            }
+        )
+    added = {f"{column}_{s}_{n}": F.when(F.col(f"_n_{n}") == n, F.col(f"_{s}_{n}")) for s in plain for n in windows}
+    if "skew" in moments:
+        added.update({f"{column}_skew_{n}": skew_of(F.col(f"_sums_{n}"), n) for n in long})
+    if "kurt" in moments:
+        added.update({f"{column}_kurt_{n}": kurt_of(F.col(f"_sums_{n}"), n) for n in long})
+    return framed.withColumns(added).drop(*frames, *[f"_sums_{n}" for n in long])
 
 
 def indicator_motion(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
@@ -232,57 +276,56 @@ def cross_features(df: DataFrame) -> DataFrame:
 
 def feature_table(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     """The rich feature set: 139 columns, the label among them, on bars with indicators."""
-    from_bars: dict[str, Column] = {
-        **label_columns(LOOKAHEAD, by),
-        **price_shape_columns(),
-        **return_columns(by),
-        **lag_columns("close", LAGS, by),
-        **momentum_columns(MOMENTUM_PERIODS, by),
-        **ma_distance_columns(),
-        **sma_cross_columns(),
-        **bollinger_columns(),
-        **spread_columns(),
-        **indicator_motion_columns(("rsi_14", "cci_14", "macd", "atr_14"), by),
-        **indicator_mean_columns(by),
-        **calendar_columns(),
-    }
-    for stat in ("max", "min", "mean"):
-        from_bars.update(rolling_columns("close", stat, WINDOWS, by))
-    from_bars.update(rolling_columns("volume", "mean", WINDOWS, by))
-
-    from_returns: dict[str, Column] = dict(lag_columns("return", LAGS, by))
-    for stat in ("mean", "std"):
-        from_returns.update(rolling_columns("return", stat, WINDOWS, by))
-    for stat in ("skew", "kurt"):
-        from_returns.update(rolling_columns("return", stat, [n for n in WINDOWS if n >= 5], by))
-
+    df = df.withColumns(
+        {
+            **label_columns(LOOKAHEAD, by),
+            **price_shape_columns(),
+            **return_columns(by),
+            **lag_columns("close", LAGS, by),
+            **{f"_volume_lag{k}": F.lag("volume", k).over(series(by)) for k in MOMENTUM_PERIODS},
+            **ma_distance_columns(),
+            **sma_cross_columns(),
+            **bollinger_columns(),
+            **spread_columns(),
+            **indicator_motion_columns(("rsi_14", "cci_14", "macd", "atr_14"), by),
+            **indicator_mean_columns(by),
+            **calendar_columns(),
+        }
+    )
+    df = df.withColumns(
+        {
+            **{f"price_momentum_{k}": _over("close", f"close_lag{k}") - 1 for k in MOMENTUM_PERIODS},
+            **{f"volume_momentum_{k}": _over("volume", f"_volume_lag{k}") - 1 for k in MOMENTUM_PERIODS},
+            **lag_columns("return", LAGS, by),
+        }
+    ).drop(*[f"_volume_lag{k}" for k in MOMENTUM_PERIODS])
+    df = rolling(df, "close", ("max", "min", "mean"), WINDOWS, by)
+    df = rolling(df, "volume", "mean", WINDOWS, by)
+    df = rolling(df, "return", ("mean", "std", "skew", "kurt"), WINDOWS, by)
     # The volatility of a window is the rolling deviation already computed.
-    volatility_names = {f"volatility_{n}": F.col(f"return_std_{n}") for n in VOLATILITY_WINDOWS}
-    from_rolling = {**volatility_ratio_columns(), **cross_columns()}
-    return df.withColumns(from_bars).withColumns(from_returns).withColumns(volatility_names).withColumns(from_rolling)
+    df = df.withColumns({f"volatility_{n}": F.col(f"return_std_{n}") for n in VOLATILITY_WINDOWS})
+    return df.withColumns({**volatility_ratio_columns(), **cross_columns()})
 
 
 def lean_feature_table(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     """The lean feature set; indicators missing from the input are left out.  Rows with a NULL go."""
     present = [n for n in LEAN_INDICATORS if n in df.columns]
-    motion = {f"{n}_momentum": F.col(n) - F.lag(n, 1).over(series(by)) for n in present}
     calendar = calendar_columns()
     momenta = momentum_columns(LEAN_MOMENTUM, by)
-    from_bars = {
-        **label_columns(LOOKAHEAD, by),
-        "return": return_columns(by)["return"],
-        **motion,
-        **ma_distance_columns([n for n in LEAN_AVERAGES if n in df.columns]),
-        **{n: c for n, c in momenta.items() if n.startswith("price")},
-        **{n: calendar[n] for n in LEAN_CALENDAR},
-    }
-    from_returns = {
-        **lag_columns("return", LEAN_LAGS, by),
-        **rolling_columns("return", "mean", LEAN_WINDOWS, by),
-        **rolling_columns("return", "std", LEAN_WINDOWS, by),
-    }
-    same = {f"volatility_{n}": F.col(f"return_std_{n}") for n in LEAN_VOLATILITY}
-    return df.withColumns(from_bars).withColumns(from_returns).withColumns(same).dropna("any")
+    df = df.withColumns(
+        {
+            **label_columns(LOOKAHEAD, by),
+            "return": return_columns(by)["return"],
+            **{f"{n}_momentum": F.col(n) - F.lag(n, 1).over(series(by)) for n in present},
+            **ma_distance_columns([n for n in LEAN_AVERAGES if n in df.columns]),
+            **{n: c for n, c in momenta.items() if n.startswith("price")},
+            **{n: calendar[n] for n in LEAN_CALENDAR},
+        }
+    )
+    df = df.withColumns(dict(lag_columns("return", LEAN_LAGS, by)))
+    df = rolling(df, "return", ("mean", "std"), LEAN_WINDOWS, by)
+    df = df.withColumns({f"volatility_{n}": F.col(f"return_std_{n}") for n in LEAN_VOLATILITY})
+    return df.dropna("any")
 
 
 def feature_columns(df: DataFrame, dropped: Iterable[str] = ()) -> list[str]:

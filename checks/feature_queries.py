@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from barline.operators import blocks, features, fill, split
 from barline.operators.features import LAGS, MOMENTUM_PERIODS, VOLATILITY_WINDOWS, WINDOWS
-from barline.operators.indicators import add_indicators
 from barline.sources.bars import INDICATOR_COLUMNS, PRICE_COLUMNS, bars_from_trades
 from checks import panels as p
 from checks.registry import fixed, fixed_sql, query, shaped, shaped_sql
@@ -35,12 +34,12 @@ def over_returns(columns: dict, digits) -> str:
 
 @query(p.with_sql(SUPPLIER) + shaped_sql("bars", KEYS, PRICE_COLUMNS))
 def bars_by_supplier(spark, sf):
-    return shaped(p.bars(spark, sf), KEYS, PRICE_COLUMNS)
+    return shaped(p.lineitem_bars(p.table(spark, sf, "lineitem"), "l_suppkey"), KEYS, PRICE_COLUMNS)
 
 
 @query(p.with_sql(FLAG) + shaped_sql("bars", KEYS, PRICE_COLUMNS))
 def bars_by_return_flag(spark, sf):
-    return shaped(p.bars(spark, sf, "flag"), KEYS, PRICE_COLUMNS)
+    return shaped(p.lineitem_bars(p.table(spark, sf, "lineitem"), "l_returnflag"), KEYS, PRICE_COLUMNS)
 
 
 @query(

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline.functions.windows import by_series
 from barline.operators import features, fill, split
 from barline.operators.features import MOMENTUM_PERIODS, VOLATILITY_WINDOWS, WINDOWS
 from barline.operators.indicators import add_indicators
@@ -23,7 +24,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def bars(spark: SparkSession, sf: str, panel: str = "supplier") -> DataFrame:
-    return lineitem_bars(table(spark, sf, "lineitem"), SYMBOLS[panel])
+    """Bars spread by series, ready for window stages."""
+    return by_series(lineitem_bars(table(spark, sf, "lineitem"), SYMBOLS[panel]))
 
 
 def lineitem_bars(trades: DataFrame, symbol: str) -> DataFrame:
