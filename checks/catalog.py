@@ -1,4 +1,4 @@
 """All registered queries; importing the modules fills the registry."""
 
-from checks import feature_queries  # noqa: F401
+from checks import evaluation_queries, feature_queries  # noqa: F401
 from checks.registry import ORACLES, QUERIES  # noqa: F401
