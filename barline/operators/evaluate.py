@@ -89,9 +89,8 @@ def class_balance(predictions: DataFrame, by: By = ()) -> DataFrame:
 def _by_score(predictions: DataFrame, by: By) -> DataFrame:
     """Ups and downs per distinct forecast of a model, with those of all smaller forecasts."""
     up = F.col("y") > 0
-    return running_totals(
-        predictions, [*by, "model"], "yhat", {"pos": F.count_if(up), "neg": F.count_if(~up)}
-    )
+    counts = {"pos": F.count_if(up), "neg": F.count_if(~up)}
+    return running_totals(predictions, [*by, "model"], "yhat", counts, bounded="symbol" in by)
 
 
 def roc_auc(predictions: DataFrame, by: By = ()) -> DataFrame:

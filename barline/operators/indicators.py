@@ -44,7 +44,8 @@ def exponential_means(df: DataFrame, column: str, spans: Sequence[int], by: Sequ
     def mean(n: int, q: float) -> Column:
         carried = F.aggregate(f"_ends_{n}", F.lit(0.0), lambda acc, end: acc * F.lit(q**SEGMENT) + end)
         total = F.col(f"_local_{n}") + carried * F.pow(F.lit(q), F.col("_j") + 1)
-        return total * F.lit(1 - q) / (F.lit(1.0) - F.pow(F.lit(q), F.col("_pos") + 1))
+        weight = (F.lit(1.0) - F.pow(F.lit(q), F.col("_pos") + 1)) / F.lit(1 - q)
+        return total / weight
 
     added = ended.withColumns({f"ema_{n}": mean(n, q) for n, q in decay.items()})
     return added.drop("_pos", "_seg", "_j", *[f"_local_{n}" for n in spans], *[f"_ends_{n}" for n in spans])

@@ -17,31 +17,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 256  # wanted borders per group; a group's border array stays around this length
+SEARCH = [1 << i for i in reversed(range(12))]  # halving steps of the border search
+
+
+def _borders_below(borders: str, value: str) -> Column:
+    """How many of the sorted borders are smaller than ``value``, by halving."""
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in SEARCH]),
+        F.lit(0),
+        lambda at, step: F.when(F.get(borders, at + step - 1) < F.col(value), at + step).otherwise(at),
+    )
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], value: str, totals: Mapping[str, Column], buckets: int = BUCKETS
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    counts: Mapping[str, Column],
+    buckets: int = BUCKETS,
+    bounded: bool = False,
 ) -> DataFrame:
-    """One row per distinct ``value`` of a group, with totals of its own rows and of all rows below.
+    """One row per distinct ``value`` of a group, with counts of its own rows and of all rows below.
 
-    ``totals`` maps a name to an aggregate of the input rows.  The result has ``by``, ``value``,
-    each name, ``<name>_before`` (rows with a smaller value) and ``<name>_all`` (the group).
+    ``counts`` maps names to counts which together cover every input row.  The result has ``by``,
+    ``value``, each name, ``<name>_before`` (rows with a smaller value) and ``<name>_all`` (the
+    group).  ``bounded`` states that no group outgrows a task, as with one series and its
+    calendar; a plain window then does.
     """
-    names = list(totals)
-    distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(n) for n, c in totals.items()])
+    names = list(counts)
+    distinct = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(*[c.alias(n) for n, c in counts.items()])
+    if bounded:
+        smaller = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        group = Window.partitionBy(*by)
+        return distinct.withColumns(
+            {f"{n}_before": F.coalesce(F.sum(n).over(smaller), F.lit(0)) for n in names}
+            | {f"{n}_all": F.sum(n).over(group) for n in names}
+        )
     groups = distinct.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_distinct"), *[F.sum(n).alias(f"{n}_all") for n in names]
     )
     step = F.greatest(F.ceil(F.col("_distinct") / buckets), F.lit(1))
-    chosen = distinct.join(groups, list(by)).where(F.pmod(F.xxhash64(value), step) == 0)
+    # Every distinct value has a row, so the second condition holds throughout.  It keeps all
+    # counts in this branch, which then reads the same exchange as the others.
+    some = sum((F.col(n) for n in names[1:]), F.col(names[0])) > 0
+    chosen = distinct.join(groups, list(by)).where((F.pmod(F.xxhash64(value), step) == 0) & some)
     borders = chosen.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_borders"))
     placed = (
         distinct.join(groups.drop("_distinct"), list(by))
         .join(borders, list(by), "left")
-        .withColumn(
-            "_bucket",
-            F.coalesce(F.size(F.filter("_borders", lambda b: b < F.col(value))), F.lit(0)),
-        )
+        .withColumn("_bucket", _borders_below("_borders", value))
         .drop("_borders")
     )
     below = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

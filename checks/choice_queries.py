@@ -47,12 +47,13 @@ def model_families(spark, sf):
 
 
 PARSED = f"""x AS (SELECT symbol, model, {fc.FAMILY_SQL} AS family, {fc.ROUND_SQL} AS round,
-  sizes[1] AS size_1, sizes[2] AS size_2 FROM (SELECT *, {fc.SIZES_SQL} AS sizes FROM tm))"""
+  coalesce(sizes[1], -1) AS size_1, coalesce(sizes[2], -1) AS size_2 FROM (SELECT *, {fc.SIZES_SQL} AS sizes FROM tm))"""
 
 
 @query(p.with_sql(TM, PARSED) + shaped_sql("x", (*KEYS, "family"), (), ("size_1", "size_2", "round")))
 def parsed_trial_names(spark, sf):
-    return shaped(choose.parse_trial_name(tm(spark, sf)), (*KEYS, "family"), (), ("size_1", "size_2", "round"))
+    df = choose.parse_trial_name(tm(spark, sf)).fillna(-1, ["size_1", "size_2"])
+    return shaped(df, (*KEYS, "family"), (), ("size_1", "size_2", "round"))
 
 
 @query(
