@@ -212,7 +212,7 @@ def sweep(trials: Sequence[Trial], rows: DataFrame, splits: Sequence[str] = ("va
         return predict(estimator.fit(train), scored, trial.name).withColumn("trial_id", F.lit(trial.trial_id))
 
     with ThreadPoolExecutor(parallelism) as pool:
-        found = list(pool.map(inheritable_thread_target(run), trials))
+        found = list(pool.map(inheritable_thread_target(rows.sparkSession)(run), trials))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
