@@ -35,6 +35,15 @@ def by_series(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
+def few_groups(groups: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Marks a table with one row per group for broadcast if the groups do not include series.
+
+    Such groups are models, splits or features: their number is set by a trial or column list.
+    One row per series can be any number, and is left to the optimiser.
+    """
+    return groups if set(by) & set(SERIES) else F.broadcast(groups)
+
+
 # Aggregates over a frame; skewness and kurtosis are computed from the collected frame instead.
 STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
 MOMENT_STATISTICS = ("skew", "kurt")

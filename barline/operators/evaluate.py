@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.names import SEQUENCE_FAMILIES, model_family, sizes_in_name
+from barline.functions.windows import few_groups
 from barline.operators.ordered import quantiles, running_totals
 from barline.operators.profile import bin_of, minmax
 
@@ -201,7 +202,7 @@ def residual_histogram(predictions: DataFrame, bins: int = 40, by: By = ()) -> D
     keys = [*by, "model"]
     residuals = predictions.select(*keys, (F.col("y") - F.col("yhat")).alias("residual"))
     spans = residuals.groupBy(*keys).agg(F.min("residual").alias("low"), F.max("residual").alias("high"))
-    binned = residuals.join(spans, keys).withColumn(
+    binned = residuals.join(few_groups(spans, keys), keys).withColumn(
         "bin", bin_of(F.col("residual"), F.col("low"), F.col("high"), bins)
     )
     return binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))

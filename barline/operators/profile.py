@@ -12,6 +12,7 @@ from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.functions.windows import few_groups
 from barline.operators.features import LABEL
 from barline.operators.ordered import average_ranks, quantiles
 
@@ -170,7 +171,7 @@ def minmax(df: DataFrame, columns: Sequence[str], by: Sequence[str], epsilon: fl
     spans = df.groupBy(*by).agg(
         *[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns]
     )
-    scaled = df.join(spans, list(by)).withColumns(
+    scaled = df.join(few_groups(spans, by), list(by)).withColumns(
         {
             f"{c}_scaled": F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + epsilon)
             for c in columns

@@ -40,7 +40,7 @@ def chrono_split(
             val,
         ).alias("split"),
     )
-    return df.join(cuts, "date")
+    return df.join(F.broadcast(cuts), "date")
 
 
 def time_folds(df: DataFrame, k: int = 3, by: Sequence[str] = SERIES) -> DataFrame:

@@ -279,8 +279,8 @@ def digits_of(name: str) -> int:
         return 0
     if "kurt" in name or name in p.CROSS_SQL or "_mean_" in name:
         return 3
-    exact = ("lag", "max_", "min_", "ratio", "range", "change", "price_momentum", "volume_momentum", "next_", "log_")
-    return 6 if name.startswith("close_to") or any(e in name for e in exact[:3] + exact[4:]) else 4
+    steady = ("lag", "max_", "min_", "range", "change", "momentum_", "next_", "log_", "close_to", "open_close", "high_close")
+    return 6 if any(part in name for part in steady) else 4
 
 
 FEATURES = [
