@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import decontaminate, packing, simhash_dedup
-from barline.llm.common import table
+from barline.llm import decontaminate, fingerprints, packing, simhash_dedup
+from barline.llm.common import salted_lookup, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +48,22 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item it leaks, with the covered share of the item and the tiles."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """128-bit SimHash of every document and of its edited text, and their likeness.
+
+    ``n_near`` counts the documents within 3 bits for the queries, ids divisible by 50.
+    """
+    found = stage(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")), "edited")
+    near = fingerprints.near_counts(found)
+    asked = salted_lookup(found.where("doc_id % 50 = 0"), near, "fp", "doc_id", "left")
+    rest = found.where("doc_id is null or doc_id % 50 <> 0").withColumn("n_near", F.lit(None).cast("bigint"))
+    width = 64 * len(fingerprints.SEEDS)
+    text = lambda c: F.concat(*[hex16(F.col(c)[i]) for i in range(len(fingerprints.SEEDS))])
+    like = lambda c: 1.0 - fingerprints.distance(F.col("fp"), F.col(c)) / F.lit(float(width))
+    return asked.unionByName(rest).select(
+        "doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
+        like("edited_fp").alias("near_edited"), like("next_fp").alias("near_next"), "n_near",
+    )
