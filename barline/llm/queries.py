@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import decontaminate, fingerprints, packing, simhash_dedup
+from barline.llm import decontaminate, fingerprints, packing, secret_scan, simhash_dedup
 from barline.llm.common import salted_lookup, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,3 +67,16 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_chars", "edited_sha256", text("fp").alias("fingerprint"), text("edited_fp").alias("edited_fingerprint"),
         like("edited_fp").alias("near_edited"), like("next_fp").alias("near_next"), "n_near",
     )
+
+
+@query
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each distinct text scanned once; the ledger starts empty."""
+    paths, ledger = secret_scan.scan(table(spark, sf_dir, "documents"))
+    base = [r.kind for r in secret_scan.BASE]
+    return secret_scan.findings(paths, ledger).select(
+        "doc_id",
+        *[F.size(k).cast("bigint").alias(f"n_{k}") for k in base],
+        F.sha2(secret_scan.spelled(base), 256).alias("base_sha256"),
+        secret_scan.spelled([r.kind for r in secret_scan.RULES]).alias("spans"),
+    )
