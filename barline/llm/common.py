@@ -1,16 +1,18 @@
-"""Helpers that several operators share: staged tables, salted joins, graph components, id order."""
+"""Helpers that several operators share: staged tables, joins with hot keys, graph components, texts in tasks."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.session import shared_folder
 
-SALTS = 32
+HOT_KEYS = 1000
+HOT_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,8 +26,18 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that share this file system import the package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *paths]))
+
+
 def id_text(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The two columns an operator reads, under its own names; a null text is the empty text."""
+    importable(docs.sparkSession)
     return docs.select(F.col(id_column).alias("doc_id"), F.coalesce(F.col(text_column), F.lit("")).alias("text"))
 
 
@@ -34,15 +46,20 @@ def crc_fold(id_column: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def salted_lookup(rows: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+def lookup(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join rows with a table that has one row per key, whatever share of the rows one key holds.
 
-    ``small`` is repeated ``SALTS`` times and each row looks in the copy that its ``spread`` column
-    picks, so the rows of one key are dealt to that many tasks.
+    A key is hot if it holds over a ``1 / HOT_KEYS`` share of the rows, so there are at most that many;
+    their entries are broadcast and their rows stay where they are. All other keys meet in a join. Both
+    inputs are read more than once: stage what is costly.
     """
-    left = rows.withColumn("_salt", F.pmod(F.xxhash64(F.col(spread)), F.lit(SALTS)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return left.join(right, [key, "_salt"], how).drop("_salt")
+    least = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > least).select(key)
+    if not hot.take(1):
+        return rows.join(small, key, how)
+    hot = F.broadcast(stage(hot, "hot"))
+    few = F.broadcast(small.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(few, key, how).unionByName(rows.join(hot, key, "left_anti").join(small, key, how))
 
 
 def components(nodes: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
@@ -61,13 +78,19 @@ def components(nodes: DataFrame, links: DataFrame, rounds: int = 100) -> DataFra
             linked = step.drop("moved")
             break
         up = step.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        linked = stage(salted_lookup(step.drop("moved"), up, "label", "node").select("node", F.least("label", "above").alias("label")), "labels")
+        linked = stage(lookup(step.drop("moved"), up, "label").select("node", F.least("label", "above").alias("label")), "labels")
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     return nodes.join(linked, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
 
 
-def texts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str]]]:
-    """Ids and texts of every Arrow batch."""
-    for batch in batches:
-        yield batch.column("doc_id"), ["" if t is None else t for t in batch.column("text").to_pylist()]
+def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Parts of an Arrow batch, so that few texts are Python objects at a time."""
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def texts_in(batch: pa.RecordBatch) -> Iterator[str]:
+    """The texts of a batch, one after the other."""
+    for part in slices(batch):
+        yield from part.column("text").to_pylist()

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import id_text
+from barline.llm.common import id_text, texts_in
 
 WORD = re.compile(r"\w+")
 BASE = np.uint64(1_000_003)
@@ -144,7 +144,7 @@ def _finder(index: Index, min_match: int, coverage: float):
         tile = pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("length", pa.int32())]))
         for batch in batches:
             at, item_ids, shares, runs = [], [], [], []
-            for row, text in enumerate(batch.column("text").to_pylist()):
+            for row, text in enumerate(texts_in(batch)):
                 for n, found in index.matches(text).items():
                     item, ids = index.items[n]
                     marked = tiles(found, min(min_match, len(ids)))

@@ -11,14 +11,14 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.llm.common import id_text, stage
+from barline.llm.common import id_text, stage, texts_in
 
 CAPACITY = 4096
 END = 1
@@ -56,16 +56,18 @@ class Encoder:
                 self.known[chunk] = raw[last:end]
                 last = end
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        at = 0
-        while at < len(texts):
-            size, group = 0, []
-            while at < len(texts) and size < 4_000_000:
-                raw = texts[at].encode("utf-8", "surrogatepass")
+    def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
+        """Little-endian unsigned 32-bit ids of each text; about 2 MB of texts are held at a time."""
+        left, more = iter(texts), True
+        while more:
+            size, group, more = 0, [], False
+            for text in left:
+                raw = text.encode("utf-8", "surrogatepass")
                 group.append((raw if b"<|" in raw else raw.lower()).split())
                 size += len(raw)
-                at += 1
+                if size > 2_000_000:
+                    more = True
+                    break
             new = list(set().union(*group).difference(self.known))
             kept = max(0, self.most - len(self.known))
             self.learn(new)
@@ -88,7 +90,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column:
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows, piece, start, length, crc = [], [], [], [], []
-            for row, ids in enumerate(encoder(batch.column("text").to_pylist())):
+            for row, ids in enumerate(encoder(texts_in(batch))):
                 ids += end
                 for n, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import id_text, salted_lookup, stage
+from barline.llm.common import id_text, lookup, stage
 
 
 @dataclass(frozen=True)
@@ -112,8 +112,8 @@ def findings(paths: DataFrame, ledger: DataFrame, rules: Sequence[Rule] = RULES)
     wanted = {r.kind: r.version for r in rules}
     current = F.coalesce(*[F.when(F.col("kind") == k, F.col("version") == v) for k, v in wanted.items()], F.lit(False))
     hits = ledger.where(current & (F.size("spans") > 0))
-    wide = hits.groupBy("blob").agg(*[F.first(F.when(F.col("kind") == k, F.col("spans")), True).alias(k) for k in wanted])
-    joined = salted_lookup(paths, wide, "blob", "doc_id", "left")
+    wide = stage(hits.groupBy("blob").agg(*[F.first(F.when(F.col("kind") == k, F.col("spans")), True).alias(k) for k in wanted]), "hits")
+    joined = lookup(paths, wide, "blob", "left")
     return joined.select("doc_id", "blob", *[F.coalesce(F.col(k), F.array().cast(SPANS)).alias(k) for k in wanted])
 
 

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import components, id_text, salted_lookup, stage
+from barline.llm.common import components, id_text, lookup, stage, texts_in
 
 BITS = 64
 STEP = 6  # bits per step of the walk: a pair of nodes has at most 2**12 pairs of children
@@ -37,8 +37,8 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     count = max(1, len(words) - shingle + 1)
     hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=42), parts), np.uint64, count)
     votes = np.zeros(BITS, np.int64)
-    for at in range(0, count, 65536):
-        votes += np.unpackbits(hashes[at : at + 65536].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    for at in range(0, count, 4096):
+        votes += np.unpackbits(hashes[at : at + 4096].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(votes * 2 > count, bitorder="little").view("<u8")[0])
 
 
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t, shingle) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+            found = np.fromiter((fingerprint(t, shingle) for t in texts_in(batch)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     source = id_text(docs, id_column, text_column)
@@ -111,8 +111,8 @@ def near_duplicates(
     label = components(nodes.select(F.col("fp").alias("node")), links(nodes.select("fp"), budget)).withColumnRenamed("node", "fp")
     label = stage(label.join(nodes, "fp"), "label")
     group = label.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = stage(salted_lookup(label.select("fp", "label"), group, "label", "fp").select("fp", "component_id"), "named")
-    return salted_lookup(rows, named, "fp", "doc_id").select("doc_id", "fp", "component_id")
+    named = stage(lookup(label.select("fp", "label"), group, "label").select("fp", "component_id"), "named")
+    return lookup(rows, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
