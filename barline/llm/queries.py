@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import decontaminate, fingerprints, packing, secret_scan, simhash_dedup
-from barline.llm.common import salted_lookup, stage, table
+from barline.llm import decontaminate, fingerprints, packing, secret_scan, simhash_dedup, toxicity
+from barline.llm.common import lookup, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,7 +58,7 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     found = stage(fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")), "edited")
     near = fingerprints.near_counts(found)
-    asked = salted_lookup(found.where("doc_id % 50 = 0"), near, "fp", "doc_id", "left")
+    asked = lookup(found.where("doc_id % 50 = 0"), stage(near, "near"), "fp", "left")
     rest = found.where("doc_id is null or doc_id % 50 <> 0").withColumn("n_near", F.lit(None).cast("bigint"))
     width = 64 * len(fingerprints.SEEDS)
     text = lambda c: F.concat(*[hex16(F.col(c)[i]) for i in range(len(fingerprints.SEEDS))])
@@ -80,3 +80,9 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secret_scan.spelled(base), 256).alias("base_sha256"),
         secret_scan.spelled([r.kind for r in secret_scan.RULES]).alias("spans"),
     )
+
+
+@query
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned from the labels outside the held-out fold."""
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
