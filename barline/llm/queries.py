@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import decontaminate, fingerprints, html_text, packing, sanitise, secret_scan, simhash_dedup, toxicity
+from barline.llm import decontaminate, fingerprints, html_text, language_model, packing, sanitise, secret_scan, simhash_dedup, toxicity
 from barline.llm.common import lookup, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,9 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *[count(k) for k in sanitise.KINDS], F.sha2(sanitise.span_list("base"), 256).alias("base_sha256"), sanitise.span_list("base", "terms").alias("spans")
     )
+
+
+@query
+def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram base and recurrent model's log10 probability of every document."""
+    return language_model.score(table(spark, sf_dir, "documents"))
