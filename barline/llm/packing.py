@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -29,52 +30,106 @@ Config = tuple[tuple[int, int], ...]  # (length, how often), longest first
 # ---- tokens ---------------------------------------------------------------------------------------
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte to letter as byte-level tokenizers write them: printable bytes stand for themselves, the
+    others, in order, for the letters from 256 on. The line end is left out; it parts words here."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest) if b != 10}
+
+
 class Encoder:
     """Ids of whole texts, with the ids of the chunks between ASCII white space kept.
 
     The tokenizer never joins across white space and folds case, so a text's ids are those of its
-    lower-cased chunks in order (tested against whole texts). Case is left alone where a special token
-    might stand. ``most`` bounds the chunks that are kept from one group of texts to the next.
+    lower-cased chunks in order. Of a chunk that is a word with punctuation behind it, the two are
+    encoded apart, as the tokenizer parts them; plain words skip the splitting rules and go straight to
+    the model, as letters of bytes. All of this is tested against whole texts. Case is left alone where
+    a special token might stand. ``most`` bounds the chunks that are kept from one group of texts to
+    the next.
     """
 
+    PUNCTUATION = ".,;:!?"
+
     def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.letters = _byte_letters()
         self.most = most
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, chunks: list[bytes], size: int = 512) -> None:
-        """Encode many chunks at once, parted by line ends, and cut the ids at the chunks' borders."""
-        for at in range(0, len(chunks), size):
-            part = [c.decode("utf-8", "surrogatepass") for c in chunks[at : at + size]]
+    def _words(self, words: list[str], size: int = 512) -> Iterator[bytes]:
+        """Ids of lower-case words of letters only."""
+        for at in range(0, len(words), size):
+            part = words[at : at + size]
+            encoded = self.plain.encode("\n".join(part).encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
+            cut = np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(1, len(part) + 1), "left") * 4
+            raw, last = np.array(encoded.ids, "<u4").tobytes(), 0
+            for end in cut.tolist():
+                yield raw[last:end]
+                last = end
+
+    def _pieces(self, texts: list[str], size: int = 256) -> Iterator[bytes]:
+        """Ids of texts without line ends, encoded together and cut at the texts' borders."""
+        for at in range(0, len(texts), size):
+            part = texts[at : at + size]
             encoded = self.tokenizer.encode("\n".join(part), add_special_tokens=False)
             starts = np.array([o[0] for o in encoded.offsets], np.int64)
             cut = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in part]), "left") * 4
             raw, last = np.array(encoded.ids, "<u4").tobytes(), 0
-            for chunk, end in zip(chunks[at : at + size], cut.tolist()):
-                self.known[chunk] = raw[last:end]
+            for end in cut.tolist():
+                yield raw[last:end]
                 last = end
 
+    def learn(self, chunks: list[bytes]) -> None:
+        plain: dict[str, list[tuple[bytes, str]]] = {}
+        other: dict[str, bytes] = {}
+        for chunk in chunks:
+            text = chunk.decode("utf-8", "surrogatepass")
+            word = text.rstrip(self.PUNCTUATION)
+            low = word.lower()
+            if low.isalpha() and word.isalpha() and (word.isascii() or (is_normalized("NFC", word) and is_normalized("NFC", low) and "\u03a3" not in word)):
+                tail = text[len(word) :]
+                plain.setdefault(low, []).append((chunk, tail))
+                if tail:
+                    other[tail] = b""
+            else:
+                other[text] = b""
+        other = dict(zip(other, self._pieces(list(other))))
+        for ids, uses in zip(self._words(list(plain)), plain.values()):
+            for chunk, tail in uses:
+                self.known[chunk] = ids + other[tail] if tail else ids
+        for text, ids in other.items():
+            self.known[text.encode("utf-8", "surrogatepass")] = ids
+
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; about 2 MB of texts are held at a time."""
         left, more = iter(texts), True
         while more:
-            size, group, more = 0, [], False
+            size, group, new, more = 0, [], set(), False
             for text in left:
                 raw = text.encode("utf-8", "surrogatepass")
-                group.append((raw if b"<|" in raw else raw.lower()).split())
+                chunks = (raw if b"<|" in raw else raw.lower()).split()
+                ids = list(map(self.known.get, chunks))
+                gaps = [(n, chunks[n]) for n, i in enumerate(ids) if i is None] if None in ids else ()
+                new.update(c for _, c in gaps)
+                group.append((ids, gaps) if gaps else (b"".join(ids), gaps))
                 size += len(raw)
                 if size > 2_000_000:
                     more = True
                     break
-            new = list(set().union(*group).difference(self.known))
-            kept = max(0, self.most - len(self.known))
-            self.learn(new)
-            for chunks in group:
-                yield b"".join(map(self.known.__getitem__, chunks))
-            for chunk in new[kept:]:
-                del self.known[chunk]
+            before = len(self.known)
+            self.learn(list(new))
+            for ids, gaps in group:
+                for n, chunk in gaps:
+                    ids[n] = self.known[chunk]
+                yield b"".join(ids) if gaps else ids
+            surplus = len(self.known) - max(before, self.most)
+            for _ in range(surplus):
+                self.known.popitem()  # the newest
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -135,7 +190,7 @@ def best_config(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> Config
     return tuple(sorted(out.items(), reverse=True))
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 120, rate: float = 0.3) -> dict[Config, float]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 60, rate: float = 0.3) -> dict[Config, float]:
     """Fractional cover of the histogram by configurations, by multiplicative weights.
 
     A length's weight falls as it gets covered. The configuration priced best is used as often as it
@@ -197,7 +252,7 @@ def best_fit(rest: Counter, capacity: int) -> Counter:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, solves: int = 6, rounds: int = 120) -> Counter:
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, solves: int = 5, rounds: int = 60) -> Counter:
     """Configurations and how many sequences use each; together they hold exactly the histogram."""
     rest = Counter({n: c for n, c in histogram.items() if c})
     out: Counter = Counter()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.llm import decontaminate, fingerprints, html_text, language_model, packing, sanitise, secret_scan, simhash_dedup, toxicity
+from barline.llm import decontaminate, fingerprints, html_text, language_model, packing, sanitise, secret_scan, simhash_dedup, suffix_dedup, toxicity
 from barline.llm.common import lookup, stage, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,13 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram base and recurrent model's log10 probability of every document."""
     return language_model.score(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of 100-byte strings that start earlier too."""
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
