@@ -90,7 +90,8 @@ def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at, rows)
 
 
-def texts_in(batch: pa.RecordBatch) -> Iterator[str]:
-    """The texts of a batch, one after the other."""
+def texts_in(batch: pa.RecordBatch, column: str = "text") -> Iterator[str]:
+    """The texts of a batch, one after the other; a null is the empty text."""
     for part in slices(batch):
-        yield from part.column("text").to_pylist()
+        for text in part.column(column).to_pylist():
+            yield "" if text is None else text

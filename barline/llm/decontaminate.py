@@ -12,6 +12,7 @@ import heapq
 import re
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -126,17 +127,29 @@ def leaks(
     document row or item gives its rows again once per pair of ids.
     """
     source = id_text(docs, id_column, text_column)
-    wanted = items.select(F.col("item_id").alias("item_id"), F.col("text").alias("text")).where("text is not null").distinct()
+    schema = f"doc_id {dict(source.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, coverage double, n_tiles int, tiles array<struct<doc_word:int,item_word:int,length:int>>"
+    parts = [source.mapInArrow(_finder(index, min_match, coverage), schema) for index in _indexes(items, min_match, block_bytes)]
+    return reduce(DataFrame.unionByName, parts).dropDuplicates(["doc_id", "item_id"])
+
+
+def _indexes(items: DataFrame, min_match: int, block_bytes: int) -> Iterator[Index]:
+    """The items in blocks of about ``block_bytes``, one block at a time on the driver."""
+    wanted = items.where("text is not null").select("item_id", "text").distinct()
     size = wanted.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // block_bytes))
-    schema = f"doc_id {dict(source.dtypes)['doc_id']}, item_id {dict(wanted.dtypes)['item_id']}, coverage double, n_tiles int, tiles array<struct<doc_word:int,item_word:int,length:int>>"
-    out = None
     for block in range(blocks):
         own = wanted.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        index = Index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], min_match)
-        part = source.mapInArrow(_finder(index, min_match, coverage), schema)
-        out = part if out is None else out.unionByName(part)
-    return out.dropDuplicates(["doc_id", "item_id"])
+        yield Index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").collect()], min_match)
+
+
+def _leaked(index: Index, text: str, min_match: int, coverage: float) -> Iterator[tuple[int, float, list[tuple[int, int, int]]]]:
+    """Item, covered share and tiles of every item that ``text`` leaks."""
+    for n, found in index.matches(text).items():
+        item, ids = index.items[n]
+        marked = tiles(found, min(min_match, len(ids)))
+        share = sum(t[2] for t in marked) / len(ids)
+        if share >= coverage:
+            yield item, share, sorted(marked)
 
 
 def _finder(index: Index, min_match: int, coverage: float):
@@ -145,15 +158,11 @@ def _finder(index: Index, min_match: int, coverage: float):
         for batch in batches:
             at, item_ids, shares, runs = [], [], [], []
             for row, text in enumerate(texts_in(batch)):
-                for n, found in index.matches(text).items():
-                    item, ids = index.items[n]
-                    marked = tiles(found, min(min_match, len(ids)))
-                    share = sum(t[2] for t in marked) / len(ids)
-                    if share >= coverage:
-                        at.append(row)
-                        item_ids.append(item)
-                        shares.append(share)
-                        runs.append([{"doc_word": a, "item_word": b, "length": c} for a, b, c in sorted(marked)])
+                for item, share, marked in _leaked(index, text, min_match, coverage):
+                    at.append(row)
+                    item_ids.append(item)
+                    shares.append(share)
+                    runs.append([{"doc_word": a, "item_word": b, "length": c} for a, b, c in marked])
             if at:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").take(pa.array(at)), pa.array(item_ids, pa.int64()), pa.array(shares, pa.float64()), pa.array([len(r) for r in runs], pa.int32()), pa.array(runs, tile)],
@@ -163,7 +172,18 @@ def _finder(index: Index, min_match: int, coverage: float):
     return find
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float = 0.8) -> DataFrame:
-    """``docs`` without the documents that leak an item; documents with a null id are kept."""
-    found = leaks(docs, items, min_match, coverage).select("doc_id").distinct()
-    return docs.join(found.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+def decontaminate(
+    docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float = 0.8, block_bytes: int = BLOCK_BYTES, text_column: str = "text"
+) -> DataFrame:
+    """``docs`` without the rows that leak an item; all columns stay and no row is shuffled."""
+    for index in _indexes(items, min_match, block_bytes):
+        docs = docs.mapInArrow(_sieve(index, min_match, coverage, text_column), docs.schema)
+    return docs
+
+
+def _sieve(index: Index, min_match: int, coverage: float, text_column: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([next(_leaked(index, t, min_match, coverage), None) is None for t in texts_in(batch, text_column)], pa.bool_()))
+
+    return run

@@ -174,6 +174,18 @@ def anchors(documents: Sequence[bytes], length: int = LENGTH) -> tuple[np.ndarra
     return document, at - offsets[document], grams[at].view(np.int64), context.view(np.int64)
 
 
+def _parted(document: bytes, length: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Place, anchor and context hash of a very long document, a part at a time; parts overlap by more
+    than an anchor looks at, so they have the anchors of the whole."""
+    margin = 3 * length
+    for at in range(0, len(document), GROUP_BYTES):
+        begin = max(0, at - margin)
+        _, place, gram, context = anchors([document[begin : at + GROUP_BYTES + margin]], length)
+        place = place + begin
+        own = (place >= at) & (place < at + GROUP_BYTES)
+        yield place[own], gram[own], context[own]
+
+
 # Where an anchor stands and how far its context reaches to either side, in one number.
 def _packed(place: np.ndarray, size: np.ndarray, length: int) -> np.ndarray:
     left = np.minimum(place, length - KGRAM)
@@ -218,13 +230,17 @@ def _find(length: int):
                 texts = [t.encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
                 at = 0
                 while at < len(texts):
-                    end, size = at, 0
-                    while end < len(texts) and (end == at or size < GROUP_BYTES):
+                    end, size = at + 1, len(texts[at])
+                    while end < len(texts) and size + len(texts[end]) < GROUP_BYTES:
                         size += len(texts[end])
                         end += 1
-                    document, place, gram, context = anchors(texts[at:end], length)
-                    sizes = np.array([len(t) for t in texts[at:end]], np.int64)
-                    found.append((gram, context, docs[at:end][document], ties[at:end][document], _packed(place, sizes[document], length)))
+                    if len(texts[at]) > 4 * GROUP_BYTES:
+                        for place, gram, context in _parted(texts[at], length):
+                            found.append((gram, context, np.full(len(place), docs[at]), np.full(len(place), ties[at]), _packed(place, len(texts[at]), length)))
+                    else:
+                        document, place, gram, context = anchors(texts[at:end], length)
+                        sizes = np.array([len(t) for t in texts[at:end]], np.int64)
+                        found.append((gram, context, docs[at:end][document], ties[at:end][document], _packed(place, sizes[document], length)))
                     at = end
             if not found:
                 continue
@@ -405,6 +421,8 @@ def _sort_out(length: int):
         held: list[pa.RecordBatch] = []
         count = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             at = 0
             k = batch.column("k").to_numpy()
             for cut in [*(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), None]:

@@ -223,40 +223,61 @@ def _read(rows: DataFrame, models: Models, keep: str, weights: np.ndarray | None
     return rows.select(keep, "text").mapInArrow(run, f"{keep} {dict(rows.dtypes)[keep]}, found {'double' if weights is not None else 'array<double>'}")
 
 
-def score(
-    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, curve_rows: int = CALIBRATION_ROWS,
-    id_column: str = "doc_id", text_column: str = "text",
-) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for every row of ``docs``.
+def fit(
+    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, curve_rows: int = CALIBRATION_ROWS, id_column: str = "doc_id", text_column: str = "text"
+) -> tuple[Models, np.ndarray] | float:
+    """The models and the weights of the curve, or a constant score if a class has no words to learn from.
 
-    ``labels`` (``doc_id``, ``toxic``) teach only through rows whose id has a crc32 not divisible by 5;
-    a repeated id takes its highest label. A null or empty text has no evidence for either model.
-    Without labels of both classes every score is the share of toxic labels, drawn towards a quarter by
-    two rows. The models fit on the driver: they hold the n-grams of at most ``2 * fit_rows`` texts.
+    The models fit on the driver: they hold the n-grams of at most ``2 * fit_rows`` texts.
     """
     source = id_text(docs, id_column, text_column)
     picked = stage(_sample(labels, fit_rows, curve_rows), "sample")
     rows = source.join(F.broadcast(picked), "doc_id")
-    held = (crc_fold("doc_id", FOLDS) == 0).alias("held_out")
     learned = rows.where("part < 4").select("text", "part").mapInArrow(_count_words, "word string, part int, n bigint")
     learned = learned.groupBy("word").agg(*[F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
     table = learned.orderBy("word").toPandas()
     vocabulary, counts = table["word"].tolist(), table[["n0", "n1", "n2", "n3"]].to_numpy(float)
     if not (counts[:, [0, 2]].sum() and counts[:, [1, 3]].sum()):
-        share = float(picked.agg(((F.coalesce(F.sum("toxic"), F.lit(0)) + 0.5) / (F.count(F.lit(1)) + 2)).cast("double").alias("s")).first()["s"])
-        found = source.select("doc_id", F.lit(share).alias("found"))
-    else:
-        weights = DEFAULT_CURVE
-        if (counts[:, :2].sum(0) > 0).all():
-            # The curve comes from models that have not seen its rows.
-            curve = _read(rows.where("part = 4"), Models(vocabulary, counts[:, :2]), "toxic").toPandas()
-            if curve["toxic"].nunique() == 2:
-                weights = fit_curve(np.array(curve["found"].tolist()), curve["toxic"].to_numpy(float))
-        found = _read(source, Models(vocabulary, counts[:, :2] + counts[:, 2:]), "doc_id", weights)
+        share = picked.agg(((F.coalesce(F.sum("toxic"), F.lit(0)) + 0.5) / (F.count(F.lit(1)) + 2)).cast("double").alias("s"))
+        return float(share.first()["s"])
+    weights = DEFAULT_CURVE
+    if (counts[:, :2].sum(0) > 0).all():
+        # The curve comes from models that have not seen its rows.
+        curve = _read(rows.where("part = 4"), Models(vocabulary, counts[:, :2]), "toxic").toPandas()
+        if curve["toxic"].nunique() == 2:
+            weights = fit_curve(np.array(curve["found"].tolist()), curve["toxic"].to_numpy(float))
+    return Models(vocabulary, counts[:, :2] + counts[:, 2:]), weights
+
+
+def score(
+    docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, curve_rows: int = CALIBRATION_ROWS, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for every row of ``docs``.
+
+    ``labels`` (``doc_id``, ``toxic``) teach only through rows whose id has a crc32 not divisible by 5;
+    a repeated id takes its highest label. A null or empty text has no evidence for either model.
+    Without labels of both classes every score is the share of toxic labels, drawn towards a quarter by
+    two rows.
+    """
+    fitted = fit(docs, labels, fit_rows, curve_rows, id_column, text_column)
+    source = id_text(docs, id_column, text_column)
+    found = source.select("doc_id", F.lit(fitted).alias("found")) if isinstance(fitted, float) else _read(source, fitted[0], "doc_id", fitted[1])
+    held = (crc_fold("doc_id", FOLDS) == 0).alias("held_out")
     return found.select("doc_id", held, F.col("found").alias("score"), (F.col("found") >= 0.5).cast("int").alias("predicted"))
 
 
-def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that :func:`score` predicts toxic. Rows without an id are judged by text too."""
-    toxic = score(docs, labels).where("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_toxic")), "left_anti").select(*docs.columns)
+def keep_clean(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text scores 0.5 or more; all columns stay and no row is shuffled."""
+    fitted = fit(docs, labels, id_column=id_column, text_column=text_column)
+    if isinstance(fitted, float):
+        return docs if fitted < 0.5 else docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(fitted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, curve = shared.value
+        reader = Reader(known)
+        for batch in batches:
+            found = np.array(list(reader(texts_in(batch, text_column))), float).reshape(-1, len(FEATURES))
+            yield batch.filter(pa.array(found @ curve[:-1] + curve[-1] < 0))
+
+    return docs.mapInArrow(run, docs.schema)
