@@ -6,9 +6,9 @@ start. The longest common subsequence of the two lists is what the pages share,
 deleted.
 
 Two lines are the same if they stand in the same slot of the page's furniture (navigation, header,
-footer, sidebar, advert, form, comments and the like) or, elsewhere outside an article element, if they
-also read the same. Lines of an article element are never shared: two pages of a host often carry the
-same article or paragraph, which a plain difference would delete. Furniture that no partner shares (a
+footer, sidebar, advert, form, comments and the like) or, elsewhere outside an article or main element,
+if they also read the same. Lines of an article or main element are never shared: two pages of a host
+often carry the same article or paragraph, which a plain difference would delete. Furniture that no partner shares (a
 host with one page, a slot that only one of the two has) goes by the exact check behind, which knows
 the slot.
 """
@@ -264,8 +264,8 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
 
 
 def _mark(kind: int, slot: str, text: str) -> int:
-    """What makes two lines the same; lines of an article are never compared."""
-    if kind == ARTICLE:
+    """What makes two lines the same; lines of an article or main element are never compared."""
+    if kind >= MAIN:
         return 0
     return xxhash.xxh64_intdigest(f"{kind}{slot}" if kind == FURNITURE else f"{kind}{slot}\n{text}")
 
@@ -296,7 +296,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = row["kinds"]
         if partner is not None:
             own, other = (
-                [(n, m) for n, (k, m) in enumerate(zip(r["kinds"], np.frombuffer(r["marks"], np.uint64).tolist())) if k != ARTICLE] for r in (row, partner)
+                [(n, m) for n, (k, m) in enumerate(zip(r["kinds"], np.frombuffer(r["marks"], np.uint64).tolist())) if k < MAIN] for r in (row, partner)
             )
             gone = {own[n][0] for n in shared([m for _, m in own], [m for _, m in other])}
         gone |= {n for n, k in enumerate(kinds) if k == FURNITURE}  # the exact check

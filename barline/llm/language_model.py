@@ -240,7 +240,7 @@ class Trainer:
     def learn(self, ids: np.ndarray, end: int) -> None:
         """One pass over texts that each close with ``end``; the end of one text is the start of the next."""
         self.seen += len(ids)
-        lanes = max(1, min(LANES, len(ids) // STEPS))
+        lanes = max(1, min(LANES, len(ids) // (32 * STEPS)))  # at least 32 windows, however few texts there are
         length = len(ids) // lanes
         before = np.concatenate([[end], ids[:-1]]).astype(np.int32)
         cut = lambda a: a[: lanes * length].reshape(lanes, length).T
