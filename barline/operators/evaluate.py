@@ -40,6 +40,18 @@ def regression_metrics(predictions: DataFrame, by: By = ()) -> DataFrame:
     )
 
 
+def common_rows(predictions: DataFrame, row: By = ("split", "symbol", "date")) -> DataFrame:
+    """The predictions on the rows that every model of the table covers.
+
+    Scores on these rows compare models fairly: a model that has no forecast for the first rows of a
+    split (a sequence model) is otherwise scored on an easier or harder set than the rest.
+    """
+    models = predictions.agg(F.countDistinct("model").alias("_models"))  # one row
+    covered = F.size(F.collect_set("model").over(Window.partitionBy(*row)))
+    marked = predictions.withColumn("_covered", covered).join(F.broadcast(models))
+    return marked.where(F.col("_covered") == F.col("_models")).drop("_covered", "_models")
+
+
 def direction(value: Column) -> Column:
     """1 for a positive value, else 0."""
     return (value > 0).cast("int")
@@ -126,11 +138,18 @@ def classification_summary(predictions: DataFrame, by: By = ()) -> DataFrame:
     return scored.join(roc_auc(predictions, by), [*by, "model"], "left")
 
 
-def check_metrics(summary: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Models whose accuracy contradicts their confusion counts; empty when all is well."""
+def check_metrics(summary: DataFrame, predictions: DataFrame, tolerance: float = 0.01, by: By = ()) -> DataFrame:
+    """Models whose accuracy contradicts their confusion counts or their forecasts; empty when all is well.
+
+    The accuracy of the summary is held against its own counts and against the share of ``predictions``
+    whose direction is right, counted from the rows.
+    """
     tn, fp, fn, tp = (F.col(c) for c in ("tn", "fp", "fn", "tp"))
     by_hand = F.coalesce(F.try_divide((tp + tn).cast("double"), tn + fp + fn + tp), F.lit(0.0))
-    return summary.where(F.abs(F.col("accuracy") - by_hand) > tolerance)
+    right = predictions.groupBy(*by, "model").agg(F.avg(((F.col("y") > 0) == (F.col("yhat") > 0)).cast("int")).alias("_right"))
+    joined = summary.join(right, [*by, "model"], "left")
+    wrong = (F.abs(F.col("accuracy") - by_hand) > tolerance) | (F.abs(F.col("accuracy") - F.coalesce("_right", F.lit(0.0))) > tolerance)
+    return joined.where(wrong).drop("_right")
 
 
 def format_report(summary: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from barline.operators import evaluate
 from barline.operators.features import LABEL
-from barline.operators.profile import Moments, Standardizer, moments
+from barline.operators.profile import Moments, Standardizer, moments_by
 from barline.operators.split import sequences
 from barline.plans.trials import ELASTIC_NET, LASSO_ALPHA, RIDGE_GRID, Trial
 
@@ -118,7 +118,8 @@ def ridge_path(train: DataFrame, columns: Sequence[str], alphas: Sequence[float]
     fit, is solved from those.  The first of equal scores wins.
     """
     names = [*columns, label]
-    parts = [moments(train.where(F.col("fold") == i), names) for i in range(folds)]
+    by_fold = moments_by(train, names, F.col("fold"))
+    parts = [by_fold[i] for i in range(folds)]
     scores = {}
     for alpha in alphas:
         held_out = []
@@ -262,7 +263,14 @@ def fit_sequence_linear(rows: DataFrame, alpha: float):
 
 
 def response_surface(trials: DataFrame, x: str, y: str, z: str, points: int = 20) -> DataFrame:
-    """Quadratic surface of ``z`` over ``x`` and ``y``, evaluated on a grid spanning both."""
+    """Quadratic surface of ``z`` over ``x`` and ``y``, evaluated on a grid spanning both.
+
+    Its six coefficients need points that determine them; otherwise the design is singular and an error says so.
+    """
+    places = np.array([(r[x], r[y]) for r in trials.select(F.col(x).cast("double").alias(x), F.col(y).cast("double").alias(y)).distinct().collect()])
+    design = np.column_stack([np.ones(len(places)), places, places**2, places[:, 0] * places[:, 1]]) if len(places) else np.zeros((0, 6))
+    if np.linalg.matrix_rank(design) < 6:
+        raise ValueError(f"{len(places)} distinct points do not determine a quadratic surface")
     assembler = VectorAssembler(inputCols=[x, y], outputCol="_xy")
     powers = PolynomialExpansion(degree=2, inputCol="_xy", outputCol="features")
     rows = trials.select(F.col(x).cast("double"), F.col(y).cast("double"), F.col(z).cast("double").alias("label"))

@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import VectorAssembler
+import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.windows import few_groups
 from barline.operators.features import LABEL
 from barline.operators.ordered import average_ranks, quantiles
+from barline.session import importable
 
 
 def long_form(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
@@ -29,17 +31,33 @@ def null_total(df: DataFrame) -> DataFrame:
     return df.agg(F.coalesce(F.sum(per_row), F.lit(0)).alias("n_null"))
 
 
+def per_feature(df: DataFrame, columns: Sequence[str], stats: Mapping[str, Callable[[str], Column]]) -> DataFrame:
+    """``feature`` and one column per statistic, from a single aggregation of the rows as they are.
+
+    Rows are not repeated per feature; only the one row of results is turned into k.
+    """
+    columns = list(columns)
+    found = df.select(*df.columns).agg(*[stat(c).alias(f"_{i}_{name}") for i, c in enumerate(columns) for name, stat in stats.items()])
+    each = [F.struct(F.lit(c).alias("feature"), *[F.col(f"_{i}_{n}").alias(n) for n in stats]) for i, c in enumerate(columns)]
+    return found.select(F.explode(F.array(*each)).alias("f")).select("f.*")
+
+
+def missing_share(c: str) -> Column:
+    return F.avg(F.col(c).isNull().cast("int"))
+
+
+def sample_variance(c: str) -> Column:
+    return F.var_samp(F.col(c).cast("double"))
+
+
 def missing_filter(df: DataFrame, columns: Sequence[str], limit: float = 0.9) -> DataFrame:
     """Share of NULLs per feature; ``kept`` if below ``limit``."""
-    share = F.avg(F.col("value").isNull().cast("int"))
-    return long_form(df, columns).groupBy("feature").agg(share.alias("missing_ratio")).withColumn(
-        "kept", F.col("missing_ratio") < limit
-    )
+    return per_feature(df, columns, {"missing_ratio": missing_share}).withColumn("kept", F.col("missing_ratio") < limit)
 
 
 def variance_filter(df: DataFrame, columns: Sequence[str], limit: float = 0.001) -> DataFrame:
     """Sample variance per feature; ``kept`` if above ``limit``."""
-    stats = long_form(df, columns).groupBy("feature").agg(F.var_samp("value").alias("variance"))
+    stats = per_feature(df, columns, {"variance": sample_variance})
     return stats.withColumn("kept", F.coalesce(F.col("variance") > limit, F.lit(False)))
 
 
@@ -50,8 +68,8 @@ def correlation(x: str, y: str) -> Column:
 
 def target_corr(df: DataFrame, columns: Sequence[str], label: str = LABEL) -> DataFrame:
     """Absolute correlation of each feature with the label, 0 where it is undefined."""
-    rows = long_form(df, columns, [label])
-    return rows.groupBy("feature").agg(F.coalesce(F.abs(correlation("value", label)), F.lit(0.0)).alias("score"))
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, label])])
+    return per_feature(values, columns, {"score": lambda c: F.coalesce(F.abs(correlation(c, label)), F.lit(0.0))})
 
 
 @dataclass(frozen=True)
@@ -69,17 +87,88 @@ class Moments:
         return Moments(list(columns), self.n, self.mean[at], self.std[at], self.corr[np.ix_(at, at)])
 
 
-def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
-    """First and second moments of all columns, aggregated on the executors."""
+Partial = tuple[int, np.ndarray, np.ndarray]  # rows, means, sums of products of deviations
+TREE = 32
+
+
+def _joined(a: Partial | None, b: Partial) -> Partial:
+    """Moments of two disjoint sets of rows, from those of each."""
+    if a is None or not a[0]:
+        return b
+    n, apart = a[0] + b[0], b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
+
+
+def _partials(k: int):
+    """Moments of the rows of a partition, per group; batches are centred before they are summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, Partial] = {}
+        for batch in batches:
+            groups = batch.column(0).to_numpy()
+            x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)]).astype(float)
+            whole = ~np.isnan(x).any(axis=1)
+            for g in np.unique(groups[whole]).tolist():
+                own = x[whole & (groups == g)]
+                mean = own.mean(axis=0)
+                own = own - mean
+                found[g] = _joined(found.get(g), (len(own), mean, own.T @ own))
+        tree = TaskContext.get().partitionId() % TREE
+        for g, (n, mean, products) in found.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([g], pa.int32()), pa.array([tree], pa.int32()), pa.array([n], pa.int64()), pa.array([mean.tobytes()], pa.binary()), pa.array([products.tobytes()], pa.binary())],
+                ["part", "tree", "n", "mean", "products"],
+            )
+
+    return run
+
+
+def _read_partial(n: int, mean: bytes, products: bytes) -> Partial:
+    means = np.frombuffer(mean)
+    return int(n), means, np.frombuffer(products).reshape(len(means), len(means))
+
+
+def _merge(group: pd.DataFrame) -> pd.DataFrame:
+    total = None
+    for row in group.itertuples():
+        total = _joined(total, _read_partial(row.n, row.mean, row.products))
+    first = group.iloc[0]
+    return pd.DataFrame([(first["part"], first["tree"], total[0], total[1].tobytes(), total[2].tobytes())], columns=list(group.columns))
+
+
+def moments_by(df: DataFrame, columns: Sequence[str], part: Column | None = None) -> dict[int, Moments]:
+    """Moments per value of an integer ``part`` (one group without it), in one pass over the rows.
+
+    A row with a NULL or NaN in any of the columns is left out.  Partitions send k and k * k numbers per
+    group, which are merged in ``TREE`` tasks before the driver sees them.
+    """
     columns = list(columns)
-    vectors = VectorAssembler(inputCols=columns, outputCol="_v").transform(df).select("_v")
-    found = vectors.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("_v")).alias("s")).first()["s"]
-    n = int(found["count"])
-    corr = Correlation.corr(vectors, "_v").first()[0].toArray()
-    std = np.sqrt(found["variance"].toArray() * (n - 1) / n)
+    importable(df.sparkSession)
+    group = (F.lit(0) if part is None else part).cast("int").alias("part")
+    rows = df.select(group, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).where("part is not null")
+    schema = "part int, tree int, n bigint, mean binary, products binary"
+    partials = rows.mapInArrow(_partials(len(columns)), schema).groupBy("part", "tree").applyInPandas(_merge, schema)
+    found: dict[int, Partial] = {}
+    for r in partials.orderBy("part", "tree").collect():  # at most TREE rows per group
+        found[r["part"]] = _joined(found.get(r["part"]), _read_partial(r["n"], r["mean"], r["products"]))
+    return {g: _as_moments(columns, p) for g, p in found.items()}
+
+
+def _as_moments(columns: list[str], found: Partial) -> Moments:
+    n, mean, products = found
+    std = np.sqrt(np.diag(products) / n)
     # A constant column has no correlation, not even with itself.
-    corr = np.where((std[:, None] > 0) & (std[None, :] > 0), corr, np.nan)
-    return Moments(columns, n, found["mean"].toArray(), std, corr)
+    std = np.where(std > 1e-13 * np.maximum(np.abs(mean), 1e-300), std, 0.0)
+    safe = np.where(std > 0, std, 1.0)
+    corr = np.where((std[:, None] > 0) & (std[None, :] > 0), products / n / np.outer(safe, safe), np.nan)
+    return Moments(columns, n, mean, std, corr)
+
+
+def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
+    """First and second moments of all columns; rows with a NULL or NaN in any of them are left out."""
+    found = moments_by(df, columns)
+    nothing = np.full(len(columns), np.nan)
+    return found[0] if found else Moments(list(columns), 0, nothing, nothing, np.outer(nothing, nothing))
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
@@ -111,24 +200,43 @@ def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     return F.least(F.lit(bins - 1), F.floor(share * bins)).cast("int")
 
 
+def _cells(columns: list[str], label: str, spans: dict[str, tuple[float | None, float | None]], bins: int):
+    """Counts of the cells (bin of the feature, bin of the label) of each partition, for all features."""
+
+    def codes(values: np.ndarray, name: str) -> np.ndarray:
+        low, high = spans[name]
+        share = np.zeros(len(values)) if low is None or high == low else (values - low) / (high - low)
+        return np.minimum(bins - 1, np.floor(np.nan_to_num(share) * bins)).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(columns), bins * (bins + 1)), np.int64)
+        for batch in batches:
+            y = batch.column(len(columns)).to_numpy(zero_copy_only=False).astype(float)
+            by = np.where(np.isnan(y), bins, codes(y, label))  # rows without a label have a cell of their own
+            for i, name in enumerate(columns):
+                x = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
+                there = ~np.isnan(x)
+                counts[i] += np.bincount(codes(x[there], name) * (bins + 1) + by[there], minlength=bins * (bins + 1))
+        at, cell = np.nonzero(counts)
+        if len(at):
+            by = cell % (bins + 1)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([columns[i] for i in at]), pa.array(cell // (bins + 1), pa.int32()), pa.array(by, pa.int32(), mask=by == bins), pa.array(counts[at, cell])],
+                ["feature", "bx", "by", "n"],
+            )
+
+    return run
+
+
 def mi_scores(df: DataFrame, columns: Sequence[str], label: str = LABEL, bins: int = 16) -> DataFrame:
     """Mutual information of each feature with the label over equal-width bins, in nats."""
-    rows = long_form(df, columns, [label])
-    spans = rows.groupBy("feature").agg(
-        F.min("value").alias("_lo"), F.max("value").alias("_hi"), F.min(label).alias("_ylo"), F.max(label).alias("_yhi")
-    )
-    # One row per feature, so the broadcast is as small as the column list.
-    cells = (
-        rows.join(F.broadcast(spans), "feature")
-        .where(F.col("value").isNotNull())
-        .select(
-            "feature",
-            bin_of(F.col("value"), F.col("_lo"), F.col("_hi"), bins).alias("bx"),
-            bin_of(F.col(label), F.col("_ylo"), F.col("_yhi"), bins).alias("by"),
-        )
-        .groupBy("feature", "bx", "by")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    columns = list(columns)
+    importable(df.sparkSession)
+    low = per_feature(df, [*columns, label], {"low": lambda c: F.min(F.col(c).cast("double")), "high": lambda c: F.max(F.col(c).cast("double"))})
+    spans = {r["feature"]: (r["low"], r["high"]) for r in low.collect()}  # one row per feature
+    values = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([*columns, label])])
+    cells = values.mapInArrow(_cells(columns, label, spans, bins), "feature string, bx int, by int, n bigint")
+    cells = cells.groupBy("feature", "bx", "by").agg(F.sum("n").alias("n"))
     shares = cells.select(
         "feature",
         "n",
@@ -149,8 +257,8 @@ class Standardizer:
         self.std: dict[str, float] = {}
 
     def fit(self, train: DataFrame) -> "Standardizer":
-        stats = long_form(train, self.columns).groupBy("feature").agg(
-            F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")
+        stats = per_feature(
+            train, self.columns, {"mean": lambda c: F.avg(F.col(c).cast("double")), "std": lambda c: F.stddev_pop(F.col(c).cast("double"))}
         )
         for row in stats.collect():  # one row per feature
             self.mean[row["feature"]] = row["mean"]

@@ -43,8 +43,15 @@ def chrono_split(
     return df.join(F.broadcast(cuts), "date")
 
 
-def time_folds(df: DataFrame, k: int = 3, by: Sequence[str] = SERIES) -> DataFrame:
-    """Adds ``fold`` 0..k-1: contiguous runs of rows, the first ``n mod k`` of them one row longer."""
+def time_folds(df: DataFrame, k: int = 3, by: Sequence[str] = SERIES, mode: str = "position") -> DataFrame:
+    """Adds ``fold`` 0..k-1: contiguous runs of rows, the first ``n mod k`` of them one row longer.
+
+    ``position`` cuts every series by its own rows.  ``date`` cuts the calendar, so that no fold of a
+    pooled fit holds dates that another fold trains on.
+    """
+    if mode == "date":
+        dates = time_folds(df.select("date").distinct().withColumn("_all", F.lit(0)), k, ("_all",))
+        return df.join(F.broadcast(dates.drop("_all")), "date")
     position = F.row_number().over(series(by)) - 1
     n = F.count(F.lit(1)).over(Window.partitionBy(*by))
     size, extra = F.floor(n / k), n % k

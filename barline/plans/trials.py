@@ -4,84 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-RIDGE_GRID = (0.01, 0.05, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
-RIDGE_LEAN_GRID = (0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0)
-RIDGE_ROUND_2 = (80, 90, 95, 100, 105, 110, 120, 150, 200, 250)
-RIDGE_ROUND_3 = (300, 400, 500, 750, 1000, 1500, 2000, 3000)
-LASSO_ALPHA = 0.01
-ELASTIC_NET = (0.3, 0.5)
-ELASTIC_NET_LEAN = (0.5, 0.5)
-
-# trees, depth, learning rate, row share, column share, smallest leaf
-XGB_TRIALS = """
-100 4 0.05 0.80 0.80 2
-100 5 0.05 0.80 0.80 2
-100 6 0.05 0.80 0.80 2
-150 4 0.05 0.80 0.80 2
-100 4 0.07 0.85 0.85 1
-100 5 0.03 0.80 0.80 2
-75  5 0.05 0.85 0.85 2
-100 4 0.05 0.90 0.90 1
-120 4 0.04 0.80 0.80 2
-100 5 0.05 0.80 0.80 3
-100 4 0.05 0.70 0.70 2
-100 6 0.03 0.80 0.80 2
-"""
-XGB_ROUND_2 = """
-100 5 0.05 0.80 0.80 2
-100 6 0.05 0.80 0.80 2
-100 7 0.04 0.80 0.80 2
-150 5 0.04 0.80 0.80 2
-100 5 0.06 0.80 0.80 2
-"""
-LGB_TRIALS = """
-50 3 0.05 0.80 0.80 20
-40 3 0.05 0.80 0.80 20
-30 3 0.05 0.80 0.80 20
-50 2 0.05 0.80 0.80 25
-40 2 0.05 0.80 0.80 25
-30 2 0.05 0.70 0.70 30
-50 3 0.03 0.80 0.80 20
-50 3 0.05 0.70 0.70 25
-60 3 0.04 0.80 0.80 20
-50 3 0.05 0.80 0.80 30
-45 2 0.04 0.75 0.75 25
-35 3 0.05 0.80 0.80 22
-"""
-# trees, depth, smallest leaf, column choice
-RF_TRIALS = """
-100 8 8  sqrt
-100 7 8  sqrt
-100 6 8  sqrt
-100 5 8  sqrt
-100 8 10 sqrt
-100 7 10 sqrt
-100 6 12 sqrt
-80  7 8  sqrt
-120 7 8  sqrt
-100 8 6  log2
-100 7 9  sqrt
-100 8 5  sqrt
-"""
-RF_ROUND_2 = """
-200 8 5 sqrt
-250 8 5 sqrt
-200 7 5 sqrt
-200 9 5 sqrt
-200 8 4 sqrt
-200 8 6 sqrt
-200 8 5 log2
-200 8 5 0.7
-300 8 5 sqrt
-200 8 7 sqrt
-180 8 5 sqrt
-220 8 5 sqrt
-"""
-
 
 @dataclass(frozen=True)
 class Trial:
-    """One configuration; ``trial_id`` is unique, ``name`` is a label several trials may share."""
+    """One configuration; ``trial_id`` is unique in its list, ``name`` is a label several trials may share."""
 
     trial_id: int
     family: str
@@ -94,18 +20,75 @@ class Trial:
     rows: float = 1.0
 
 
-def boosted(family: str, table: str, with_rate: bool = True) -> list[Trial]:
-    trials = []
-    for i, line in enumerate(table.split("\n")[1:-1]):
-        trees, depth, rate, rows, columns, leaf = line.split()
-        name = f"{family}_{trees}_{depth}" + (f"_{int(float(rate) * 1000)}" if with_rate else "")
-        trials.append(Trial(i, family, name, int(trees), int(depth), int(leaf), columns, float(rate), float(rows)))
-    return trials
-
+# The configurations of every sweep, in their order.
+RIDGE_GRID = (0.01, 0.05, 0.1, 0.5, 1.0, 2.0, 5.0, 10.0, 20.0, 50.0, 100.0)
+RIDGE_LEAN_GRID = (0.1, 0.5, 1.0, 5.0, 10.0, 50.0, 100.0)
+RIDGE_ROUND_2 = (80, 90, 95, 100, 105, 110, 120, 150, 200, 250)
+RIDGE_ROUND_3 = (300, 400, 500, 750, 1000, 1500, 2000, 3000)
+LASSO_ALPHA = 0.01
+ELASTIC_NET = (0.3, 0.5)
+ELASTIC_NET_LEAN = (0.5, 0.5)
 
-def forests(table: str) -> list[Trial]:
-    trials = []
-    for i, line in enumerate(table.split("\n")[1:-1]):
-        trees, depth, leaf, columns = line.split()
-        trials.append(Trial(i, "RF", f"RF_{trees}_{depth}", int(trees), int(depth), int(leaf), columns))
-    return trials
+XGB_TRIALS = (
+    Trial(0, "XGB", "XGB_100_4_50", trees=100, depth=4, leaf=2, columns="0.8", rate=0.05, rows=0.8),
+    Trial(1, "XGB", "XGB_100_5_50", trees=100, depth=5, leaf=2, columns="0.8", rate=0.05, rows=0.8),
+    Trial(2, "XGB", "XGB_100_6_50", trees=100, depth=6, leaf=2, columns="0.8", rate=0.05, rows=0.8),
+    Trial(3, "XGB", "XGB_150_4_50", trees=150, depth=4, leaf=2, columns="0.8", rate=0.05, rows=0.8),
+    Trial(4, "XGB", "XGB_100_4_70", trees=100, depth=4, leaf=1, columns="0.85", rate=0.07, rows=0.85),
+    Trial(5, "XGB", "XGB_100_5_30", trees=100, depth=5, leaf=2, columns="0.8", rate=0.03, rows=0.8),
+    Trial(6, "XGB", "XGB_75_5_50", trees=75, depth=5, leaf=2, columns="0.85", rate=0.05, rows=0.85),
+    Trial(7, "XGB", "XGB_100_4_50", trees=100, depth=4, leaf=1, columns="0.9", rate=0.05, rows=0.9),
+    Trial(8, "XGB", "XGB_120_4_40", trees=120, depth=4, leaf=2, columns="0.8", rate=0.04, rows=0.8),
+    Trial(9, "XGB", "XGB_100_5_50", trees=100, depth=5, leaf=3, columns="0.8", rate=0.05, rows=0.8),
+    Trial(10, "XGB", "XGB_100_4_50", trees=100, depth=4, leaf=2, columns="0.7", rate=0.05, rows=0.7),
+    Trial(11, "XGB", "XGB_100_6_30", trees=100, depth=6, leaf=2, columns="0.8", rate=0.03, rows=0.8),
+)
+XGB_ROUND_2 = (
+    Trial(0, "XGB", "XGB_100_5_50", trees=100, depth=5, leaf=2, columns="0.8", rate=0.05, rows=0.8),
+    Trial(1, "XGB", "XGB_100_6_50", trees=100, depth=6, leaf=2, columns="0.8", rate=0.05, rows=0.8),
+    Trial(2, "XGB", "XGB_100_7_40", trees=100, depth=7, leaf=2, columns="0.8", rate=0.04, rows=0.8),
+    Trial(3, "XGB", "XGB_150_5_40", trees=150, depth=5, leaf=2, columns="0.8", rate=0.04, rows=0.8),
+    Trial(4, "XGB", "XGB_100_5_60", trees=100, depth=5, leaf=2, columns="0.8", rate=0.06, rows=0.8),
+)
+LGB_TRIALS = (
+    Trial(0, "LGB", "LGB_50_3_50", trees=50, depth=3, leaf=20, columns="0.8", rate=0.05, rows=0.8),
+    Trial(1, "LGB", "LGB_40_3_50", trees=40, depth=3, leaf=20, columns="0.8", rate=0.05, rows=0.8),
+    Trial(2, "LGB", "LGB_30_3_50", trees=30, depth=3, leaf=20, columns="0.8", rate=0.05, rows=0.8),
+    Trial(3, "LGB", "LGB_50_2_50", trees=50, depth=2, leaf=25, columns="0.8", rate=0.05, rows=0.8),
+    Trial(4, "LGB", "LGB_40_2_50", trees=40, depth=2, leaf=25, columns="0.8", rate=0.05, rows=0.8),
+    Trial(5, "LGB", "LGB_30_2_50", trees=30, depth=2, leaf=30, columns="0.7", rate=0.05, rows=0.7),
+    Trial(6, "LGB", "LGB_50_3_30", trees=50, depth=3, leaf=20, columns="0.8", rate=0.03, rows=0.8),
+    Trial(7, "LGB", "LGB_50_3_50", trees=50, depth=3, leaf=25, columns="0.7", rate=0.05, rows=0.7),
+    Trial(8, "LGB", "LGB_60_3_40", trees=60, depth=3, leaf=20, columns="0.8", rate=0.04, rows=0.8),
+    Trial(9, "LGB", "LGB_50_3_50", trees=50, depth=3, leaf=30, columns="0.8", rate=0.05, rows=0.8),
+    Trial(10, "LGB", "LGB_45_2_40", trees=45, depth=2, leaf=25, columns="0.75", rate=0.04, rows=0.75),
+    Trial(11, "LGB", "LGB_35_3_50", trees=35, depth=3, leaf=22, columns="0.8", rate=0.05, rows=0.8),
+)
+RF_TRIALS = (
+    Trial(0, "RF", "RF_100_8", trees=100, depth=8, leaf=8, columns="sqrt"),
+    Trial(1, "RF", "RF_100_7", trees=100, depth=7, leaf=8, columns="sqrt"),
+    Trial(2, "RF", "RF_100_6", trees=100, depth=6, leaf=8, columns="sqrt"),
+    Trial(3, "RF", "RF_100_5", trees=100, depth=5, leaf=8, columns="sqrt"),
+    Trial(4, "RF", "RF_100_8", trees=100, depth=8, leaf=10, columns="sqrt"),
+    Trial(5, "RF", "RF_100_7", trees=100, depth=7, leaf=10, columns="sqrt"),
+    Trial(6, "RF", "RF_100_6", trees=100, depth=6, leaf=12, columns="sqrt"),
+    Trial(7, "RF", "RF_80_7", trees=80, depth=7, leaf=8, columns="sqrt"),
+    Trial(8, "RF", "RF_120_7", trees=120, depth=7, leaf=8, columns="sqrt"),
+    Trial(9, "RF", "RF_100_8", trees=100, depth=8, leaf=6, columns="log2"),
+    Trial(10, "RF", "RF_100_7", trees=100, depth=7, leaf=9, columns="sqrt"),
+    Trial(11, "RF", "RF_100_8", trees=100, depth=8, leaf=5, columns="sqrt"),
+)
+RF_ROUND_2 = (
+    Trial(0, "RF", "RF_200_8", trees=200, depth=8, leaf=5, columns="sqrt"),
+    Trial(1, "RF", "RF_250_8", trees=250, depth=8, leaf=5, columns="sqrt"),
+    Trial(2, "RF", "RF_200_7", trees=200, depth=7, leaf=5, columns="sqrt"),
+    Trial(3, "RF", "RF_200_9", trees=200, depth=9, leaf=5, columns="sqrt"),
+    Trial(4, "RF", "RF_200_8", trees=200, depth=8, leaf=4, columns="sqrt"),
+    Trial(5, "RF", "RF_200_8", trees=200, depth=8, leaf=6, columns="sqrt"),
+    Trial(6, "RF", "RF_200_8", trees=200, depth=8, leaf=5, columns="log2"),
+    Trial(7, "RF", "RF_200_8", trees=200, depth=8, leaf=5, columns="0.7"),
+    Trial(8, "RF", "RF_300_8", trees=300, depth=8, leaf=5, columns="sqrt"),
+    Trial(9, "RF", "RF_200_8", trees=200, depth=8, leaf=7, columns="sqrt"),
+    Trial(10, "RF", "RF_180_8", trees=180, depth=8, leaf=5, columns="sqrt"),
+    Trial(11, "RF", "RF_220_8", trees=220, depth=8, leaf=5, columns="sqrt"),
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -22,6 +23,15 @@ def local_session(cores: int | str = "*", app: str = "barline", partitions: int
     )
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers that share this file system import the package from where the driver has it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, *paths]))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder of ``spark.checkpoint.dir``; only a local session gets a scratch one."""
     context = spark.sparkContext

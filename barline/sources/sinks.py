@@ -32,25 +32,48 @@ def snapshot(spark: SparkSession, compute: Callable[[], DataFrame], path: str, k
     return spark.read.parquet(target)
 
 
-def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
-    """CSV with header, one file per partition."""
+BYTE_ORDER_MARK = "\ufeff"
+
+
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8", mark: bool = False) -> None:
+    """CSV with header, one file per partition; with ``mark`` every file starts with a byte order mark."""
+    if mark:
+        first = df.columns[0]
+        df = df.withColumnRenamed(first, BYTE_ORDER_MARK + first)
     df.write.mode("overwrite").option("header", True).option("encoding", encoding).csv(path)
 
 
 def write_metrics_json(metrics: DataFrame, path: str) -> None:
-    """One JSON object per model: its name and its scores."""
-    metrics.select("model", F.struct("r2", "rmse", "mae").alias("scores")).write.mode("overwrite").json(path)
+    """One JSON object per model: its name, its scores and, where the table has one, its ``architecture``."""
+    scores = ["r2", "rmse", "mae", *(["architecture"] if "architecture" in metrics.columns else [])]
+    metrics.select("model", F.struct(*scores).alias("scores")).write.mode("overwrite").json(path)
+
+
+# Head and rules of the classification report.
+REPORT_TITLE = "# 验证集涨跌预测分类报告"
+TITLE_RULE, BLOCK_RULE = "=" * 80, "-" * 80
 
 
 def write_report(report: DataFrame, path: str) -> None:
-    """Text blocks, one per model."""
-    report.select(F.col("block").alias("value")).write.mode("overwrite").text(path)
+    """Title, then the text blocks, one per model in the order of their names, in one file.
+
+    A report has one block per model, a number set by the trial list.
+    """
+    head = report.sparkSession.createDataFrame([("", f"{REPORT_TITLE}\n\n{TITLE_RULE}\n")], "model string, value string")
+    blocks = report.select("model", F.concat("block", F.lit(f"\n\n{BLOCK_RULE}\n")).alias("value"))
+    head.unionByName(blocks).coalesce(1).sortWithinPartitions("model").select("value").write.mode("overwrite").text(path)
 
 
-def fit_or_load(estimator: Estimator, train: DataFrame, path: str) -> Model:
-    """Load the fitted pipeline at ``path``; fit and save it if there is none."""
-    if _exists(train.sparkSession, f"{path.rstrip('/')}/metadata/_SUCCESS"):
-        return PipelineModel.load(path)
+def fit_or_load(estimator: Estimator, train: DataFrame, path: str, key: str = "") -> Model:
+    """Load the fitted pipeline of this estimator and input below ``path``; fit and save it if there is none.
+
+    The folder carries a fingerprint of the estimator's class and parameters, of the columns of ``train``
+    and of ``key``, which has to name the input (a snapshot's key, say), so no other fit is loaded.
+    """
+    parameters = sorted((p.name, repr(v)) for p, v in estimator.extractParamMap().items())
+    target = f"{path.rstrip('/')}/fp={fingerprint(type(estimator).__name__, parameters, train.dtypes, key)}"
+    if _exists(train.sparkSession, f"{target}/metadata/_SUCCESS"):
+        return PipelineModel.load(target)
     model = Pipeline(stages=[estimator]).fit(train)
-    model.write().overwrite().save(path)
+    model.write().overwrite().save(target)
     return model

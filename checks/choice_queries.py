@@ -13,23 +13,24 @@ from checks.registry import query, shaped, shaped_sql
 SYMBOL = ("symbol",)
 KEYS = ("symbol", "model")
 PREDS = fc.predictions_sql()
-TM = fc.test_metrics_sql()
+TM = fc.selection_sql()
 BEST = "ORDER BY r2 DESC, model"
 
 
 def tm(spark, sf):
-    return fc.test_metrics(spark, sf)
+    """Models are chosen on the validation rows that all of them cover."""
+    return fc.selection_metrics(spark, sf)
+
+
+def chosen_weights(spark, sf):
+    return ensemble.power_weights(members(spark, sf), by=SYMBOL)
 
 
 def with_blends(spark, sf):
-    """Test metrics of the single models and of the weighted blends, per symbol."""
-    preds = fc.predictions(spark, sf).where(F.col("split") == "test")
-    single = evaluate.regression_metrics(preds, SYMBOL)
-    weights = ensemble.power_weights(
-        ensemble.ensemble_sizes(choose.pick_heterogeneous(single, by=SYMBOL), SYMBOL), by=SYMBOL
-    )
-    blends = evaluate.regression_metrics(ensemble.blend(preds, weights, SYMBOL), SYMBOL)
-    return single.unionByName(blends)
+    """Test metrics of the single models and of the blends chosen on validation rows, per symbol."""
+    preds = fc.common(spark, sf).where(F.col("split") == "test")
+    blends = evaluate.regression_metrics(ensemble.blend(preds, chosen_weights(spark, sf), SYMBOL), SYMBOL)
+    return evaluate.regression_metrics(preds, SYMBOL).unionByName(blends)
 
 
 # --- names --------------------------------------------------------------------------------
@@ -100,7 +101,22 @@ def leaderboard(spark, sf):
     return shaped(choose.leaderboard(tm(spark, sf), SYMBOL), KEYS, ("r2",), ("place", "best"))
 
 
-TESTED = "pt AS (SELECT * FROM preds WHERE split = 'test')"
+@query(
+    p.with_sql(fc.selection_sql(split="test"), f"x AS (SELECT *, row_number() OVER (PARTITION BY symbol {BEST}) AS place FROM tm)",
+               "z AS (SELECT *, place = 1 AS best FROM x)")
+    + shaped_sql("z", KEYS, ("r2",), ("place", "best"))
+)
+def leaderboard_on_test(spark, sf):
+    """The ranks on the test split, for reading only: nothing is chosen by them."""
+    return shaped(choose.leaderboard(fc.selection_metrics(spark, sf, split="test"), SYMBOL), KEYS, ("r2",), ("place", "best"))
+
+
+@query(p.with_sql(PREDS, fc.COMMON_SQL) + shaped_sql("common", ("model", "split", "symbol", "date"), {"y": 5, "yhat": 5}))
+def forecasts_on_common_rows(spark, sf):
+    return shaped(fc.common(spark, sf), ("model", "split", "symbol", "date"), {"y": 5, "yhat": 5})
+
+
+TESTED = "pt AS (SELECT * FROM common WHERE split = 'test')"
 PICK_SQL = f"""fam AS (SELECT *, {fc.FAMILY_SQL} AS family FROM tm),
 gru AS (SELECT *, row_number() OVER (PARTITION BY symbol, family {BEST}) AS nth FROM fam WHERE r2 > -0.1 AND family <> 'Other'),
 slot AS (
@@ -168,16 +184,12 @@ ROW = ("model", "split", "symbol", "date")
 
 @query(p.with_sql(TM, PICK_SQL, MEMBERS_SQL, TESTED, BLEND_SQL) + shaped_sql("blended", ROW, {"y": 5, "yhat": 4}))
 def blended_forecasts(spark, sf):
-    preds = fc.predictions(spark, sf).where(F.col("split") == "test")
-    single = evaluate.regression_metrics(preds, SYMBOL)
-    weights = ensemble.power_weights(
-        ensemble.ensemble_sizes(choose.pick_heterogeneous(single, by=SYMBOL), SYMBOL), by=SYMBOL
-    )
-    return shaped(ensemble.blend(preds, weights, SYMBOL), ROW, {"y": 5, "yhat": 4})
+    preds = fc.common(spark, sf).where(F.col("split") == "test")
+    return shaped(ensemble.blend(preds, chosen_weights(spark, sf), SYMBOL), ROW, {"y": 5, "yhat": 4})
 
 
 ALL_SQL = (TM, PICK_SQL, MEMBERS_SQL, TESTED, BLEND_SQL, fc.metrics_sql(SYMBOL, "blended", "bm"),
-           "al AS (SELECT * FROM tm UNION ALL BY NAME SELECT * FROM bm)")
+           "al AS (SELECT * FROM met WHERE split = 'test' UNION ALL BY NAME SELECT * FROM bm)")
 
 
 @query(
@@ -316,8 +328,7 @@ def compared_strategies(spark, sf):
 )
 def validation_blend(spark, sf):
     preds = fc.predictions(spark, sf)
-    metrics = evaluate.regression_metrics(preds.where(F.col("split") == "test"), SYMBOL)
-    return shaped(ensemble.validation_blend(preds, metrics, 3, SYMBOL), ROW, {"y": 5, "yhat": 5})
+    return shaped(ensemble.validation_blend(preds, tm(spark, sf), 3, SYMBOL), ROW, {"y": 5, "yhat": 5})
 
 
 # --- relational forms ---------------------------------------------------------------------

@@ -157,9 +157,10 @@ def classification_summary(spark, sf):
     + "SELECT model, CAST(abs(accuracy - CAST(tp + tn AS DOUBLE) / total) > 0.01 AS BIGINT) AS wrong FROM summary"
 )
 def metric_consistency(spark, sf):
-    """Which summary rows contradict their own counts; none should."""
-    summary = evaluate.classification_summary(val(spark, sf))
-    wrong = evaluate.check_metrics(summary).select("model", F.lit(1).alias("_wrong"))
+    """Which summary rows contradict their own counts or the forecasts; none should."""
+    rows = val(spark, sf)
+    summary = evaluate.classification_summary(rows)
+    wrong = evaluate.check_metrics(summary, rows).select("model", F.lit(1).alias("_wrong"))
     marked = summary.select("model").join(wrong, "model", "left")
     return marked.select("model", F.coalesce("_wrong", F.lit(0)).cast("bigint").alias("wrong"))
 

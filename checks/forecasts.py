@@ -68,6 +68,16 @@ def test_metrics(spark, sf, by=("symbol",)) -> DataFrame:
     return metrics(spark, sf, by).where(F.col("split") == "test")
 
 
+def common(spark, sf) -> DataFrame:
+    """Predictions on the rows that every model covers."""
+    return evaluate.common_rows(predictions(spark, sf))
+
+
+def selection_metrics(spark, sf, by=("symbol",), split: str = "val") -> DataFrame:
+    """What models are chosen by: scores on the validation rows common to all of them."""
+    return evaluate.regression_metrics(common(spark, sf).where(F.col("split") == split), by)
+
+
 def predictions_sql(symbol: str = "l_suppkey") -> str:
     """CTEs up to ``preds``."""
     stats = {
@@ -106,6 +116,15 @@ def test_metrics_sql(by: tuple[str, ...] = ("symbol",)) -> str:
     return f"{predictions_sql()},\n{metrics_sql(by)},\ntm AS (SELECT * FROM met WHERE split = 'test')"
 
 
+COMMON_SQL = """common AS (SELECT * FROM preds WHERE (split, symbol, date) IN (SELECT (split, symbol, date) FROM preds
+  GROUP BY split, symbol, date HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM preds)))"""
+
+
+def selection_sql(by: tuple[str, ...] = ("symbol",), split: str = "val") -> str:
+    """CTEs up to ``tm``, the metrics that models are chosen by; ``met`` has those of all splits."""
+    return f"{predictions_sql()},\n{COMMON_SQL},\n{metrics_sql(by, 'common')},\ntm AS (SELECT * FROM met WHERE split = '{split}')"
+
+
 FAMILY_SQL = """CASE WHEN contains(model, 'GRU') THEN 'GRU' WHEN contains(model, 'LSTM') THEN 'LSTM'
   WHEN contains(model, 'Ridge') THEN 'Ridge' WHEN contains(model, 'XGB') THEN 'XGB'
   WHEN contains(model, 'LGB') THEN 'LGB' WHEN contains(model, 'RF') THEN 'RF' ELSE 'Other' END"""

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import functions as F
 
-from barline.functions.names import model_family
 from barline.operators import choose, ensemble, evaluate, features, fill, models, split
 from barline.operators.profile import Standardizer, moments
 from barline.plans import trials
 from barline.session import materialise
-from checks import forecasts as fc
 from checks import panels as p
 from checks.feature_queries import SUPPLIER, date_split_sql
 from checks.registry import fixed_sql, query, shaped, shaped_sql
@@ -23,7 +21,7 @@ SCORES = {"r2": 4, "rmse": 4, "mae": 4}
 def lean(spark, sf):
     """The lean feature set, split at common dates, with folds on the training rows."""
     df = split.chrono_split(features.lean_feature_table(p.indicators(spark, sf)), mode="date")
-    train = split.time_folds(df.where(F.col("split") == "train"), 3)
+    train = split.time_folds(df.where(F.col("split") == "train"), 3, mode="date")
     rest = df.where(F.col("split") != "train").withColumn("fold", F.lit(None).cast("int"))
     return train.unionByName(rest)
 
@@ -150,7 +148,7 @@ def attribution_after_refit(spark, sf):
     found = moments(scaler.transform(train), [*small, LABEL])
     weights, _ = models.ridge_solution(found, ALPHA)
     rows = scaler.transform(df.where(F.col("split") == "test"))
-    parts = evaluate.linear_attribution(rows, dict(zip(small, weights)), dict.fromkeys(small, 0.0), n=200)
+    parts = evaluate.linear_attribution(rows, dict(zip(small, weights)), dict.fromkeys(small, 0.0))
     return evaluate.attribution_rank(parts)
 
 
@@ -163,49 +161,65 @@ def tree_forecast_scores(spark, sf):
     return scored(models.predict(models.fit_tree(models.part(rows, "train")), test_rows(rows), "DecisionTree"))
 
 
-@query()
-def forest_sweep(spark, sf):
-    """The first forest trials, kept above the floor, best three."""
+def best_of(spark, sf, listed):
+    """Every trial of a list fitted, kept above the floor, best three."""
     rows, *_ = model_rows(spark, sf)
-    found = models.sweep(trials.forests(trials.RF_TRIALS)[3:5], rows)
-    kept = choose.metric_floor(models.trial_metrics(found), choose.SWEEP_FLOORS)
+    kept = choose.metric_floor(models.trial_metrics(models.sweep(listed, rows)), choose.SWEEP_FLOORS)
     return choose.top_per_family(kept.drop("family"), 3)
 
 
+@query()
+def forest_sweep(spark, sf):
+    return best_of(spark, sf, trials.RF_TRIALS)
+
+
+@query()
+def forest_sweep_round_2(spark, sf):
+    return best_of(spark, sf, trials.RF_ROUND_2)
+
+
 @query()
 def boosted_sweep(spark, sf):
-    """Light boosted trials with row and column sampling, kept above the floor, best three."""
-    rows, *_ = model_rows(spark, sf)
-    found = models.sweep(trials.boosted("LGB", trials.LGB_TRIALS)[4:6], rows)
-    kept = choose.metric_floor(models.trial_metrics(found), choose.SWEEP_FLOORS)
-    return choose.top_per_family(kept.drop("family"), 3)
+    """Light boosted trials with row and column sampling."""
+    return best_of(spark, sf, trials.LGB_TRIALS)
+
+
+@query()
+def deep_boosted_sweep(spark, sf):
+    return best_of(spark, sf, trials.XGB_TRIALS)
+
+
+@query()
+def deep_boosted_sweep_round_2(spark, sf):
+    return best_of(spark, sf, trials.XGB_ROUND_2)
 
 
 @query()
 def early_stopped_boosting(spark, sf):
     rows, *_ = model_rows(spark, sf)
-    model = models.fit_early_stopping(rows, trees=30)
+    model = models.fit_early_stopping(rows)
     return scored(models.predict(model, test_rows(rows), "GradientBoosting"))
 
 
+DEPTHS = [3, 4, 5, 6, 7]
+
+
 @query()
 def tree_grid_search(spark, sf):
     """Depth of a tree by contiguous folds."""
     rows, *_ = model_rows(spark, sf)
     found = models.grid_search(
-        DecisionTreeRegressor(minInstancesPerNode=20, seed=models.SEED), {"maxDepth": [3, 5]}, models.part(rows, "train")
-    )
-    return spark.createDataFrame(
-        [(d, float(m)) for d, m in zip([3, 5], found.avgMetrics)], "depth int, r2 double"
+        DecisionTreeRegressor(minInstancesPerNode=20, seed=models.SEED), {"maxDepth": DEPTHS}, models.part(rows, "train")
     )
+    return spark.createDataFrame([(d, float(m)) for d, m in zip(DEPTHS, found.avgMetrics)], "depth int, r2 double")
 
 
 @query()
 def forest_fold_score(spark, sf):
     rows, *_ = model_rows(spark, sf)
-    estimator = RandomForestRegressor(numTrees=20, maxDepth=5, minInstancesPerNode=8, seed=models.SEED)
-    score = models.fold_score(estimator, models.part(rows, "train"))
-    return spark.createDataFrame([("RF_20_5", float(score))], "model string, r2 double")
+    trial = trials.RF_TRIALS[0]
+    score = models.fold_score(models.forest(trial), models.part(rows, "train"))
+    return spark.createDataFrame([(trial.name, float(score))], "model string, r2 double")
 
 
 @query()
@@ -219,8 +233,7 @@ def baseline_forecast_scores(spark, sf):
 @query()
 def forest_importances(spark, sf):
     rows, columns, *_ = model_rows(spark, sf)
-    trial = trials.Trial(0, "RF", "RF_20_5", 20, 5, 8, "sqrt")
-    return models.feature_importance(models.fit_forest(models.part(rows, "train"), trial), columns, spark)
+    return models.feature_importance(models.fit_forest(models.part(rows, "train"), trials.RF_TRIALS[0]), columns, spark)
 
 
 # --- sequences, surfaces, components, direction ---------------------------------------------
@@ -229,16 +242,17 @@ def forest_importances(spark, sf):
 @query()
 def sequence_ridge_scores(spark, sf):
     df = materialise(lean(spark, sf))
-    rows = materialise(models.sequence_rows(df, ["return", "volatility_10", "close_to_sma50"], 20))
+    columns = features.feature_columns(df, features.LEAN_DROPPED)
+    rows = materialise(models.sequence_rows(df, columns, 20))
     return scored(models.predict(models.fit_sequence_linear(rows, 100.0), test_rows(rows), "SequenceRidge"))
 
 
 @query()
 def response_surface(spark, sf):
-    """R2 over the two sizes found in the recurrent models' names, over all series."""
-    named = choose.parse_trial_name(fc.test_metrics(spark, sf))
-    rows = named.where(model_family(F.col("model")).isin("GRU", "LSTM")).select("size_1", "size_2", "r2")
-    return models.response_surface(materialise(rows), "size_1", "size_2", "r2")
+    """Validation R2 over trees and depth, the two sizes in the names of the light boosted trials."""
+    rows, *_ = model_rows(spark, sf)
+    named = choose.parse_trial_name(models.trial_metrics(models.sweep(trials.LGB_TRIALS, rows)))
+    return models.response_surface(materialise(named.where("r2 > -0.5")), "size_1", "size_2", "r2")
 
 
 @query()
@@ -267,12 +281,13 @@ def blended_model_scores(spark, sf):
     rows, *_ = model_rows(spark, sf)
     train = models.part(rows, "train")
     out = test_rows(rows)
+    forest = trials.RF_TRIALS[2]
     forecasts = models.predict(models.fit_ridge(train, 500.0), out, "Ridge_500").unionByName(
-        models.predict(models.fit_tree(train), out, "RF_1_5")
+        models.predict(models.fit_forest(train, forest), out, forest.name)
     )
     forecasts = materialise(forecasts)
     chosen = evaluate.regression_metrics(forecasts).where(F.col("split") == "val")
     weights = ensemble.power_weights(ensemble.ensemble_sizes(choose.pick_heterogeneous(chosen)))
-    stack = ensemble.stack_fit(forecasts, ["Ridge_500", "RF_1_5"])
-    stacked = ensemble.stack_apply(forecasts, ["Ridge_500", "RF_1_5"], stack, "Ensemble_R2³_2模型")
+    stack = ensemble.stack_fit(forecasts, ["Ridge_500", forest.name])
+    stacked = ensemble.stack_apply(forecasts, ["Ridge_500", forest.name], stack, "Ensemble_R2³_2模型")
     return scored(forecasts.unionByName(ensemble.blend(forecasts, weights)).unionByName(stacked))

@@ -123,12 +123,10 @@ def test_sweep_keeps_trials_of_the_same_name_apart(rows):
 
 
 def test_trial_lists_and_names():
-    assert [len(trials.boosted("XGB", t)) for t in (trials.XGB_TRIALS, trials.XGB_ROUND_2)] == [12, 5]
-    assert len(trials.boosted("LGB", trials.LGB_TRIALS)) == 12
-    assert len(trials.forests(trials.RF_TRIALS)) == len(trials.forests(trials.RF_ROUND_2)) == 12
-    assert trials.boosted("XGB", trials.XGB_TRIALS)[4].name == "XGB_100_4_70"
-    assert trials.boosted("XGB", trials.XGB_ROUND_2, with_rate=False)[2].name == "XGB_100_7"
-    assert trials.forests(trials.RF_ROUND_2)[3].name == "RF_200_9"
+    assert [len(t) for t in (trials.XGB_TRIALS, trials.XGB_ROUND_2)] == [12, 5]
+    assert len(trials.LGB_TRIALS) == len(trials.RF_TRIALS) == len(trials.RF_ROUND_2) == 12
+    assert trials.XGB_TRIALS[4].name == "XGB_100_4_70"
+    assert trials.RF_ROUND_2[3].name == "RF_200_9"
 
 
 def test_grid_search_uses_the_given_folds(rows):
@@ -156,6 +154,12 @@ def test_response_surface_reproduces_a_quadratic(spark):
     assert grid.count() == 400 and worst < 1e-6
 
 
+def test_singular_surface_is_refused(spark):
+    points = spark.createDataFrame([(1.0, 1.0, 2.0), (2.0, 2.0, 3.0), (3.0, 1.0, 4.0)], "x double, y double, z double")
+    with pytest.raises(ValueError, match="3 distinct points"):
+        models.response_surface(points, "x", "y", "z")
+
+
 def test_components_equal_the_eigenvectors(spark, table, rows):
     x, _, _ = scaled_train(table)
     values = np.sort(np.linalg.eigvalsh(np.cov(x.T)))[::-1]
@@ -202,8 +206,13 @@ def test_snapshot_and_model_are_computed_once(spark, rows, bars, tmp_path):
     assert len(calls) == 2
     train = models.part(rows, "train")
     first = sinks.fit_or_load(LinearRegression(), train, str(tmp_path / "m"))
-    again = sinks.fit_or_load(LinearRegression(regParam=9.0), train, str(tmp_path / "m"))
+    again = sinks.fit_or_load(LinearRegression(), train, str(tmp_path / "m"))
     assert first.stages[0].coefficients == again.stages[0].coefficients
+    other = sinks.fit_or_load(LinearRegression(regParam=9.0), train, str(tmp_path / "m"))
+    assert first.stages[0].coefficients != other.stages[0].coefficients
+    assert len(list((tmp_path / "m").glob("fp=*"))) == 2
+    sinks.fit_or_load(LinearRegression(), train, str(tmp_path / "m"), key="other rows")
+    assert len(list((tmp_path / "m").glob("fp=*"))) == 3
 
 
 def test_csv_nan_is_read_as_missing(spark, tmp_path):
