@@ -10,6 +10,7 @@ pieces go by best fit, each onto the fullest open sequence that still takes it.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from unicodedata import is_normalized
@@ -32,45 +33,44 @@ Config = tuple[tuple[int, int], ...]  # (length, how often), longest first
 
 def _byte_letters() -> dict[int, str]:
     """Byte to letter as byte-level tokenizers write them: printable bytes stand for themselves, the
-    others, in order, for the letters from 256 on. The line end is left out; it parts words here."""
+    others, in order, for the letters from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
-    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest) if b != 10}
+    return {b: chr(b) for b in own} | {b: chr(256 + n) for n, b in enumerate(rest)}
 
 
 class Encoder:
     """Ids of whole texts, with the ids of the chunks between ASCII white space kept.
 
     The tokenizer never joins across white space and folds case, so a text's ids are those of its
-    lower-cased chunks in order. Of a chunk that is a word with punctuation behind it, the two are
-    encoded apart, as the tokenizer parts them; plain words skip the splitting rules and go straight to
-    the model, as letters of bytes. All of this is tested against whole texts. Case is left alone where
-    a special token might stand. ``most`` bounds the chunks that are kept from one group of texts to
-    the next.
+    lower-cased chunks in order. A word with punctuation behind it is parted from that as the tokenizer
+    parts them, and a word of letters goes straight to the tokenizer's model, as letters of bytes. All
+    of this is tested against whole texts. Case is left alone where a special token might stand.
+    ``most`` bounds the chunks that are kept from one group of texts to the next.
     """
 
-    PUNCTUATION = ".,;:!?"
+    PUNCTUATION = b".,;:!?"
 
     def __init__(self, path: str, most: int = 400_000):
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.most = most
         self.known: dict[bytes, bytes] = {}
 
-    def _words(self, words: list[str], size: int = 512) -> Iterator[bytes]:
-        """Ids of lower-case words of letters only."""
-        for at in range(0, len(words), size):
-            part = words[at : at + size]
-            encoded = self.plain.encode("\n".join(part).encode().decode("latin-1").translate(self.letters), add_special_tokens=False)
-            cut = np.searchsorted(np.array(encoded.word_ids, np.int64), np.arange(1, len(part) + 1), "left") * 4
-            raw, last = np.array(encoded.ids, "<u4").tobytes(), 0
-            for end in cut.tolist():
-                yield raw[last:end]
-                last = end
+    def _word(self, word: bytes) -> bytes | None:
+        """Ids of a word if it is made of letters alone, in the form the tokenizer would give it."""
+        if word.isalpha():  # ASCII letters
+            text = word.lower().decode()
+        else:
+            text = word.decode("utf-8", "surrogatepass")
+            low = text.lower()
+            if not (text.isalpha() and low.isalpha() and is_normalized("NFC", text) and is_normalized("NFC", low)) or "\u03a3" in text:
+                return None
+            text = low.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
 
     def _pieces(self, texts: list[str], size: int = 256) -> Iterator[bytes]:
         """Ids of texts without line ends, encoded together and cut at the texts' borders."""
@@ -84,26 +84,25 @@ class Encoder:
                 yield raw[last:end]
                 last = end
 
-    def learn(self, chunks: list[bytes]) -> None:
-        plain: dict[str, list[tuple[bytes, str]]] = {}
-        other: dict[str, bytes] = {}
+    def learn(self, chunks: Iterable[bytes]) -> None:
+        known, parted, other = self.known, [], {}
         for chunk in chunks:
-            text = chunk.decode("utf-8", "surrogatepass")
-            word = text.rstrip(self.PUNCTUATION)
-            low = word.lower()
-            if low.isalpha() and word.isalpha() and (word.isascii() or (is_normalized("NFC", word) and is_normalized("NFC", low) and "\u03a3" not in word)):
-                tail = text[len(word) :]
-                plain.setdefault(low, []).append((chunk, tail))
-                if tail:
-                    other[tail] = b""
+            word = chunk.rstrip(self.PUNCTUATION)
+            ids = known.get(word) if len(word) < len(chunk) else None
+            if ids is None and word:
+                ids = self._word(word)
+            if ids is None:
+                other[chunk] = b""
+            elif len(word) < len(chunk):
+                tail = chunk[len(word) :]
+                other[tail] = b""
+                parted.append((chunk, ids, tail))
             else:
-                other[text] = b""
-        other = dict(zip(other, self._pieces(list(other))))
-        for ids, uses in zip(self._words(list(plain)), plain.values()):
-            for chunk, tail in uses:
-                self.known[chunk] = ids + other[tail] if tail else ids
-        for text, ids in other.items():
-            self.known[text.encode("utf-8", "surrogatepass")] = ids
+                known[chunk] = ids
+        wanted = [c for c in other if c not in known]
+        known.update(zip(wanted, self._pieces([c.decode("utf-8", "surrogatepass") for c in wanted])))
+        for chunk, ids, tail in parted:
+            known[chunk] = ids + known[tail]
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text; about 2 MB of texts are held at a time."""
@@ -122,7 +121,7 @@ class Encoder:
                     more = True
                     break
             before = len(self.known)
-            self.learn(list(new))
+            self.learn(new)
             for ids, gaps in group:
                 for n, chunk in gaps:
                     ids[n] = self.known[chunk]
