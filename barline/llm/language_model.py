@@ -18,6 +18,7 @@ import io
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,10 @@ from pyspark.sql import functions as F
 from barline.llm.common import crc_fold, id_text, slices, stage, texts_in
 
 FOLDS, HELD_OUT = 7, 2
-CLASSES, PER_CLASS = 64, 64
+CLASSES, PER_CLASS = 32, 64
 TAILS = 64
 HEAD = CLASSES * PER_CLASS
-TABLE = 131_072  # words whose counts every task holds; the counts of rarer words come from a join
+TABLE = 262_144  # words whose counts every task holds; the counts of rarer words come from a join
 MOST_WORDS = 400_000  # words a task counts before it hands them on
 WIDTH = 16  # of the embedding and of the state
 LANES, STEPS = 512, 16  # texts side by side and steps back in time while training
@@ -111,7 +112,7 @@ class Vocabulary:
         """Ids of the words and the end, the row of each in the table (-1 for none), and the words without a row."""
         words = tokens(text)
         words.append(END)
-        rows = np.fromiter((self.index.get(w, -1) for w in words), np.int32, len(words))
+        rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
         ids = self.ids[rows] if len(self.ids) else np.zeros(len(rows), np.int32)
         missing = np.flatnonzero(rows < 0)
         rare = [words[n] for n in missing.tolist()]
@@ -145,10 +146,12 @@ def step(p: dict[str, np.ndarray], projected: np.ndarray, h: np.ndarray) -> tupl
     return n + z * (h - n), (z, r, n, u[:, 2 * WIDTH :], h)
 
 
-def _exponentials(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """exp of the scores, in place, and their sums by row; shifted only where they would overflow."""
-    top = float(x.max(initial=0.0))
-    if top > 60:
+def _exponentials(state: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the scores and their sums by row. States lie within 1, so weights and bias bound the scores;
+    they are shifted only if they might overflow."""
+    x = state @ weights
+    x += bias
+    if float((np.abs(weights).sum(axis=0) + bias).max()) > 80:
         x -= x.max(axis=1, keepdims=True)
     np.exp(x, out=x)
     return x, x.sum(axis=1)
@@ -169,10 +172,10 @@ def log_likelihood(p: dict[str, np.ndarray], h: np.ndarray, ids: np.ndarray) ->
     """Natural log probability of each id (a word of the head, or a tail class) after its state."""
     first = np.where(ids < HEAD, ids // PER_CLASS, ids - HEAD + CLASSES)
     rows = np.arange(len(ids))
-    e, total = _exponentials(h @ p["wc"] + p["bc"])
+    e, total = _exponentials(h, p["wc"], p["bc"])
     chance = e[rows, first] / total
     for k, own in _by_class(ids):
-        e, total = _exponentials(h[own] @ p["wo"][k].T + p["bo"][k])
+        e, total = _exponentials(h[own], p["wo"][k].T, p["bo"][k])
         chance[own] *= e[rows[: len(own)], ids[own] % PER_CLASS] / total
     return np.log(np.maximum(chance, F32(1e-37)))
 
@@ -194,7 +197,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, fresh: np.
     g = {name: np.zeros_like(value) for name, value in p.items()}
     first = np.where(ids < HEAD, ids // PER_CLASS, ids - HEAD + CLASSES)
     rows = np.arange(n)
-    wrong, total = _exponentials(flat @ p["wc"] + p["bc"])
+    wrong, total = _exponentials(flat, p["wc"], p["bc"])
     loss = -float(np.log(wrong[rows, first] / total + F32(1e-37)).sum())
     wrong *= (1 / (total * n))[:, None]
     wrong[rows, first] -= F32(1 / n)
@@ -202,7 +205,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, fresh: np.
     back = wrong @ p["wc"].T
     for k, own in _by_class(ids):
         at, some, state = ids[own] % PER_CLASS, rows[: len(own)], flat[own]
-        miss, total = _exponentials(state @ p["wo"][k].T + p["bo"][k])
+        miss, total = _exponentials(state, p["wo"][k].T, p["bo"][k])
         loss -= float(np.log(miss[some, at] / total + F32(1e-37)).sum())
         miss *= (1 / (total * n))[:, None]
         miss[some, at] -= F32(1 / n)
@@ -218,8 +221,9 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, fresh: np.
         dn = dh * (1 - z) * (1 - m * m)
         dz = dh * (h_in - m) * z * (1 - z)
         dr = dn * u * r * (1 - r)
-        d_projected[t] = np.concatenate([dz, dr, dn], 1)
-        d_hidden[t] = np.concatenate([dz, dr, dn * r], 1)
+        d_projected[t, :, :WIDTH], d_projected[t, :, WIDTH : 2 * WIDTH], d_projected[t, :, 2 * WIDTH :] = dz, dr, dn
+        d_hidden[t, :, : 2 * WIDTH] = d_projected[t, :, : 2 * WIDTH]
+        np.multiply(dn, r, out=d_hidden[t, :, 2 * WIDTH :])
         before[t] = h_in
         dh = (dh * z + d_hidden[t] @ p["wh"].T) * ~fresh[t][:, None]
     g["wh"] = before.reshape(-1, WIDTH).T @ d_hidden.reshape(-1, 3 * WIDTH)
@@ -343,11 +347,11 @@ def document_scores(p: dict[str, np.ndarray], documents: Sequence[np.ndarray], s
     # Ids by step and then by document: those of a step lie together, and documents end from the back.
     alive = len(lengths) - np.cumsum(np.bincount(lengths, minlength=lengths[0] + 1))[: lengths[0]]
     first = np.concatenate([[0], np.cumsum(alive)])
-    lane = np.repeat(np.arange(len(lengths)), lengths)
-    when = np.arange(len(lane)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    ids, owner = np.empty(len(lane), np.int32), np.empty(len(lane), np.int32)
-    ids[first[when] + lane] = np.concatenate([documents[n] for n in order])
-    owner[first[when] + lane] = lane
+    ids, owner = np.empty(int(first[-1]), np.int32), np.empty(int(first[-1]), np.int32)
+    for lane, n in enumerate(order.tolist()):
+        at = first[: sizes[n]] + lane
+        ids[at] = documents[n]
+        owner[at] = lane
     out = np.zeros(len(lengths))
     projected = p["embed"] @ p["wx"] + p["b"]
     h, last = np.zeros((len(lengths), WIDTH), F32), np.full(len(lengths), start, np.int32)
@@ -403,7 +407,7 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         base = TaskContext.get().partitionId() << 40
         entry = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
         for whole in batches:
-            for batch in slices(whole, 4096):
+            for batch in slices(whole, 8192):
                 ids, logs, tails, sizes, there, rare = [], [], [], [], [], []
                 for text in texts_in(batch):
                     own, rows, missing = known.read(text)
