@@ -25,23 +25,23 @@ def trailing(n: int, by: Sequence[str] = SERIES, order: str = "date") -> WindowS
     return series(by, order).rowsBetween(-(n - 1), 0)
 
 
-def by_series(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
-    """Spread the series over all shuffle partitions.
+def by_series(df: DataFrame, by: Sequence[str] = SERIES, partitions: int | None = None) -> DataFrame:
+    """Spread the series over ``partitions``, by default the session's shuffle partitions.
 
     Window stages cost far more time per byte than a shuffle expects, so the number of
     partitions is stated and adaptive execution does not merge them by size.  Every later window
     by series reuses this exchange.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+    return df.repartition(partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
 
 
-def few_groups(groups: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Marks a table with one row per group for broadcast if the groups do not include series.
+def few_groups(groups: DataFrame, few: bool) -> DataFrame:
+    """Marks a table with one row per group for broadcast if the caller states that groups are ``few``.
 
-    Such groups are models, splits or features: their number is set by a trial or column list.
-    One row per series can be any number, and is left to the optimiser.
+    Groups of models, splits or features are: their number is set by a trial or column list.  Groups by
+    any other key can be any number, and are left to the optimiser.
     """
-    return groups if set(by) & set(SERIES) else F.broadcast(groups)
+    return F.broadcast(groups) if few else groups
 
 
 # Aggregates over a frame; skewness and kurtosis are computed from the collected frame instead.

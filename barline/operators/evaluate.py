@@ -99,23 +99,26 @@ def class_balance(predictions: DataFrame, by: By = ()) -> DataFrame:
     return counts.withColumn("pct", F.col("n") * 100.0 / total)
 
 
-def _by_score(predictions: DataFrame, by: By) -> DataFrame:
+def _by_score(predictions: DataFrame, by: By, bounded: bool) -> DataFrame:
     """Ups and downs per distinct forecast of a model, with those of all smaller forecasts."""
     up = F.col("y") > 0
     counts = {"pos": F.count_if(up), "neg": F.count_if(~up)}
-    return running_totals(predictions, [*by, "model"], "yhat", counts, bounded="symbol" in by)
+    return running_totals(predictions, [*by, "model"], "yhat", counts, bounded=bounded)
 
 
-def roc_auc(predictions: DataFrame, by: By = ()) -> DataFrame:
-    """Area under the ROC curve of the direction, ties counted half; NULL for a single class."""
+def roc_auc(predictions: DataFrame, by: By = (), bounded: bool = False) -> DataFrame:
+    """Area under the ROC curve of the direction, ties counted half; NULL for a single class.
+
+    ``bounded`` states that no group outgrows a task, as with ``by`` series and their calendar.
+    """
     wins = F.col("pos") * (F.col("neg_before") + F.col("neg") / 2)
     pairs = F.max("pos_all").cast("double") * F.max("neg_all")
-    return _by_score(predictions, by).groupBy(*by, "model").agg(F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
+    return _by_score(predictions, by, bounded).groupBy(*by, "model").agg(F.try_divide(F.sum(wins), pairs).alias("roc_auc"))
 
 
-def roc_points(predictions: DataFrame, by: By = ()) -> DataFrame:
+def roc_points(predictions: DataFrame, by: By = (), bounded: bool = False) -> DataFrame:
     """False and true positive rate for each distinct threshold, and the origin (threshold NULL)."""
-    scores = _by_score(predictions, by)
+    scores = _by_score(predictions, by, bounded)
     points = scores.select(
         *by, "model", F.col("yhat").alias("threshold"),
         F.try_divide((F.col("neg_all") - F.col("neg_before")).cast("double"), "neg_all").alias("fpr"),
@@ -129,13 +132,13 @@ def roc_points(predictions: DataFrame, by: By = ()) -> DataFrame:
 
 def score_scaling(predictions: DataFrame, by: By = ()) -> DataFrame:
     """Forecasts scaled to [0, 1] per model, which keeps their order."""
-    return minmax(predictions, ["yhat"], [*by, "model"], epsilon=1e-8)  # fixed value: 1e-8
+    return minmax(predictions, ["yhat"], [*by, "model"], epsilon=1e-8, few=not by)  # fixed value: 1e-8
 
 
-def classification_summary(predictions: DataFrame, by: By = ()) -> DataFrame:
+def classification_summary(predictions: DataFrame, by: By = (), bounded: bool = False) -> DataFrame:
     """Confusion counts, class metrics and AUC of each model."""
     scored = class_metrics(confusion(predictions, by))
-    return scored.join(roc_auc(predictions, by), [*by, "model"], "left")
+    return scored.join(roc_auc(predictions, by, bounded), [*by, "model"], "left")
 
 
 def check_metrics(summary: DataFrame, predictions: DataFrame, tolerance: float = 0.01, by: By = ()) -> DataFrame:
@@ -152,6 +155,24 @@ def check_metrics(summary: DataFrame, predictions: DataFrame, tolerance: float =
     return joined.where(wrong).drop("_right")
 
 
+def format_summary(summary: DataFrame) -> DataFrame:
+    """The summary table as published: four digits, ``N/A`` for a missing AUC, counts as they are."""
+
+    def digits(column: str) -> Column:
+        return F.format_string("%.4f", F.col(column))
+
+    # The column names of the table.
+    return summary.select(
+        F.col("model").alias("模型"),
+        digits("accuracy").alias("Accuracy"),
+        digits("precision").alias("Precision"),
+        digits("recall").alias("Recall"),
+        digits("f1").alias("F1-Score"),
+        F.when(F.coalesce("roc_auc", F.lit(0.0)) != 0, digits("roc_auc")).otherwise("N/A").alias("ROC-AUC"),
+        *[F.col(c).alias(c.upper()) for c in ("tn", "fp", "fn", "tp")],
+    )
+
+
 def format_report(summary: DataFrame) -> DataFrame:
     """One text block per model, ready for a text file."""
 
@@ -221,7 +242,7 @@ def residual_histogram(predictions: DataFrame, bins: int = 40, by: By = ()) -> D
     keys = [*by, "model"]
     residuals = predictions.select(*keys, (F.col("y") - F.col("yhat")).alias("residual"))
     spans = residuals.groupBy(*keys).agg(F.min("residual").alias("low"), F.max("residual").alias("high"))
-    binned = residuals.join(few_groups(spans, keys), keys).withColumn(
+    binned = residuals.join(few_groups(spans, not by), keys).withColumn(
         "bin", bin_of(F.col("residual"), F.col("low"), F.col("high"), bins)
     )
     return binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -232,7 +253,7 @@ def metric_heatmap(metrics: DataFrame, by: By = ()) -> DataFrame:
     rows = metrics.select(
         *by, "model", F.col("r2").alias("R2"), (-F.col("rmse")).alias("RMSE"), (-F.col("mae")).alias("MAE")
     ).unpivot([*by, "model"], ["R2", "RMSE", "MAE"], "metric", "value")
-    return minmax(rows, ["value"], [*by, "metric"])
+    return minmax(rows, ["value"], [*by, "metric"], few=not by)
 
 
 def estimate_params(metrics: DataFrame, n_features: int) -> DataFrame:

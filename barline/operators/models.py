@@ -28,6 +28,7 @@ from barline.operators.split import sequences
 from barline.plans.trials import ELASTIC_NET, LASSO_ALPHA, RIDGE_GRID, Trial
 
 SEED = 42  # fixed value
+TOLERANCE = 1e-10  # at which the sparse fits stop
 
 
 def model_rows(df: DataFrame, columns: Sequence[str], label: str = LABEL) -> tuple[DataFrame, Standardizer]:
@@ -68,7 +69,7 @@ def fit_ridge(train: DataFrame, alpha: float):
 
 def fit_lasso(train: DataFrame, alpha: float = LASSO_ALPHA, max_iter: int = 3000):
     """Mean squared error halved, plus ``alpha * |w|``."""
-    return LinearRegression(elasticNetParam=1.0, standardization=False, regParam=alpha, maxIter=max_iter).fit(train)
+    return LinearRegression(elasticNetParam=1.0, standardization=False, regParam=alpha, maxIter=max_iter, tol=TOLERANCE).fit(train)
 
 
 def fit_elastic_net(train: DataFrame, alpha: float = ELASTIC_NET[0], ratio: float = ELASTIC_NET[1], max_iter: int = 3000):
@@ -76,7 +77,7 @@ def fit_elastic_net(train: DataFrame, alpha: float = ELASTIC_NET[0], ratio: floa
     _, scale = _label_scale(train)
     first, second = alpha * ratio, alpha * (1 - ratio) * scale
     return LinearRegression(
-        elasticNetParam=first / (first + second), standardization=False, regParam=first + second, maxIter=max_iter
+        elasticNetParam=first / (first + second), standardization=False, regParam=first + second, maxIter=max_iter, tol=TOLERANCE
     ).fit(train)
 
 

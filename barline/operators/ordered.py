@@ -6,8 +6,10 @@ values are spread over buckets of about equal size, and the totals of the bucket
 added to a running total inside each bucket.
 
 Groups are few here (models, features): for groups as many as series use ``bounded``.  The
-bucket borders are values chosen by their hash.  They depend on the data alone, so a task
-that is run again after an executor was lost places every value where it was before.
+bucket borders are values chosen by their hash, at most ``MOST_BORDERS`` per group however many
+values it has, so the broadcast tables of borders and buckets do not grow with the data; borders only
+place values and never change a result.  They depend on the data alone, so a task that is run again
+after an executor was lost places every value where it was before.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKET_ROWS = 1 << 17  # distinct values per bucket, on average
+BUCKET_ROWS = 1 << 17  # distinct values per bucket, on average, until a group has its most borders
+MOST_BORDERS = 4096
 
 
 def _borders_below(value: str) -> Column:
@@ -66,14 +69,17 @@ def _in_buckets(
 ) -> tuple[DataFrame, DataFrame]:
     """Distinct values with their bucket, and per bucket the counts below it, inside it and in all.
 
-    One value in ``bucket_rows`` is a border, so the borders and the table of buckets, both
-    broadcast, stay near a hundred-thousandth of the values.  A group below that size is one bucket.
+    One value in ``bucket_rows`` is a border, and of these the ``MOST_BORDERS`` with the smallest hash in
+    each group.  Tasks keep no more than that many themselves.  A group below that size is one bucket.
     """
     # Every distinct value has a row, so the second condition holds throughout.  It keeps all
     # counts in this branch, which then reads the same exchange as the other one.
     some = sum((F.col(n) for n in names[1:]), F.col(names[0])) > 0
+    first = Window.partitionBy(*by).orderBy(F.xxhash64(value), value)
     borders = (
         distinct.where((F.pmod(F.xxhash64(value), F.lit(bucket_rows)) == 0) & some)
+        .withColumn("_nth", F.row_number().over(first))
+        .where(F.col("_nth") <= MOST_BORDERS)
         .groupBy(*by)
         .agg(F.sort_array(F.collect_list(value)).alias("_borders"))
         .withColumn(
@@ -109,13 +115,22 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def quantiles(
-    df: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float], bucket_rows: int = BUCKET_ROWS
+    df: DataFrame,
+    by: Sequence[str],
+    value: str,
+    probabilities: Mapping[str, float],
+    bucket_rows: int = BUCKET_ROWS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Exact quantiles per group, interpolated between the two neighbouring order statistics.
 
-    Only the buckets that hold a wanted order statistic are sorted.
+    Only the buckets that hold a wanted order statistic are sorted.  ``bounded`` states that no group
+    outgrows a task; groups may then be as many as series.
     """
     known = df.where(F.col(value).isNotNull())
+    if bounded:
+        exact = [F.percentile(F.col(value).cast("double"), F.lit(float(p))).alias(q) for q, p in probabilities.items()]
+        return known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *exact)
     distinct = known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n"))
     placed, before = _in_buckets(distinct, by, value, ["n"], bucket_rows)
     at = {name: (F.col("n_all") - 1) * F.lit(float(p)) for name, p in probabilities.items()}

@@ -274,12 +274,15 @@ class Standardizer:
         return df.withColumn(name, array_to_vector(F.array(*scaled)))
 
 
-def minmax(df: DataFrame, columns: Sequence[str], by: Sequence[str], epsilon: float = 0.0) -> DataFrame:
-    """Columns scaled to [0, 1] inside each group, as ``<column>_scaled``; NULL for a constant."""
+def minmax(df: DataFrame, columns: Sequence[str], by: Sequence[str], epsilon: float = 0.0, few: bool = False) -> DataFrame:
+    """Columns scaled to [0, 1] inside each group, as ``<column>_scaled``; NULL for a constant.
+
+    ``few`` states that the number of groups is set by a model, split or column list.
+    """
     spans = df.groupBy(*by).agg(
         *[F.min(c).alias(f"_lo_{c}") for c in columns], *[F.max(c).alias(f"_hi_{c}") for c in columns]
     )
-    scaled = df.join(few_groups(spans, by), list(by)).withColumns(
+    scaled = df.join(few_groups(spans, few), list(by)).withColumns(
         {
             f"{c}_scaled": F.try_divide(F.col(c) - F.col(f"_lo_{c}"), F.col(f"_hi_{c}") - F.col(f"_lo_{c}") + epsilon)
             for c in columns

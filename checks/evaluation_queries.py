@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from barline.operators import evaluate, split
 from barline.plans import scores
+from barline.session import shared_folder
+from barline.sources import sinks
 from checks import forecasts as fc
 from checks import panels as p
 from checks.feature_queries import split_sql
@@ -117,7 +119,7 @@ def roc_auc(spark, sf):
 
 @query(p.with_sql(PREDS, VAL, auc_sql("symbol,")) + shaped_sql("auc", ("symbol", "model"), ("roc_auc",)))
 def roc_auc_by_symbol(spark, sf):
-    return shaped(evaluate.roc_auc(val(spark, sf), SYMBOL), ("symbol", "model"), ("roc_auc",))
+    return shaped(evaluate.roc_auc(val(spark, sf), SYMBOL, bounded=True), ("symbol", "model"), ("roc_auc",))
 
 
 @query(
@@ -173,19 +175,50 @@ def _counts(label: str, a: str, b: str) -> str:
     return f"'{label}        ' || lpad({a}::VARCHAR, 6, ' ') || '    ' || lpad({b}::VARCHAR, 6, ' ') || chr(10)"
 
 
-@query(
-    p.with_sql(*SUMMARY)
-    + "SELECT model, '## ' || model || chr(10) || chr(10) || '**整体指标：**' || chr(10) || "
+BLOCK_SQL = (
+    "SELECT model, '## ' || model || chr(10) || chr(10) || '**整体指标：**' || chr(10) || "
     + " || ".join([_line("Accuracy", "accuracy"), _line("Precision", "precision"), _line("Recall", "recall"),
                    _line("F1-Score", "f1"), f"CASE WHEN roc_auc <> 0 THEN {_line('ROC-AUC', 'roc_auc')} ELSE '' END"])
     + " || chr(10) || '**混淆矩阵：**' || chr(10) || '```' || chr(10) || '                预测跌    预测涨' || chr(10) || "
     + " || ".join([_counts("实际跌", "tn", "fp"), _counts("实际涨", "fn", "tp")])
     + " || '```' || chr(10) || chr(10) || repeat('-', 80) || chr(10) AS block FROM summary"
 )
+
+
+@query(p.with_sql(*SUMMARY) + BLOCK_SQL)
 def classification_report(spark, sf):
     return evaluate.format_report(evaluate.classification_summary(val(spark, sf)))
 
 
+@query(
+    p.with_sql(*SUMMARY, f"r AS ({BLOCK_SQL})", f"""l AS (SELECT unnest(string_split(block, chr(10))) AS value FROM r
+  UNION ALL SELECT unnest(['{sinks.REPORT_TITLE}', '', '{sinks.TITLE_RULE}', '']))""")
+    + "SELECT value, count(*) AS n FROM l GROUP BY 1"
+)
+def report_file(spark, sf):
+    """The report as written, read back line by line."""
+    path = shared_folder(spark, "report")
+    sinks.write_report(classification_report(spark, sf), path)
+    return spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+
+
+TEXTS = {"Accuracy": "accuracy", "Precision": "precision", "Recall": "recall", "F1-Score": "f1"}
+
+
+@query(
+    p.with_sql(*SUMMARY)
+    + "SELECT model, " + ", ".join(f"printf('%.4f', {c}) AS \"{n}\"" for n, c in TEXTS.items())
+    + ", CASE WHEN coalesce(roc_auc, 0) <> 0 THEN printf('%.4f', roc_auc) ELSE 'N/A' END AS \"ROC-AUC\", "
+    + ", ".join(f"{c}::VARCHAR AS {c.upper()}" for c in ("tn", "fp", "fn", "tp")) + " FROM summary"
+)
+def summary_csv(spark, sf):
+    """The formatted summary with a byte order mark, read back."""
+    path = shared_folder(spark, "summary-csv")
+    sinks.write_csv(evaluate.format_summary(evaluate.classification_summary(val(spark, sf))), path, mark=True)
+    found = spark.read.option("header", True).csv(path)
+    return found.toDF("model", *found.columns[1:])
+
+
 # --- tables behind the charts -------------------------------------------------------------
 
 TM = fc.test_metrics_sql()

@@ -488,6 +488,18 @@ def time_folds(spark, sf):
     return shaped(split.time_folds(labelled_returns(spark, sf), 3), KEYS, (), ("fold",))
 
 
+@query(
+    p.with_sql(*LABELLED_SQL, """days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n
+  FROM (SELECT DISTINCT date FROM lab))""", """cut AS (
+  SELECT date, CASE WHEN i < (n % 3) * (n // 3 + 1) THEN i // (n // 3 + 1)
+                    ELSE n % 3 + (i - (n % 3) * (n // 3 + 1)) // nullif(n // 3, 0) END AS fold FROM days)""",
+               "folded AS (SELECT symbol, lab.date, fold FROM lab JOIN cut ON lab.date = cut.date)")
+    + shaped_sql("folded", KEYS, (), ("fold",))
+)
+def time_folds_by_date(spark, sf):
+    return shaped(split.time_folds(labelled_returns(spark, sf), 3, mode="date"), KEYS, (), ("fold",))
+
+
 SEQUENCED = ("return", "volume_change")
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.ml.regression import DecisionTreeRegressor
+import numpy as np
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
-from barline.operators import choose, ensemble, evaluate, features, fill, models, split
+from barline.operators import choose, ensemble, evaluate, features, fill, models, select, split
 from barline.operators.profile import Standardizer, moments
 from barline.plans import trials
-from barline.session import materialise
+from barline.session import materialise, shared_folder
+from barline.sources import sinks
 from checks import panels as p
 from checks.feature_queries import SUPPLIER, date_split_sql
 from checks.registry import fixed_sql, query, shaped, shaped_sql
@@ -291,3 +294,144 @@ def blended_model_scores(spark, sf):
     stack = ensemble.stack_fit(forecasts, ["Ridge_500", forest.name])
     stacked = ensemble.stack_apply(forecasts, ["Ridge_500", forest.name], stack, "Ensemble_R2³_2模型")
     return scored(forecasts.unionByName(ensemble.blend(forecasts, weights)).unionByName(stacked))
+
+
+# --- statements that hold for any data, recomputed from it: every row has to say 1 ----------------
+
+
+def holds(spark, **facts):
+    """One row per fact: 1 where it holds."""
+    return spark.createDataFrame([(name, int(bool(value))) for name, value in facts.items()], "fact string, holds bigint")
+
+
+def all_hold(*names):
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{n}', CAST(1 AS BIGINT))" for n in names) + ") t(fact, holds)"
+
+
+@query(all_hold("best_is_largest", "equal_to_refit", "falls_behind_best"))
+def ridge_search_facts(spark, sf):
+    """The chosen alpha has the best held-out score, recomputed by fits on the folds themselves."""
+    df = materialise(two_features(spark, sf))
+    train = materialise(split.time_folds(df.where(F.col("split") == "train"), 3, mode="date"))
+    scaled = materialise(Standardizer(TWO).fit(train).transform(train))
+    alphas = (1.0, 500.0, 50000.0)
+    best, scores, *_ = models.ridge_path(scaled, TWO, alphas)
+    again = {}
+    for alpha in alphas:
+        r2 = []
+        for fold in range(3):
+            weights, intercept = models.ridge_solution(moments(scaled.where(F.col("fold") != fold), [*TWO, LABEL]), alpha)
+            held = scaled.where(F.col("fold") == fold).withColumn("e", F.col(LABEL) - models.linear_forecast(TWO, weights, intercept))
+            r2.append(held.agg(1 - F.sum(F.col("e") ** 2) / (F.var_pop(LABEL) * F.count(LABEL))).first()[0])
+        again[alpha] = sum(r2) / 3
+    return holds(
+        spark, best_is_largest=scores[best] == max(scores.values()), equal_to_refit=all(abs(scores[a] - again[a]) < 1e-8 for a in alphas),
+        falls_behind_best=all(again[a] <= again[best] + 1e-12 for a in alphas),
+    )
+
+
+@query(all_hold("lasso_conditions", "elastic_net_conditions"))
+def sparse_model_facts(spark, sf):
+    """Conditions of the optimum: the gradient equals the penalty's slope, or stays within it at zero."""
+    rows, *_ = model_rows(spark, sf)
+    train = models.part(rows, "train")
+    k = len(train.first()["features"])
+    wide = materialise(train.select("label", *[vector_to_array("features")[i].alias(f"f{i}") for i in range(k)]))
+    found = moments(wide, [*[f"f{i}" for i in range(k)], "label"])
+    covariance = np.nan_to_num(found.corr) * np.outer(found.std, found.std)
+
+    def optimal(weights, first, second):
+        slope = covariance[:-1, -1] - covariance[:-1, :-1] @ weights - second * weights
+        near = 1e-5 * found.std[-1]
+        return all(abs(s - first * np.sign(w)) < near if w else abs(s) <= first + near for s, w in zip(slope, weights))
+
+    lasso = models.fit_lasso(train).coefficients.toArray()
+    alpha, ratio = trials.ELASTIC_NET
+    net = models.fit_elastic_net(train, alpha, ratio).coefficients.toArray()
+    return holds(spark, lasso_conditions=optimal(lasso, trials.LASSO_ALPHA, 0.0), elastic_net_conditions=optimal(net, alpha * ratio, alpha * (1 - ratio)))
+
+
+@query(all_hold("shares_fall", "shares_sum_to_one", "loadings_orthonormal"))
+def component_facts(spark, sf):
+    rows, columns, *_ = model_rows(spark, sf)
+    model = models.fit_pca(models.part(rows, "train"), len(columns))
+    shares, loadings = model.explainedVariance.toArray(), model.pc.toArray()
+    return holds(
+        spark, shares_fall=(np.diff(shares) <= 1e-12).all(), shares_sum_to_one=abs(shares.sum() - 1) < 1e-6,
+        loadings_orthonormal=np.allclose(loadings.T @ loadings, np.eye(len(columns)), atol=1e-6),
+    )
+
+
+@query(all_hold("factors_of_three", "steps_never_rise", "no_factor_above_the_limit"))
+def selection_facts(spark, sf):
+    """The cascade on the feature table; inflation factors against regressions on the other columns."""
+    df = materialise(split.chrono_split(fill.drop_warmup(features.forward_return(features.returns(p.bars(spark, sf)))), mode="date"))
+    train = df.where(F.col("split") == "train")
+    three = ["return", "volume_change", "log_return"]
+    rows = materialise(train.select(*[F.col(c).alias(c) for c in three]).withColumn("log_return", F.col("log_return") + F.col("volume_change") / 50))
+    found = moments(rows, three)
+    factors = {r["feature"]: r["vif"] for r in select.vif_table(rows, three).collect()}
+    by_hand = np.diag(np.linalg.inv(found.corr))
+    chosen = select.select_features(train, features.feature_columns(train), min_keep=2)
+    sizes = [len(kept) for _, kept in chosen.steps[:5]]
+    left = dict(chosen.steps)["inflation"]
+    last = np.diag(np.linalg.pinv(moments(train, left).corr)) if len(left) > 1 else np.ones(1)
+    return holds(
+        spark, factors_of_three=all(abs(factors[c] / v - 1) < 1e-6 for c, v in zip(three, by_hand)),
+        steps_never_rise=all(a >= b for a, b in zip(sizes, sizes[1:])) and len(chosen.sequence) <= len(chosen.tabular) <= sizes[-1],
+        no_factor_above_the_limit=len(left) <= 2 or (last <= select.VIF_LIMIT + 1e-6).all(),
+    )
+
+
+@query(all_hold("no_test_date_in_training", "weights_sum_to_one", "steps_never_rise", "blend_scored", "selected_columns_fitted"))
+def panel_pipeline(spark, sf):
+    """The whole path: features, warm-up, split by date, selection, fits on the selected set, blend, score."""
+    table = features.feature_table(p.indicators(spark, sf))
+    table = materialise(split.chrono_split(fill.drop_warmup(table), mode="date"))
+    train = table.where(F.col("split") == "train")
+    chosen = select.select_features(train, features.feature_columns(table))
+    rows, _ = models.model_rows(table, chosen.tabular)
+    rows = materialise(rows)
+    fitted = models.part(rows, "train")
+    forest = trials.RF_TRIALS[2]
+    forecasts = materialise(
+        models.predict(models.fit_ridge(fitted, 500.0), test_rows(rows), "Ridge_500").unionByName(
+            models.predict(models.fit_forest(fitted, forest), test_rows(rows), forest.name)
+        )
+    )
+    picks = choose.pick_heterogeneous(evaluate.regression_metrics(evaluate.common_rows(forecasts)).where(F.col("split") == "val"))
+    weights = materialise(ensemble.power_weights(ensemble.ensemble_sizes(picks)))
+    blended = evaluate.regression_metrics(ensemble.blend(forecasts.where(F.col("split") == "test"), weights))
+    dates = {r["split"]: (r["a"], r["b"]) for r in table.groupBy("split").agg(F.min("date").alias("a"), F.max("date").alias("b")).collect()}
+    sums = [r["s"] for r in weights.groupBy("ensemble").agg(F.sum("weight").alias("s")).collect()]
+    sizes = [len(kept) for _, kept in chosen.steps[:5]]
+    return holds(
+        spark, no_test_date_in_training=dates["train"][1] < dates["val"][0] and dates["val"][1] < dates["test"][0],
+        weights_sum_to_one=bool(sums) and all(abs(s - 1) < 1e-9 for s in sums), steps_never_rise=all(a >= b for a, b in zip(sizes, sizes[1:])),
+        blend_scored=blended.where("r2 is not null").count() == len(sums), selected_columns_fitted=len(fitted.first()["features"]) == len(chosen.tabular),
+    )
+
+
+@query(all_hold("same_forecasts", "other_parameters_refitted"))
+def stored_model_facts(spark, sf):
+    """A stored model forecasts what the fitted one does; other parameters are never mistaken for it."""
+    rows, _ = models.model_rows(two_features(spark, sf), TWO)
+    train, path = materialise(models.part(rows, "train")), shared_folder(spark, "models")
+    first, again = (sinks.fit_or_load(LinearRegression(regParam=0.1), train, path) for _ in range(2))
+    other = sinks.fit_or_load(LinearRegression(regParam=0.2), train, path)
+    test = models.part(rows, "test").select("features", "label")
+    apart = lambda m: first.transform(test).select("features", F.col("prediction").alias("a")).join(
+        m.transform(test).select("features", "prediction"), "features"
+    ).agg(F.max(F.abs(F.col("a") - F.col("prediction")))).first()[0]
+    return holds(spark, same_forecasts=apart(again) == 0, other_parameters_refitted=apart(other) > 0)
+
+
+@query(all_hold("importances_sum_to_one", "votes_follow_the_majority"))
+def tree_facts(spark, sf):
+    rows, columns, *_ = model_rows(spark, sf)
+    shares = models.feature_importance(models.fit_forest(models.part(rows, "train"), trials.RF_TRIALS[2]), columns, spark)
+    classes = materialise(models.predict_direction(models.fit_direction(rows), models.part(rows, "test")))
+    votes = models.vote(classes).select("split", "symbol", "date", F.col("yhat").alias("vote"))
+    wide = classes.groupBy("split", "symbol", "date").agg(F.sum("yhat").alias("up"), F.count(F.lit(1)).alias("n")).join(votes, ["split", "symbol", "date"])
+    wrong = wide.where(F.col("vote") != (F.col("up") * 2 > F.col("n")).cast("double")).count()
+    return holds(spark, importances_sum_to_one=abs(shares.agg(F.sum("importance")).first()[0] - 1) < 1e-9, votes_follow_the_majority=wrong == 0)

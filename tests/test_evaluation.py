@@ -150,7 +150,9 @@ def auc_by_pairs(rows):
 def test_auc_with_ties_equals_all_pairs(spark):
     rows = [(1, 0.3), (1, 0.3), (-1, 0.3), (-1, 0.1), (1, 0.9), (-1, 0.9), (1, 0.5), (-1, 0.2), (1, 0.2), (-1, 0.7)]
     assert abs(evaluate.roc_auc(forecasts(spark, rows)).first()["roc_auc"] - auc_by_pairs(rows)) < 1e-12
-    assert abs(evaluate.roc_auc(forecasts(spark, rows), ["symbol"]).first()["roc_auc"] - auc_by_pairs(rows)) < 1e-12
+    for bounded in (False, True):
+        found = evaluate.roc_auc(forecasts(spark, rows), ["symbol"], bounded).first()["roc_auc"]
+        assert abs(found - auc_by_pairs(rows)) < 1e-12
 
 
 def test_auc_of_a_single_class_is_missing(spark):
@@ -175,6 +177,19 @@ def test_running_totals_and_quantiles_over_buckets(spark, bucket_rows):
         np.testing.assert_allclose([q[g]["q1"], q[g]["q2"], q[g]["hi"]], np.quantile(own, [0.25, 0.5, 1.0]))
 
 
+def test_few_borders_place_values_but_change_no_result(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "MOST_BORDERS", 3)
+    values = [1.0] * 400 + np.random.default_rng(6).normal(0, 3, 400).round(2).tolist()
+    df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+    placed, before = ordered._in_buckets(df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), ["g"], "v", ["n"], 2)
+    assert 1 < before.count() <= 4
+    for bounded in (False, True):
+        q = ordered.quantiles(df, ["g"], "v", {"q1": 0.25, "q3": 0.75}, 2, bounded).first()
+        np.testing.assert_allclose([q["q1"], q["q3"]], np.quantile(values, [0.25, 0.75]))
+    ranks = {r["v"]: r["n_before"] for r in ordered.running_totals(df, ["g"], "v", {"n": F.count(F.lit(1))}, 2).collect()}
+    assert all(ranks[v] == sum(x < v for x in values) for v in values[:40])
+
+
 def test_regression_scores(spark):
     rows = [(1, 0.5), (2, 2.5), (-1, 0.0), (4, 3.0)]
     got = evaluate.regression_metrics(forecasts(spark, rows)).first()
