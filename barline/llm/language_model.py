@@ -405,10 +405,10 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         known, network, n = words.value, model.value, 0
         start = int(known.ids[known.index[END]]) if END in known.index else HEAD + tail_class(END)
         base = TaskContext.get().partitionId() << 40
-        entry = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
         for whole in batches:
-            for batch in slices(whole, 8192):
-                ids, logs, tails, sizes, there, rare = [], [], [], [], [], []
+            for batch in slices(whole, 4096):
+                ids, logs, tails, sizes, there = [], [], [], [], []
+                rare, times, cuts = [], [], [0]
                 for text in texts_in(batch):
                     own, rows, missing = known.read(text)
                     ids.append(own)
@@ -419,12 +419,16 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
                     logs.append(float(known.log_count[seen].sum()))
                     # A tail word has its share of the class: count + 1 over the mass; rare counts come later.
                     tails.append(float(known.log_count[rows[far & (rows >= 0)]].sum()) - float(known.log_tail[own[far] - HEAD].sum()))
-                    rare.append([{"word": w, "n": k} for w, k in Counter(missing).items()])
+                    own_rare = Counter(missing)
+                    rare += own_rare
+                    times += own_rare.values()
+                    cuts.append(len(rare))
                 found = document_scores(network, ids, start) / np.log(10) + np.array(tails)
+                entries = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], ["word", "n"])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(base + n, base + n + len(ids))), batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, pa.int64()),
-                        pa.array(there, pa.int64()), pa.array(logs, pa.float64()), pa.array(found, pa.float64()), pa.array(rare, entry),
+                        pa.array(there, pa.int64()), pa.array(logs, pa.float64()), pa.array(found, pa.float64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), entries),
                     ],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare"],
                 )
