@@ -49,9 +49,9 @@ def write_metrics_json(metrics: DataFrame, path: str) -> None:
     metrics.select("model", F.struct(*scores).alias("scores")).write.mode("overwrite").json(path)
 
 
-# Head and rules of the classification report.
+# Head of the classification report.
 REPORT_TITLE = "# 验证集涨跌预测分类报告"
-TITLE_RULE, BLOCK_RULE = "=" * 80, "-" * 80
+TITLE_RULE = "=" * 80
 
 
 def write_report(report: DataFrame, path: str) -> None:
@@ -60,7 +60,7 @@ def write_report(report: DataFrame, path: str) -> None:
     A report has one block per model, a number set by the trial list.
     """
     head = report.sparkSession.createDataFrame([("", f"{REPORT_TITLE}\n\n{TITLE_RULE}\n")], "model string, value string")
-    blocks = report.select("model", F.concat("block", F.lit(f"\n\n{BLOCK_RULE}\n")).alias("value"))
+    blocks = report.select("model", F.col("block").alias("value"))
     head.unionByName(blocks).coalesce(1).sortWithinPartitions("model").select("value").write.mode("overwrite").text(path)
 
 
