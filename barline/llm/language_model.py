@@ -76,6 +76,23 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush(counts)
 
 
+def frequent(counts: DataFrame, most: int) -> DataFrame:
+    """``word, n`` of the end and of the most frequent words, fewer than ``most``.
+
+    Words are taken by bins of their count, sixteen to a doubling, as long as whole bins fit; no task
+    sorts or gathers more than the few hundred bins.
+    """
+    level = F.floor(F.log2("n") * 16).cast("int")
+    bins = counts.where(F.octet_length("word") > 0).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("words")).collect()
+    least, taken = 1 << 30, 1
+    for r in sorted(bins, key=lambda r: -r["level"]):
+        taken += r["words"]
+        if taken > most:
+            break
+        least = r["level"]
+    return counts.where((level >= least) | (F.octet_length("word") == 0)).select("word", "n")
+
+
 class Vocabulary:
     """The bounded table of frequent words, and the masses of all classes.
 
@@ -390,8 +407,9 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     mass = np.zeros(TAILS)
     for r in counts.groupBy("tail").agg(F.sum(F.col("n") + 1).alias("n")).collect():
         mass[r["tail"]] = r["n"]
-    top = counts.orderBy((F.octet_length("word") > 0).cast("int"), F.col("n").desc(), "word").limit(TABLE).toArrow()
-    vocabulary = Vocabulary(top.column("word").to_pylist(), top.column("n").to_pylist(), mass, sums["total"], sums["distinct"])
+    top = frequent(counts, TABLE).toArrow().to_pylist()
+    top.sort(key=lambda r: (r["word"] != END, -r["n"], r["word"]))
+    vocabulary = Vocabulary([r["word"] for r in top], [r["n"] for r in top], mass, sums["total"], sums["distinct"])
     words = context.broadcast(vocabulary)
     p = initial(vocabulary)
     if sums["total"]:

@@ -31,8 +31,8 @@ TOP = 5
 FOLDS = 5
 CALIBRATION_FOLD = 4
 #: Bounds of the labelled sample that the models are fitted to: rows of each class, and rows of the curve.
-FIT_ROWS = 2000
-CALIBRATION_ROWS = 4000
+FIT_ROWS = 1500
+CALIBRATION_ROWS = 3000
 
 FEATURES = ("mean_ratio", "top_1", "top_2", "top_3", "top_mean", "log_excess", "log_total", "log_words", "log_clear", "log_strong")
 #: Weights of the features and the intercept where too few labels are left to fit the curve.

@@ -262,7 +262,7 @@ def test_language_model_odd_rows(spark):
 def test_rare_words_come_from_the_join(spark, monkeypatch):
     rows = [(n, " ".join(f"w{k}" for k in range(n % 30))) for n in range(120)]
     wide = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in language_model.score(odd(spark, rows)).collect()}
-    monkeypatch.setattr(language_model, "TABLE", 4)
+    monkeypatch.setattr(language_model, "TABLE", 12)
     few = {r["doc_id"]: (r["n_known"], r["base_score"]) for r in language_model.score(odd(spark, rows)).collect()}
     assert few.keys() == wide.keys() and all(few[i] == pytest.approx(wide[i]) for i in wide)
 
