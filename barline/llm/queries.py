@@ -111,6 +111,23 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
+# Every string of 100 bytes of every document, in hex; all but its first occurrence cover their bytes.
+ORACLES["op10_suffix_dedup"] = """
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT *, length(x) // 2 AS n FROM h),
+w AS (SELECT doc_id, s, substr(x, 2 * s + 1, 200) AS k FROM (SELECT *, unnest(range(0, greatest(n - 99, 0))) AS s FROM n)),
+f AS (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS nth FROM w),
+g AS (SELECT doc_id, s, s - lag(s) OVER (PARTITION BY doc_id ORDER BY s) AS gap FROM f WHERE nth > 1),
+r AS (SELECT doc_id, s, count(*) FILTER (gap IS NULL OR gap > 100) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
+runs AS (SELECT doc_id, run, min(s) AS a, max(s) + 100 AS b FROM r GROUP BY 1, 2),
+parts AS (SELECT doc_id, run, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM runs),
+kept AS (SELECT p.doc_id, sum(b - a) AS gone, count(*) AS spans,
+  string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS head, max(b) AS last FROM parts p JOIN n ON p.doc_id = n.doc_id GROUP BY 1)
+SELECT n.doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM n LEFT JOIN kept ON n.doc_id = kept.doc_id"""
+
+
 @query
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of every document without the bytes of 100-byte strings that start earlier too."""
