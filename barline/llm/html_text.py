@@ -7,16 +7,19 @@ deleted.
 
 Two lines are the same if they stand in the same slot of the page's furniture (navigation, header,
 footer, sidebar, advert, form, comments and the like) or, elsewhere outside an article or main element,
-if they also read the same. Lines of an article or main element are never shared: two pages of a host
-often carry the same article or paragraph, which a plain difference would delete. Furniture that no partner shares (a
-host with one page, a slot that only one of the two has) goes by the exact check behind, which knows
-the slot.
+if they also read the same. Lines of an article or main element are the same if they read the same.
+Two pages of a host often carry the same article or paragraph, which a plain difference would delete,
+so one partner is no evidence there. The neighbours around are compared whose main text differs, from the
+page's and from each other's, and such a line goes if the subsequences with a share of ``SHARE`` of
+them, and with ``WITNESSES`` at least, hold it. Furniture that no partner shares (a host with one page,
+a slot that only one of the two has) goes by the exact check behind, which knows the slot.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from collections import deque
 from collections.abc import Iterator, Sequence
 from html import unescape
 from os.path import commonprefix
@@ -62,6 +65,11 @@ SPACE = re.compile(r"\s+")
 FURNITURE, OTHER, MAIN, ARTICLE = 0, 1, 2, 3
 ROWS_PER_BUCKET = 250
 MOST_BUCKETS = 20_000
+PER_CUT = 8  # keys picked for each bucket; half of them lie between a cut and the end of the margin
+AROUND = 8  # pages on each side that are held beside a page
+DIFFERENT = 8  # most neighbours of differing main text that a page's main lines are compared with
+WITNESSES = 2  # of these have to share a main line for it to go, and
+SHARE = 0.75  # of those compared
 
 
 def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
@@ -215,14 +223,14 @@ def _key(place: str, page: str) -> str:
     return place + "\x00" + page
 
 
-_LINES = "page_id {id}, url string, bucket int, key string, copy boolean, highest int, kinds binary, marks binary, texts string"
+_LINES = "page_id {id}, url string, bucket int, key string, copy boolean, highest int, kinds binary, marks binary, sizes binary, texts string"
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
     """``page_id, url, text`` for every row of ``pages``.
 
     Pages are dealt into buckets of about ``ROWS_PER_BUCKET`` rows in the order of host, path and id; the
-    first page of a bucket is seen by the bucket before it too, as a partner only. Null or empty html has
+    pages within about half a bucket of a cut are seen by the bucket behind it too, as neighbours only. Null or empty html has
     empty text. Rows with a null or odd URL form a host of their own, repeated rows are each other's
     partner, and a page without a neighbour on its host loses only what the exact check knows.
     """
@@ -232,31 +240,39 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
     ids = source.select(F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("page"), "url")
     count = ids.count()
     buckets = max(1, min(MOST_BUCKETS, count // ROWS_PER_BUCKET))
-    # Cuts are keys picked by a hash, about four times as many as buckets, so that every fourth splits evenly.
-    step = max(1, count // (4 * buckets))
+    # Cuts are keys picked by a hash, ``PER_CUT`` times as many as buckets, so that every ``PER_CUT``th splits evenly.
+    step = max(1, count // (PER_CUT * buckets))
     picked = ids.where(F.pmod(F.xxhash64("page", "url"), F.lit(step)) == 0).distinct().collect() if buckets > 1 else []
-    cuts = sorted({_key(_place(r["url"]), r["page"]) for r in picked})[::4][1:]
+    keys = sorted({_key(_place(r["url"]), r["page"]) for r in picked})
+    cuts = keys[::PER_CUT][1:]
+
+    def buckets_of(key: str) -> list[int]:
+        """The page's own bucket, and those that see it from the other side of a cut."""
+        own, at = bisect.bisect_right(cuts, key), bisect.bisect_right(keys, key)
+        before = own > 0 and at <= own * PER_CUT + PER_CUT // 2
+        behind = own < len(cuts) and at > (own + 1) * PER_CUT - PER_CUT // 2
+        return [own, *[own - 1] * before, *[own + 1] * behind]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 64):
-                rows, out = [], [[] for _ in range(7)]
+                rows, out = [], [[] for _ in range(8)]
                 pages_ = batch.column("page_id").to_pylist()
                 for n, (page, url, html) in enumerate(zip(pages_, batch.column("url").to_pylist(), batch.column("html").to_pylist())):
                     found, highest = lines(html)
                     key = _key(_place(url), "" if page is None else str(page))
                     marks = np.array([_mark(*line) for line in found], np.uint64).tobytes()
-                    bucket = bisect.bisect_right(cuts, key)
-                    first = bucket > 0 and cuts[bucket - 1] == key
-                    for to, copy in ((bucket, False), (bucket - 1, True))[: 1 + first]:
+                    sizes = np.array([len(t) for _, _, t in found], np.uint32).tobytes()
+                    for copy, to in enumerate(buckets_of(key)):
                         rows.append(n)
-                        for column, value in zip(out, (to, key, copy, highest, bytes(k for k, _, _ in found), marks, "" if copy else "\n".join(t for _, _, t in found))):
+                        texts = "" if copy else "\n".join(t for _, _, t in found)
+                        for column, value in zip(out, (to, key, copy > 0, highest, bytes(k for k, _, _ in found), marks, sizes, texts)):
                             column.append(value)
                 take = pa.array(rows, pa.int64())
-                types = (pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.string())
+                types = (pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("page_id").take(take), batch.column("url").take(take), *(pa.array(c, t) for c, t in zip(out, types))],
-                    ["page_id", "url", "bucket", "key", "copy", "highest", "kinds", "marks", "texts"],
+                    ["page_id", "url", "bucket", "key", "copy", "highest", "kinds", "marks", "sizes", "texts"],
                 )
 
     dealt = source.mapInArrow(read, _LINES.format(id=kind)).repartition("bucket").sortWithinPartitions("bucket", "key", "copy")
@@ -264,60 +280,91 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
 
 
 def _mark(kind: int, slot: str, text: str) -> int:
-    """What makes two lines the same; lines of an article or main element are never compared."""
+    """What makes two lines the same."""
     if kind >= MAIN:
-        return 0
+        return xxhash.xxh64_intdigest(text)
     return xxhash.xxh64_intdigest(f"{kind}{slot}" if kind == FURNITURE else f"{kind}{slot}\n{text}")
 
 
+class _Page:
+    """A row with its marks, those of its main text apart."""
+
+    def __init__(self, row: dict):
+        self.row, self.kinds = row, row["kinds"]
+        self.host = row["bucket"], row["key"].partition("\x01")[0]
+        marks, sizes = np.frombuffer(row["marks"], np.uint64).tolist(), np.frombuffer(row["sizes"], np.uint32).tolist()
+        split = [[(n, m) for n, (k, m) in enumerate(zip(self.kinds, marks)) if (k >= MAIN) == main] for main in (False, True)]
+        (self.around_at, self.around), (self.main_at, self.main) = [([n for n, _ in part], [m for _, m in part]) for part in split]
+        self.size = dict(zip(self.main, (sizes[n] for n in self.main_at)))
+        self.letters = sum(self.size.values())
+
+    def near(self, other: _Page) -> int:
+        return len(commonprefix([self.row["key"], other.row["key"]]))
+
+    def differs(self, other: _Page) -> bool:
+        """Whether they share under half of the lines or of the letters of the smaller main text."""
+        both = self.size.keys() & other.size.keys()
+        return 2 * len(both) < min(len(self.size), len(other.size)) or 2 * sum(self.size[m] for m in both) < min(self.letters, other.letters)
+
+
+def _repeated(page: _Page, around: Sequence[_Page]) -> set[int]:
+    """Places of the main lines that neighbours of differing main text share, the nearest first."""
+    held: dict[int, int] = {}
+    seen: list[_Page] = []
+    for other in around:
+        if other.main and all(other.differs(p) for p in (page, *seen)):
+            seen.append(other)
+            for n in shared(page.main, other.main):
+                held[n] = held.get(n, 0) + 1
+            if len(seen) == DIFFERENT:
+                break
+    return {page.main_at[n] for n, times in held.items() if times >= max(WITNESSES, SHARE * len(seen))}
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows beside their neighbours: one page behind and one ahead are held at a time."""
+    """Sorted rows beside their neighbours: ``AROUND`` pages behind and ahead are held at a time."""
 
     kind: list[pa.DataType] = []
 
-    def rows() -> Iterator[dict]:
+    def rows() -> Iterator[_Page]:
         for whole in batches:
             kind[:] = [whole.schema.field("page_id").type]
             for batch in slices(whole, 64):
-                yield from batch.to_pylist()
-
-    def host(row: dict) -> tuple[int, str]:
-        return row["bucket"], row["key"].partition("\x01")[0]
-
-    def near(row: dict, other: dict | None) -> int:
-        if other is None or host(other) != host(row):
-            return -1
-        return len(commonprefix([row["key"], other["key"]]))
+                yield from map(_Page, batch.to_pylist())
 
-    def text(row: dict, partner: dict | None) -> str:
-        if not row["texts"]:
+    def text(page: _Page, before: Sequence[_Page], after: Sequence[_Page]) -> str:
+        """``before`` and ``after`` have the nearest page first."""
+        if not page.row["texts"]:
             return ""
-        gone: set[int] = set()
-        kinds = row["kinds"]
-        if partner is not None:
-            own, other = (
-                [(n, m) for n, (k, m) in enumerate(zip(r["kinds"], np.frombuffer(r["marks"], np.uint64).tolist())) if k < MAIN] for r in (row, partner)
-            )
-            gone = {own[n][0] for n in shared([m for _, m in own], [m for _, m in other])}
-        gone |= {n for n, k in enumerate(kinds) if k == FURNITURE}  # the exact check
-        return kept(kinds, row["highest"], row["texts"].split("\n"), gone)
+        sides = [(-page.near(p), n, side, p) for side, pages in enumerate((after, before)) for n, p in enumerate(pages) if p.host == page.host]
+        around = [p for *_, p in sorted(sides, key=lambda s: s[:3])]
+        gone = {n for n, k in enumerate(page.kinds) if k == FURNITURE}  # the exact check
+        if around:
+            gone |= {page.around_at[n] for n in shared(page.around, around[0].around)} | _repeated(page, around)
+        return kept(page.kinds, page.row["highest"], page.row["texts"].split("\n"), gone)
 
     done: list[tuple] = []
-    before, row = None, None
-    for after in _with_end(rows()):
-        if row is not None and not row["copy"]:
-            left, right = near(row, before), near(row, after)
-            partner = None if max(left, right) < 0 else after if right >= left else before
-            done.append((row["page_id"], row["url"], text(row, partner)))
+    held: deque[_Page] = deque()
+    at = 0  # place of the next page to write in ``held``
+    for page in _with_end(rows()):
+        if page is not None:
+            held.append(page)
+        while at < len(held) and (page is None or len(held) - at > AROUND):
+            own, pages = held[at], list(held)
+            if not own.row["copy"]:
+                done.append((own.row["page_id"], own.row["url"], text(own, pages[:at][::-1], pages[at + 1 :])))
+            at += 1
+            if at > AROUND:
+                held.popleft()
+                at -= 1
             if len(done) == 256:
                 yield _batch(done, kind[0])
                 done = []
-        before, row = row, after
     if done:
         yield _batch(done, kind[0])
 
 
-def _with_end(rows: Iterator[dict]) -> Iterator[dict | None]:
+def _with_end(rows: Iterator[_Page]) -> Iterator[_Page | None]:
     yield from rows
     yield None
 

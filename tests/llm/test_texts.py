@@ -148,6 +148,22 @@ def test_lines_shared_with_the_nearest_page_go_without_marked_main_text(spark):
     assert got[8].split("\n\n")[2] == "x"
 
 
+@pytest.mark.parametrize("per_bucket", [250, 3])
+def test_lines_repeated_inside_articles_go(spark, monkeypatch, per_bucket):
+    monkeypatch.setattr(html_text, "ROWS_PER_BUCKET", per_bucket)
+    page = "<nav>Menu</nav><article><h1>Title %s</h1><p>%s</p><div>Share this story with friends</div><p>%s</p></article><div>Bottom</div>"
+    own = lambda n: f"story {n} " + f"word{n} " * 40
+    rows = [(n, f"http://h.example/a/{n}", page % (n, own(n), f"end {n}")) for n in range(10, 40)]
+    rows += [(n, f"http://h.example/a/{n}", page % ("copied", own("copied"), "same end")) for n in range(40, 44)]  # copies
+    rows += [(50, "http://h.example/a/50", page % (50, own(50), "quoted by two")), (51, "http://h.example/a/51", page % (51, own(51), "quoted by two"))]
+    rows += [(60, "http://lone.example/x", page % (60, own(60), "end"))]
+    got = {r["page_id"]: r["text"].split("\n\n") for r in html_text.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[n] == [f"Title {n}", own(n).strip(), f"end {n}"] for n in range(10, 40))
+    assert all(got[n] == ["Title copied", own("copied").strip(), "same end"] for n in range(40, 44))
+    assert all(got[n] == [f"Title {n}", own(n).strip(), "quoted by two"] for n in (50, 51))
+    assert got[60][2] == "Share this story with friends"  # nothing to compare with
+
+
 def test_common_subsequence_is_longest():
     rng = random.Random(1)
     for _ in range(400):
