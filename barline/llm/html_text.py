@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import bisect
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator, Sequence
 from html import unescape
 from os.path import commonprefix
@@ -43,6 +43,22 @@ FURNITURE_NAMES = frozenset(
     "notices alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations pagination pager "
     "toolbar skip copyright".split()
 )
+# A class or id is furniture by its words: all of them furniture or neutral ("site-header", "comments-list"), or the first one of PREFIXES ("comment-body").
+# What names a state of the page ("no-sidebar", "nav-open") or the header of a text ("article-header") is none.
+NEUTRAL = frozenset(
+    "site page global top bottom left right center primary secondary upper lower inner outer first last main sub mini small large mobile desktop sticky fixed area "
+    "container wrapper wrap box bar block section region panel slot unit list item items link links button buttons icon icons text title form thread count zone "
+    "post posts entry article articles story stories wp js css id the and of for to".split()
+)
+PREFIXES = frozenset(
+    "ad ads advert adverts advertisement nav navbar navigation breadcrumb breadcrumbs sidebar sidebars footer cookie cookies gdpr comment comments disqus newsletter "
+    "popup modal pagination pager".split()
+)
+STATES = frozenset("no not non with without has have layout open opened closed enabled disabled visible active collapsed expanded free".split())
+OF_TEXT = frozenset("post entry article story".split())
+FOREIGN = ("svg", "math")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html "
     "legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -54,7 +70,7 @@ HOLDERS = frozenset("ul ol dl table tbody thead tfoot menu dir".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    rf"|<(?P<raw>{RAW})(?=[\s/>])(?P<within>(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<end>/?)(?P<tag>[a-z][^\s/>]*)(?P<attrs>(?:[^>\"'=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[=\"'])*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)",
     re.S | re.I,
@@ -62,7 +78,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?=[\s/]|$))", re.I)
 SPACE = re.compile(r"\s+")
 
-FURNITURE, OTHER, MAIN, ARTICLE = 0, 1, 2, 3
+FURNITURE, OTHER, MAIN = 0, 1, 2
 ROWS_PER_BUCKET = 250
 MOST_BUCKETS = 20_000
 PER_CUT = 8  # keys picked for each bucket; half of them lie between a cut and the end of the margin
@@ -72,8 +88,20 @@ WITNESSES = 2  # of these have to share a main line for it to go, and
 SHARE = 0.75  # of those compared
 
 
-def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
-    if tag in FURNITURE_TAGS and not (inside and tag == "header"):
+def _named(value: str, heads: bool) -> bool:
+    """Whether a class or id has a name that says furniture; ``heads`` if a header there belongs to the text below it."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if len(w) > 1]
+        said = FURNITURE_NAMES.intersection(words)
+        if not said or not STATES.isdisjoint(words) or said == {"header"} and (heads or not OF_TEXT.isdisjoint(words)):
+            continue
+        if words[0] in PREFIXES or (FURNITURE_NAMES | NEUTRAL).issuperset(words):
+            return True
+    return False
+
+
+def _is_furniture(tag: str, attrs: str, main: bool) -> bool:
+    if tag in FURNITURE_TAGS and not (main and tag == "header"):
         return True
     if not attrs or tag in ("html", "body", "article", "main"):
         return False
@@ -84,29 +112,58 @@ def _is_furniture(tag: str, attrs: str, inside: bool) -> bool:
             return True
         if name == "role" and value in FURNITURE_ROLES:
             return True
-        if name in ("class", "id") and not FURNITURE_NAMES.isdisjoint(re.split(r"[^a-z]+", value)):
+        if name in ("class", "id") and not (name == "id" and tag in HEADINGS) and _named(value, main or tag in HEADINGS):
             return True
     return False
 
 
 def lines(html: str) -> tuple[list[tuple[int, str, str]], int]:
-    """``(kind, slot, text)`` of every block with text, in page order, and the highest kind of element seen.
+    """``(kind, slot, text)`` of every block with text, in page order, and the highest kind of these.
 
     Markup that is never closed or closed twice is put up with; nothing is dropped but raw and silent
-    elements, comments and markup.
+    elements, comments and markup. Furniture around the only main element with text, or around the only
+    article if that is longer than the text outside, is a wrapper of the page and no furniture.
     """
+    out, held = _lines(html, frozenset())
+    has_main = any(kind == MAIN for kind, _, _ in out)
+    around = {places: letters for (places, main), letters in held.items() if main}
+    if not around and not has_main:
+        outside = sum(len(text) for kind, _, text in out if kind == OTHER)
+        around = {places: letters for (places, _), letters in held.items() if letters > outside}
+    if around and ((), True) not in held:
+        most = max(around, key=around.get)
+        # Comments inside the wrapper of an article may be longer, and stay comments.
+        places = next(most[:n] for n in range(1, len(most) + 1) if most[:n] in around)
+        out, _ = _lines(html, frozenset(places))
+    return out, max((OTHER, *(kind for kind, _, _ in out)))
+
+
+def _lines(html: str, free: frozenset[int]) -> tuple[list[tuple[int, str, str]], Counter]:
+    """The lines, and the letters of articles and main elements by the places of the furniture around them
+    and whether it is a main element. Elements at the places ``free`` are no furniture."""
     out: list[tuple[int, str, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, bool, str]] = []  # tag, kind, silent, slot
-    highest, at = OTHER, 0
+    # Tag, kind, silent, slot, places of the furniture around, and the innermost of article, main and furniture.
+    stack: list[tuple[str, int, bool, str, tuple[int, ...], str]] = []
+    page = ("", OTHER, False, "", (), "")
+    held: Counter = Counter()
+    at = 0
 
     def flush() -> None:
         if parts:
             text = SPACE.sub(" ", unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                _, kind, _, slot = stack[-1] if stack else ("", OTHER, False, "")
+                _, kind, _, slot, places, inside = stack[-1] if stack else page
                 out.append((kind, slot, text))
+                if inside in ("article", "main"):
+                    held[places, inside == "main"] += len(text)
+
+    def take(text: str) -> None:
+        if stack and stack[-1][0] == "head" and not text.isspace():
+            close(("head",), frozenset())
+        if not (stack and stack[-1][2]):
+            parts.append(text)
 
     def close(names: Sequence[str], until: frozenset[str]) -> None:
         for n in range(len(stack) - 1, -1, -1):
@@ -116,10 +173,13 @@ def lines(html: str) -> tuple[list[tuple[int, str, str]], int]:
             if stack[n][0] in until:
                 return
 
-    for token in TOKEN.finditer(html):
-        if token.start() > at and not (stack and stack[-1][2]):
-            parts.append(html[at : token.start()])
-        at = token.end()
+    next_at = 0
+    while token := TOKEN.search(html, next_at):
+        if token.start() > at:
+            take(html[at : token.start()])
+        at = next_at = token.end()
+        if token["raw"] and token["within"].endswith("/") and any(entry[0] in FOREIGN for entry in stack):
+            at = next_at = token.end("within") + 1
         tag = token["tag"]
         if tag is None:
             continue
@@ -133,24 +193,24 @@ def lines(html: str) -> tuple[list[tuple[int, str, str]], int]:
             if tag == "br":
                 parts.append(" ")
             continue
+        if tag in FOREIGN and token["attrs"].endswith("/"):
+            continue
+        if tag == "body" or (stack and stack[-1][0] == "head" and tag not in HEAD):
+            close(("head",), frozenset())
         if tag in SIBLINGS:
             close(SIBLINGS[tag], HOLDERS)
         elif tag in CLOSES_P:
             close(("p",), BLOCKS - {"p"})
-        _, kind, silent, slot = stack[-1] if stack else ("", OTHER, False, "")
-        if kind != FURNITURE:
-            if _is_furniture(tag, token["attrs"], kind == ARTICLE):
-                kind = FURNITURE
-            elif tag == "article":
-                kind = ARTICLE
-            elif tag == "main":
-                kind = max(kind, MAIN)
-            highest = max(highest, kind)
-        stack.append((tag, kind, silent or tag in SILENT, f"{slot}>{tag}"))
-    if at < len(html) and not (stack and stack[-1][2]):
-        parts.append(html[at:])
+        _, kind, silent, slot, places, inside = stack[-1] if stack else page
+        if token.start() not in free and _is_furniture(tag, token["attrs"], inside in ("article", "main")):
+            kind, places, inside = FURNITURE, (*places, token.start()), "furniture"
+        elif tag in ("article", "main"):
+            kind, inside = FURNITURE if kind == FURNITURE else MAIN, "main" if inside == "main" else tag
+        stack.append((tag, kind, silent or tag in SILENT, f"{slot}>{tag}", places, inside))
+    if at < len(html):
+        take(html[at:])
     flush()
-    return out, highest
+    return out, held
 
 
 # ---- what two pages share -----------------------------------------------------------------------------
@@ -200,8 +260,8 @@ def _halves(a: list[int], b: list[int]) -> list[int]:
 def kept(kinds: Sequence[int], highest: int, texts: Sequence[str], gone: set[int]) -> str:
     """The text that is left of a page when the lines at ``gone`` are deleted.
 
-    Of the lines outside the furniture, those in the innermost kind of element that marks the main text
-    are kept. Where the partner shares all of them it is a copy of the page, and none is deleted.
+    Of the lines outside the furniture, those in the articles and main elements are kept, or all if these
+    have no text. Where the partner shares all of them it is a copy of the page, and none is deleted.
     """
     main = [n for n, kind in enumerate(kinds) if kind == highest]
     left = [n for n in main if n not in gone] or main

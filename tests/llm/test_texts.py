@@ -164,6 +164,32 @@ def test_lines_repeated_inside_articles_go(spark, monkeypatch, per_bucket):
     assert got[60][2] == "Share this story with friends"  # nothing to compare with
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<body><div class="wrapper no-sidebar"><article><h1>T</h1><p>story</article></div>', "T story"),
+    ('<div class="layout-with-sidebar"><h1>T</h1><p>story</p></div>', "T story"),
+    ('<div class="sidebar"><article><p>story</article></div><div>x</div>', "story"),
+    ('<form id="all"><main><h1>T</h1><p>story</main></form><article>teaser</article>', "T story teaser"),
+    ('<div class="sidebar-right"><article><p>a story</article><div class="comments"><article>a longer comment</article></div></div>', "a story"),
+    ('<p>the story itself</p><div class="related"><article>teaser</article></div>', "the story itself"),
+    ('<article><header class="entry-header"><h1>T</h1></header><h2 id="related-work">R</h2><div class="article-header">by</div><p>story</article>', "T R by story"),
+    ('<main><header class="header"><h1>T</h1></header><p>story</main>', "T story"),
+    ("<main><h1>T</h1><p>intro</p><article>story</article></main>", "T intro story"),
+    ("<main><p>the story</p></main><article>teaser</article>", "the story teaser"),
+    ("<article></article><p>story</p>", "story"),
+    ("<article><nav>a</nav></article><main></main><p>story</p>", "story"),
+    ("<head><meta charset=x><title>T</title><body><article><p>story</article>", "story"),
+    ("<head><title>T</title><p>story</p>", "story"),
+    ("<head><title>T</title>story", "story"),
+    ("<article><p>one <svg/> two</p><svg><title/><path/></svg><p>three</article>", "one two three"),
+    ('<div class="site-header">a</div><div class="comment-body">b</div><div class="cookie-notice">c</div><div id="nav-main">d</div><nav>e</nav>', ""),
+])
+def test_wrappers_and_heads_of_articles_stay(page, want):
+    found, highest = html_text.lines(page)
+    gone = {n for n, (kind, _, _) in enumerate(found) if kind == html_text.FURNITURE}
+    got = html_text.kept([k for k, _, _ in found], highest, [t for _, _, t in found], gone)
+    assert got.split() == want.split()
+
+
 def test_common_subsequence_is_longest():
     rng = random.Random(1)
     for _ in range(400):
