@@ -42,16 +42,25 @@ def fingerprint(text: str, shingle: int = 3) -> int:
     return int(np.packbits(votes * 2 > count, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, fp`` with the fingerprint as a signed long; a null text is the empty text."""
+def _digest(text_column: str) -> Column:
+    """What tells the texts of one id apart; a null text is the empty text."""
+    return F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+
+
+def fingerprints(docs: DataFrame, shingle: int = 3, id_column: str = "doc_id", text_column: str = "text", digest: bool = False) -> DataFrame:
+    """``doc_id, fp`` with the fingerprint as a signed long, and ``digest`` of the text if asked for; a null text is the empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t, shingle) for t in texts_in(batch)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            names = [n for n in batch.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found.view(np.int64))], [*names, "fp"])
 
     source = id_text(docs, id_column, text_column)
-    return source.mapInArrow(run, f"doc_id {dict(source.dtypes)['doc_id']}, fp bigint")
+    kind = dict(source.dtypes)["doc_id"]
+    if digest:
+        return source.withColumn("digest", _digest("text")).mapInArrow(run, f"doc_id {kind}, digest bigint, fp bigint")
+    return source.mapInArrow(run, f"doc_id {kind}, fp bigint")
 
 
 def _rotated(fp: Column, by: int) -> Column:
@@ -107,23 +116,32 @@ def near_duplicates(
     no row of it has an id.
     """
     rows = stage(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
+    return _labelled(rows, budget, "component_id").select("doc_id", "fp", "component_id")
+
+
+def _labelled(rows: DataFrame, budget: int, *columns: str) -> DataFrame:
+    """``rows`` with columns of their component: its ``label`` (smallest fingerprint) and ``component_id``."""
     nodes = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     label = components(nodes.select(F.col("fp").alias("node")), links(nodes.select("fp"), budget)).withColumnRenamed("node", "fp")
     label = stage(label.join(nodes, "fp"), "label")
     group = label.groupBy("label").agg(F.min("least").alias("component_id"))
-    named = stage(lookup(label.select("fp", "label"), group, "label").select("fp", "component_id"), "named")
-    return lookup(rows, named, "fp").select("doc_id", "fp", "component_id")
+    named = stage(lookup(label.select("fp", "label"), group, "label").select("fp", *columns), "named")
+    return lookup(rows, named, "fp")
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
-    """One document of each component: the one with its smallest id (any one of rows that repeat it).
+    """One row of each component: of its rows with the smallest id, the one with the smallest digest of its text.
 
-    Documents without an id are kept only where their component has no id, one for each.
+    Rows without an id are kept only where their component has no id, one for each. An id whose texts are
+    in several components can stay for each of them; of rows that repeat id and text any one stays.
     """
-    found = stage(near_duplicates(docs, shingle, budget), "near")
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    if first.groupBy("doc_id").count().where("count > 1").take(1):
-        kept = kept.dropDuplicates(["doc_id"])
+    rows = stage(fingerprints(docs, shingle, digest=True), "fingerprints")
+    found = _labelled(rows, budget, "label", "component_id").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    texts = found.groupBy("label", "component_id", "digest").agg(F.count(F.lit(1)).alias("n"))
+    first = texts.groupBy("label").agg(F.min(F.struct("digest", "component_id", "n")).alias("first"))
+    first = stage(first.select(F.col("first.component_id").alias("_id"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n")), "first")
+    marked = docs.withColumn("_own", _digest("text"))
+    kept = marked.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
+    if first.where("_n > 1").take(1):
+        kept = kept.dropDuplicates(["doc_id", "_own"])
     return kept.select(*docs.columns)

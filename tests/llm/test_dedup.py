@@ -80,6 +80,16 @@ def test_simhash_odd_rows(spark):
     assert simhash_dedup.keep_first(odd(spark, [])).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    x, y, z, v, w = (f"{c}1 {c}2 {c}3 {c}4 {c}5" for c in "xyzvw")
+    rows = [(5, x), (5, y), (2, x), (None, z), (None, z), (None, v), (None, w), (7, w), (9, x + " q1 q2"), (9, y + " r1 r2"), (5, y), (None, x)]
+    kept = simhash_dedup.keep_first(odd(spark, rows))
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    fp = [simhash_dedup.fingerprint(t) for t in dict.fromkeys(t for _, t in rows)]
+    assert all((a ^ b).bit_count() > 2 for n, a in enumerate(fp) for b in fp[:n])  # a component for each text
+    assert got == sorted([(2, x), (5, y), (None, z), (None, v), (7, w), (9, x + " q1 q2"), (9, y + " r1 r2")], key=str)
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501)], "a bigint, b bigint")
     nodes = spark.range(0, 202).union(spark.createDataFrame([(500,), (501,)], "id bigint")).withColumnRenamed("id", "node")
