@@ -1,11 +1,14 @@
 """Personal data, by patterns and by information-theoretic sanitisation.
 
-Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. Around each of these
-protected entities the words nearby are counted over the corpus. A word reveals an entity if most
-documents that hold the word hold it next to that entity, if that is far more often than chance
-(pointwise mutual information), and if it happens in several different contexts, so that copies of one
-document do not count as evidence. Such words become spans wherever they stand; the strongest are
-removed, the others generalised.
+Patterns find e-mail addresses, IP addresses, card numbers and phone numbers. For each of these protected
+entities the words of the documents that hold it are counted over the distinct texts of the corpus. A word
+reveals an entity if most texts that hold the word hold that entity too, if that is far more often than
+chance (pointwise mutual information), and if it happens in several classes of near-duplicates, so that
+copies of one document do not count as evidence. Such words become spans wherever they stand; the
+strongest are removed, the others generalised.
+
+An entity in fewer than ``CLASSES`` classes gives no evidence: every rare word of its documents would
+reveal it.
 """
 
 from __future__ import annotations
@@ -19,7 +22,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import id_text, slices, stage
+from barline.llm.common import components, id_text, lookup, slices, stage
+from barline.llm.simhash_dedup import fingerprint, links
 
 # The kinds in their order, and their patterns and limits as stated. The patterns are
 # written so that a long run of their characters is read once; matches are those of the plain ones.
@@ -32,9 +36,8 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 TERM = "term"
 
 WORD = re.compile(r"[^\W\d_]{2,}")
-WINDOW = 4  # words on each side of an entity
-REACH = 200  # characters on each side in which these words are looked for
-CONTEXTS = 3
+CLASSES = 3
+APART = 2  # bits by which the fingerprints of near-duplicates differ at most
 DISCLOSURE = 0.5
 REMOVAL = 0.9
 BITS = 3.0
@@ -100,13 +103,17 @@ def entity(text: str, span: Span) -> int:
     return digest - (1 << 64) * (digest >> 63)
 
 
-def nearby(text: str, span: Span) -> list[str]:
-    """Up to ``WINDOW`` lower-cased words on either side."""
-    before = WORD.findall(text[max(0, span[0] - REACH) : span[0]].lower())[-WINDOW:]
-    return before + WORD.findall(text[span[1] : span[1] + REACH].lower())[:WINDOW]
+def beside(text: str, spans: list[Span]) -> set[str]:
+    """The lower-cased words of a text outside its base spans."""
+    out, at = set(), 0
+    for start, end, _ in spans:
+        out.update(WORD.findall(text[at : max(at, start)].lower()))
+        at = max(at, end)
+    out.update(WORD.findall(text[at:].lower()))
+    return out
 
 
-_ROWS = "doc_id {id}, digest bigint, base array<struct<start:bigint,end:bigint,kind:string>>, entity bigint, word string, context bigint, n bigint"
+_ROWS = "doc_id {id}, digest bigint, base array<struct<start:bigint,end:bigint,kind:string>>, entities array<bigint>, words array<string>, fp bigint"
 
 
 def _signed(text: str) -> int:
@@ -115,73 +122,93 @@ def _signed(text: str) -> int:
 
 
 def _survey(kind: pa.DataType):
-    """One pass over the texts: a row per document with its base spans, and counts: of documents per
-    word (no entity), per entity (no word), and per entity, word and context."""
+    """One pass over the texts: a row per document with its base spans and, if it has any, its entities, the
+    words beside them and the fingerprint."""
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("kind", pa.string())]))
-    types = [pa.int64(), span, pa.int64(), pa.string(), pa.int64(), pa.int64()]
-    names = ["doc_id", "digest", "base", "entity", "word", "context", "n"]
+    types = [pa.int64(), span, pa.list_(pa.int64()), pa.list_(pa.string()), pa.int64()]
+    names = ["doc_id", "digest", "base", "entities", "words", "fp"]
 
-    def flush(words: Counter, met: Counter) -> Iterator[pa.RecordBatch]:
-        rows = [(None, None, None, w, None, n) for w, n in words.items()]
-        rows += [(None, None, e, w, c, n) for (e, w, c), n in met.items()]
-        words.clear()
-        met.clear()
-        for at in range(0, len(rows), 20_000):
-            some = list(zip(*rows[at : at + 20_000]))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(some[0]), kind), *(pa.array(c, t) for c, t in zip(some, types))], names)
+    def row(text: str) -> tuple:
+        spans = base_spans(text)
+        base = [{"start": a, "end": b, "kind": k} for a, b, k in spans]
+        if not spans:
+            return _signed(text), base, None, None, None
+        fp = fingerprint(text)
+        return _signed(text), base, sorted({entity(text, s) for s in spans}), sorted(beside(text, spans)), fp - (1 << 64) * (fp >> 63)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, met = Counter(), Counter()
         for whole in batches:
             for batch in slices(whole):
-                texts = batch.column("text").to_pylist()
-                found = [base_spans(t) for t in texts]
-                nothing = pa.nulls(len(texts), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc_id"), pa.array([_signed(t) for t in texts], pa.int64()),
-                        pa.array([[{"start": a, "end": b, "kind": k} for a, b, k in s] for s in found], span),
-                        nothing, pa.nulls(len(texts), pa.string()), nothing, nothing,
-                    ],
-                    names,
-                )
-                for text, spans in zip(texts, found):
-                    words.update(set(WORD.findall(text.lower())))
-                    own = set()
-                    for s in spans:
-                        e, near = entity(text, s), nearby(text, s)
-                        context = _signed(" ".join(near))
-                        own.add((e, None, None))
-                        own.update((e, w, context) for w in near)
-                    met.update(own)
-                if len(words) + len(met) > MOST_WORDS:
-                    yield from flush(words, met)
-        yield from flush(words, met)
+                found = list(zip(*map(row, batch.column("text").to_pylist())))
+                if found:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, t) for c, t in zip(found, types))], names)
 
     return run
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``word, n``: in how many of the texts a word stands, in parts to add up."""
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = list(words.items())
+        words.clear()
+        for at in range(0, len(rows), 20_000):
+            some, n = zip(*rows[at : at + 20_000])
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+
+    words: Counter = Counter()
+    for whole in batches:
+        for batch in slices(whole):
+            for text in batch.column("text").to_pylist():
+                words.update(set(WORD.findall(text.lower())))
+            if len(words) > MOST_WORDS:
+                yield from flush()
+    yield from flush()
+
+
 class Survey:
-    """The base spans of every document and the words that reveal an entity, from one pass over ``docs``."""
+    """The base spans of every document and the words that reveal an entity.
+
+    All counts are of distinct texts. Words are counted only if an entity stands in ``classes`` classes.
+    """
 
     def __init__(
-        self, docs: DataFrame, disclosure: float = DISCLOSURE, bits: float = BITS, contexts: int = CONTEXTS,
+        self, docs: DataFrame, disclosure: float = DISCLOSURE, bits: float = BITS, classes: int = CLASSES,
         id_column: str = "doc_id", text_column: str = "text",
     ):
         self.source = id_text(docs, id_column, text_column)
         self.kind = dict(self.source.dtypes)["doc_id"]
         arrow = pa.int64() if self.kind == "bigint" else pa.int32() if self.kind == "int" else pa.string()
         rows = stage(self.source.mapInArrow(_survey(arrow), _ROWS.format(id=self.kind)), "survey")
-        self.documents = rows.where("digest is not null").select("doc_id", "digest", "base")
-        total = self.documents.count()
-        met = rows.where("word is not null and entity is not null").groupBy("entity", "word", "context").agg(F.sum("n").alias("n"))
-        met = met.groupBy("entity", "word").agg(F.sum("n").alias("joint"), F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") >= contexts)
+        self.documents = rows.select("doc_id", "digest", "base")
+        holding = rows.where("entities is not null").select("digest", "entities", "fp").dropDuplicates(["digest"])
+        held = stage(holding.select("digest", "fp", F.explode("entities").alias("entity")), "held")
+        often = held.groupBy("entity").agg(F.count(F.lit(1)).alias("ef")).where(F.col("ef") >= classes)
+        self.words, self.blocks = self.source.sparkSession.createDataFrame([], "word string, strength double"), 0
+        if not often.take(1):
+            return
+        often = stage(often, "often")
+        nodes = stage(lookup(held, often.select("entity"), "entity").select("fp").distinct(), "nodes")
+        named = stage(components(nodes.select(F.col("fp").alias("node")), links(nodes, APART)).withColumnRenamed("node", "fp"), "classes")
+        told = stage(lookup(lookup(held, often, "entity"), named, "fp").select("digest", "entity", "ef", "label"), "told")
+        several = told.groupBy("entity").agg(F.count_distinct("label").alias("classes")).where(F.col("classes") >= classes)
+        if not several.take(1):
+            return
+        told = lookup(told, stage(several.select("entity"), "several"), "entity")
+        of_text = told.groupBy("digest").agg(F.collect_list(F.struct("entity", "ef", "label")).alias("entities"))
+        texts = rows.where("entities is not null").select("digest", "words").dropDuplicates(["digest"])
+        pairs = texts.join(of_text, "digest").select("words", F.explode("entities").alias("e")).select("e.*", F.explode("words").alias("word"))
+        # By class first: one word and entity may be in very many texts.
+        met = pairs.groupBy("entity", "ef", "word", "label").agg(F.count(F.lit(1)).alias("n"))
+        met = met.groupBy("entity", "ef", "word").agg(F.sum("n").alias("joint"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") >= classes)
         met = stage(met, "met")
-        with_word = rows.where("entity is null and word is not null").join(met.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.sum("n").alias("df"))
-        with_entity = rows.where("word is null and entity is not null").groupBy("entity").agg(F.sum("n").alias("ef"))
+        unique = self.source.select("text", F.xxhash64("text").alias("digest")).dropDuplicates(["digest"]).select("text")
+        total = rows.select("digest").distinct().count()
+        with_word = unique.mapInArrow(_counted, "word string, n bigint").join(met.select("word").distinct(), "word", "left_semi")
+        with_word = with_word.groupBy("word").agg(F.sum("n").alias("df"))
         strength = F.col("joint") / F.col("df")
         pmi = F.log2(F.col("joint") * F.lit(float(total)) / (F.col("df") * F.col("ef")))
-        telling = met.join(with_word, "word").join(with_entity, "entity").where((strength >= disclosure) & (pmi >= bits))
+        telling = met.join(with_word, "word").where((strength >= disclosure) & (pmi >= bits))
         #: ``word, strength``: the words whose disclosure of some entity exceeds the thresholds.
         self.words = stage(telling.groupBy("word").agg(F.max(strength).alias("strength")), "words")
         self.blocks = -(-self.words.count() // BLOCK_WORDS)

@@ -449,6 +449,24 @@ def test_copies_of_one_document_reveal_nothing(spark):
     assert sanitise.Survey(odd(spark, rows)).words.count() == 0
 
 
+def test_evidence_is_of_distinct_documents(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("bcdfghklmnprst", k=6)) for _ in range(150)]
+    some = lambda n=60: " ".join(rng.choices(vocabulary, k=n))
+    texts = [some() for _ in range(300)]
+    far = [f"Marwick opened {some()} {some()} far@mail.example {some()}" for _ in range(5)]
+    footer = [f"{some()} kindly regards Odalys Brandt foot@mail.example main office tower" for _ in range(5)]
+    listed = [f"{some()} Tamsin a list@mail.example Tamsin b list@mail.example Tamsin c list@mail.example d"]
+    base = some(300).split()
+    near = [" ".join([*base[:n], "changed", *base[n + 1 :], "Quixby near@mail.example"]) for n in range(0, 240, 10)]
+    rows = list(enumerate([*texts, *far, *footer, *listed, *near, *far[:1] * 20, "Marwick"]))
+    survey = sanitise.Survey(odd(spark, rows))
+    words = {r["word"]: r["strength"] for r in survey.words.collect()}
+    assert words["marwick"] == pytest.approx(5 / 6) and words["odalys"] == words["brandt"] == 1
+    assert not words.keys() & {"tamsin", "quixby", *vocabulary}
+    assert [(t["start"], t["end"]) for r in survey.spans().where(F.col("doc_id") == rows[-1][0]).collect() for t in r["terms"]] == [(0, 7)]
+
+
 def test_pii_odd_rows(spark):
     assert sanitise.Survey(odd(spark)).spans().count() == len(ODD)
     same = sanitise.sanitise(odd(spark))
