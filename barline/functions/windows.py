@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -44,37 +44,103 @@ def few_groups(groups: DataFrame, few: bool) -> DataFrame:
     return F.broadcast(groups) if few else groups
 
 
-# Aggregates over a frame; skewness and kurtosis are computed from the collected frame instead.
-STATISTICS = {"mean": F.avg, "std": F.stddev_samp, "max": F.max, "min": F.min}
-MOMENT_STATISTICS = ("skew", "kurt")
+STATISTICS = {"mean": F.avg, "std": F.stddev_samp}
 
 
 def rolling_stat(x: Column, stat: str, n: int, by: Sequence[str] = SERIES, order: str = "date") -> Column:
-    """``stat`` over the last ``n`` rows, NULL unless all ``n`` values are present."""
+    """``mean`` or ``std`` over the last ``n`` rows, NULL unless all ``n`` values are present; for short windows."""
     w = trailing(n, by, order)
     return F.when(F.count(x).over(w) == n, STATISTICS[stat](x).over(w))
 
 
-def central_sums(values: Column, mean: Column) -> Column:
-    """Sums of the second, third and fourth powers of the deviations from ``mean``."""
-    start = F.struct(F.lit(0.0).alias("m2"), F.lit(0.0).alias("m3"), F.lit(0.0).alias("m4"))
-
-    def step(acc: Column, v: Column) -> Column:
-        d = v - mean
-        return F.struct(
-            (acc["m2"] + d * d).alias("m2"), (acc["m3"] + d * d * d).alias("m3"), (acc["m4"] + d * d * d * d).alias("m4")
+# What a window keeps of its values, and the part of it each statistic needs.
+POWERS = ("mean", "m2", "m3", "m4")  # the mean and the sums of powers of the deviations from it
+KEPT = {"mean": 1, "std": 2, "skew": 3, "kurt": 4}
+
+
+def _joined(a: dict[str, Column], na: int, b: dict[str, Column], nb: int) -> dict[str, Column]:
+    """What is kept of ``na + nb`` values, from what is kept of either part; NULL if a part is."""
+    n, out = na + nb, {}
+    for name, pick in (("max", F.greatest), ("min", F.least)):
+        if name in a:
+            out[name] = F.when(a[name].isNotNull() & b[name].isNotNull(), pick(a[name], b[name]))
+    if "mean" not in a:
+        return out
+    d = b["mean"] - a["mean"]
+    out["mean"] = a["mean"] + d * F.lit(nb / n)
+    if "m2" in a:
+        out["m2"] = a["m2"] + b["m2"] + d * d * F.lit(na * nb / n)
+    if "m3" in a:
+        out["m3"] = a["m3"] + b["m3"] + d * d * d * F.lit(na * nb * (na - nb) / n**2) + d * (b["m2"] * F.lit(3 * na / n) - a["m2"] * F.lit(3 * nb / n))
+    if "m4" in a:
+        out["m4"] = (
+            a["m4"] + b["m4"] + d * d * d * d * F.lit(na * nb * (na * na - na * nb + nb * nb) / n**3)
+            + d * d * (b["m2"] * F.lit(6 * na * na / n**2) + a["m2"] * F.lit(6 * nb * nb / n**2))
+            + d * (b["m3"] * F.lit(4 * na / n) - a["m3"] * F.lit(4 * nb / n))
         )
+    return out
 
-    return F.aggregate(values, start, step)
 
+def rolling_windows(
+    df: DataFrame, wanted: Mapping[str, tuple[Sequence[str], Sequence[int]]], by: Sequence[str] = SERIES, order: str = "date"
+) -> DataFrame:
+    """Adds ``<column>_<stat>_<n>`` over the last ``n`` rows: ``mean, std, max, min, skew, kurt`` of several columns at once.
 
-def skew_of(sums: Column, n: int) -> Column:
-    """Bias-corrected skewness of ``n`` values."""
+    A window of n rows is its later half joined with the half before it, which a lag of that many rows brings
+    up. All windows of all columns therefore take one lag for each halving (six for 60 rows), each a fixed
+    number of operations a row, and nothing is ever subtracted, so an extreme value leaves no trace in the windows
+    behind it. A statistic is NULL unless all n values are present; skewness and kurtosis need four rows or
+    more and are NULL in a flat window.
+    """
+    w = series(by, order)
+    keep = {c: [k for k in POWERS[: max((KEPT[s] for s in stats if s in KEPT), default=0)]] + [s for s in ("max", "min") if s in stats] for c, (stats, _) in wanted.items()}
+    levels: list[set[tuple[str, int]]] = []  # pieces by the number of halvings below them
+    needed = {(c, n) for c, (_, windows) in wanted.items() for n in windows}
+    while needed:
+        for c, n in sorted(needed):
+            depth = (n - 1).bit_length()
+            levels += [set() for _ in range(depth + 1 - len(levels))]
+            levels[depth].add((c, n))
+        needed = {(c, half) for c, n in needed if n > 1 for half in (n - n // 2, n // 2)}
+    name = lambda c, k, n: f"_{c}_{k}_{n}"
+    one = {"mean": lambda c: F.col(c).cast("double"), "max": F.col, "min": F.col}
+    zero = lambda c: F.when(F.col(c).isNotNull(), F.lit(0.0))
+    df = df.withColumns({name(c, k, 1): one.get(k, zero)(c) for c, _ in sorted(levels[0]) for k in keep[c]} if levels else {})
+    last = {}  # the level that reads a piece for the last time
+    for depth, pieces in enumerate(levels[1:], 1):
+        for c, n in pieces:
+            last[c, n - n // 2] = last[c, n // 2] = depth
+    for depth, pieces in enumerate(levels[1:], 1):
+        earlier = {f"_was{name(c, k, n)}": F.lag(name(c, k, n // 2), n - n // 2).over(w) for c, n in sorted(pieces) for k in keep[c]}
+        df = df.withColumns(earlier)
+        made = {}
+        for c, n in sorted(pieces):
+            near, far = n - n // 2, n // 2
+            now, was = {k: F.col(name(c, k, near)) for k in keep[c]}, {k: F.col(f"_was{name(c, k, n)}") for k in keep[c]}
+            made |= {name(c, k, n): v for k, v in _joined(now, near, was, far).items()}
+        done = [name(c, k, n) for (c, n), d in last.items() if d == depth and n not in wanted[c][1] for k in keep[c]]
+        df = df.withColumns(made).drop(*earlier, *done)
+    added = {}
+    for c, (stats, windows) in wanted.items():
+        for s in stats:
+            for n in windows:
+                p = {k: F.col(name(c, k, n)) for k in keep[c]}
+                if s in p:
+                    added[f"{c}_{s}_{n}"] = p[s]
+                elif s == "std":
+                    added[f"{c}_{s}_{n}"] = F.sqrt(p["m2"] / F.lit(float(n - 1))) if n > 1 else F.lit(None).cast("double")
+                elif n > 3:
+                    added[f"{c}_{s}_{n}"] = skew_of(p, n) if s == "skew" else kurt_of(p, n)
+    return df.withColumns(added).drop(*[name(c, k, n) for c, (_, windows) in wanted.items() for n in {*windows, 1} for k in keep[c]])
+
+
+def skew_of(sums: Mapping[str, Column], n: int) -> Column:
+    """Bias-corrected skewness of ``n`` values; NULL if all are equal."""
     scale = (n * (n - 1)) ** 0.5 / (n - 2)
     return F.try_divide(sums["m3"] / n, F.pow(sums["m2"] / n, F.lit(1.5))) * F.lit(scale)
 
 
-def kurt_of(sums: Column, n: int) -> Column:
-    """Bias-corrected excess kurtosis of ``n`` values."""
+def kurt_of(sums: Mapping[str, Column], n: int) -> Column:
+    """Bias-corrected excess kurtosis of ``n`` values; NULL if all are equal."""
     excess = F.try_divide(sums["m4"] * n, sums["m2"] * sums["m2"]) - 3
     return (excess * F.lit(float(n + 1)) + F.lit(6.0)) * F.lit((n - 1) / ((n - 2) * (n - 3)))

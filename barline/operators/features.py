@@ -12,17 +12,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.windows import (
-    MOMENT_STATISTICS,
-    SERIES,
-    STATISTICS,
-    central_sums,
-    kurt_of,
-    rolling_stat,
-    series,
-    skew_of,
-    trailing,
-)
+from barline.functions.windows import SERIES, rolling_stat, rolling_windows, series
 
 LABEL = "next_5day_return"
 KEYS = ("symbol", "date")
@@ -131,7 +121,8 @@ def return_columns(by: Sequence[str] = SERIES) -> Columns:
 
 
 def lag_columns(column: str, ks: Iterable[int] = LAGS, by: Sequence[str] = SERIES) -> Columns:
-    return {f"{column}_lag{k}": F.lag(column, k).over(series(by)) for k in ks}
+    w = series(by)
+    return {f"{column}_lag{k}": F.lag(column, k).over(w) for k in ks}
 
 
 def indicator_motion_columns(names: Iterable[str], by: Sequence[str] = SERIES) -> Columns:
@@ -213,40 +204,10 @@ def rolling(
 ) -> DataFrame:
     """Trailing ``mean``, ``std``, ``max``, ``min``, ``skew`` or ``kurt``; NULL unless the window is full.
 
-    All statistics of a window share one count.  Skewness and kurtosis need four rows or more;
-    they are summed over the collected frame, whose length is the longest window.
+    Skewness and kurtosis need four rows or more.
     """
     stats = (stats,) if isinstance(stats, str) else tuple(stats)
-    windows = tuple(windows)
-    moments = [s for s in stats if s in MOMENT_STATISTICS]
-    plain = [s for s in stats if s not in MOMENT_STATISTICS]
-    needed = plain + [s for s in ("mean", "std") if moments and s not in plain]
-    x = F.col(column)
-    frames: dict[str, Column] = {}
-    for n in windows:
-        w = trailing(n, by)
-        frames[f"_n_{n}"] = F.count(x).over(w)
-        frames.update({f"_{s}_{n}": STATISTICS[s](x).over(w) for s in needed})
-    if moments:
-        frames["_recent"] = F.collect_list(x).over(trailing(max(windows), by))
-    framed = df.withColumns(frames)
-    long = [n for n in windows if n > 3]
-    if moments:
-        framed = framed.withColumns(
-            {
-                f"_sums_{n}": F.when(
-                    (F.col(f"_n_{n}") == n) & (F.col(f"_std_{n}") > 0),
-                    central_sums(F.slice("_recent", -n, n), F.col(f"_mean_{n}")),
-                )
-                for n in long
-            }
-        )
-    added = {f"{column}_{s}_{n}": F.when(F.col(f"_n_{n}") == n, F.col(f"_{s}_{n}")) for s in plain for n in windows}
-    if "skew" in moments:
-        added.update({f"{column}_skew_{n}": skew_of(F.col(f"_sums_{n}"), n) for n in long})
-    if "kurt" in moments:
-        added.update({f"{column}_kurt_{n}": kurt_of(F.col(f"_sums_{n}"), n) for n in long})
-    return framed.withColumns(added).drop(*frames, *[f"_sums_{n}" for n in long])
+    return rolling_windows(df, {column: (stats, tuple(windows))}, by)
 
 
 def indicator_motion(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
@@ -299,9 +260,8 @@ def feature_table(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
             **lag_columns("return", LAGS, by),
         }
     ).drop(*[f"_volume_lag{k}" for k in MOMENTUM_PERIODS])
-    df = rolling(df, "close", ("max", "min", "mean"), WINDOWS, by)
-    df = rolling(df, "volume", "mean", WINDOWS, by)
-    df = rolling(df, "return", ("mean", "std", "skew", "kurt"), WINDOWS, by)
+    wanted = {"close": ("max", "min", "mean"), "volume": ("mean",), "return": ("mean", "std", "skew", "kurt")}
+    df = rolling_windows(df, {c: (stats, WINDOWS) for c, stats in wanted.items()}, by)
     # The volatility of a window is the rolling deviation already computed.
     df = df.withColumns({f"volatility_{n}": F.col(f"return_std_{n}") for n in VOLATILITY_WINDOWS})
     return df.withColumns({**volatility_ratio_columns(), **cross_columns()})

@@ -1,10 +1,10 @@
-"""Missing values: filters and fills."""
+"""Missing values: filters and fills.  For series that outgrow a task ``blocks.Blocks`` has the same fills."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from barline.functions.windows import SERIES, series
@@ -21,14 +21,14 @@ def drop_warmup(df: DataFrame, columns: Sequence[str] | None = None) -> DataFram
     return df.dropna("any", subset=list(columns) if columns else None)
 
 
-def _carried(column: str, by: Sequence[str]) -> Column:
-    so_far = series(by).rowsBetween(Window.unboundedPreceding, 0)
-    return F.last(column, ignorenulls=True).over(so_far)
+def _so_far(by: Sequence[str]) -> WindowSpec:
+    return series(by).rowsBetween(Window.unboundedPreceding, 0)
 
 
 def ffill(df: DataFrame, columns: Sequence[str], by: Sequence[str] = SERIES) -> DataFrame:
     """NULLs take the last known value of their series."""
-    return df.withColumns({c: _carried(c, by) for c in columns})
+    so_far = _so_far(by)
+    return df.withColumns({c: F.last(c, ignorenulls=True).over(so_far) for c in columns})
 
 
 def bfill(df: DataFrame, columns: Sequence[str], by: Sequence[str] = SERIES) -> DataFrame:
@@ -49,7 +49,7 @@ def clean(df: DataFrame, label: str = LABEL, by: Sequence[str] = SERIES) -> Data
     """
     rows = labelled(df, label)
     columns = [c for c in rows.columns if c not in {*KEYS, *by, label}]
-    whole = series(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    so_far, whole = _so_far(by), series(by).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return rows.withColumns(
-        {c: F.coalesce(_carried(c, by), F.first(c, ignorenulls=True).over(whole), F.lit(0)) for c in columns}
+        {c: F.coalesce(F.last(c, ignorenulls=True).over(so_far), F.first(c, ignorenulls=True).over(whole), F.lit(0)) for c in columns}
     )

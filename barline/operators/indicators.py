@@ -8,28 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barline.functions.windows import SERIES, rolling_stat, series
+from barline.functions.windows import SERIES, rolling_windows, series
 
+SPANS = (12, 26, 50, 100)  # fixed values: exponential means, the first two of them for the MACD
+LOOKBACK = 100  # rows the windowed indicators look back
 SEGMENT = 512  # rows per exponential-average segment: q**-512 is far from overflow for every span used
 
 
-def exponential_means(df: DataFrame, column: str, spans: Sequence[int], by: Sequence[str] = SERIES) -> DataFrame:
-    """Adds ``ema_<span>``: the weight-adjusted exponential mean of ``column``, alpha = 2/(span+1).
+def decay_of(span: int) -> float:
+    """How much of a value is left after one row."""
+    return (span - 1) / (span + 1)
+
+
+def decayed_sums(df: DataFrame, column: str, spans: Sequence[int], by: Sequence[str] = SERIES, order: str = "date") -> DataFrame:
+    """Adds ``_sum_<span>``: every row's value and the values before it, each faded by its distance.
 
     Within a segment the decayed sum is a plain running sum of ``x * q**-j``.  The sums at the
-    ends of earlier segments are folded in afterwards, so series of any length stay exact and
-    the weights never overflow.
+    ends of earlier segments are folded in afterwards, so the weights never overflow.
     """
-    w = series(by)
-    numbered = df.withColumn("_pos", F.row_number().over(w) - 1).withColumns(
-        {"_seg": F.floor(F.col("_pos") / SEGMENT), "_j": F.col("_pos") % SEGMENT}
+    w = series(by, order)
+    numbered = df.withColumn("_at", F.row_number().over(w) - 1).withColumns(
+        {"_seg": F.floor(F.col("_at") / SEGMENT), "_j": F.col("_at") % SEGMENT}
     )
-    in_segment = Window.partitionBy(*by, "_seg").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    in_segment = Window.partitionBy(*by, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    decay = {n: (n - 1) / (n + 1) for n in spans}
+    decay = {n: decay_of(n) for n in spans}
     local = numbered.withColumns(
         {
-            f"_local_{n}": F.sum(F.col(column) * F.pow(F.lit(1 / q), F.col("_j"))).over(in_segment)
+            f"_local_{n}": F.coalesce(F.sum(F.col(column) * F.pow(F.lit(1 / q), F.col("_j"))).over(in_segment), F.lit(0.0))
             * F.pow(F.lit(q), F.col("_j"))
             for n, q in decay.items()
         }
@@ -41,50 +47,64 @@ def exponential_means(df: DataFrame, column: str, spans: Sequence[int], by: Sequ
         }
     )
 
-    def mean(n: int, q: float) -> Column:
+    def total(n: int, q: float) -> Column:
         carried = F.aggregate(f"_ends_{n}", F.lit(0.0), lambda acc, end: acc * F.lit(q**SEGMENT) + end)
-        total = F.col(f"_local_{n}") + carried * F.pow(F.lit(q), F.col("_j") + 1)
-        weight = (F.lit(1.0) - F.pow(F.lit(q), F.col("_pos") + 1)) / F.lit(1 - q)
-        return total / weight
+        return F.col(f"_local_{n}") + carried * F.pow(F.lit(q), F.col("_j") + 1)
+
+    added = ended.withColumns({f"_sum_{n}": total(n, q) for n, q in decay.items()})
+    return added.drop("_at", "_seg", "_j", *[f"_local_{n}" for n in spans], *[f"_ends_{n}" for n in spans])
 
-    added = ended.withColumns({f"ema_{n}": mean(n, q) for n, q in decay.items()})
-    return added.drop("_pos", "_seg", "_j", *[f"_local_{n}" for n in spans], *[f"_ends_{n}" for n in spans])
+
+def exponential_means(df: DataFrame, column: str, spans: Sequence[int], by: Sequence[str] = SERIES) -> DataFrame:
+    """Adds ``ema_<span>``: the weight-adjusted exponential mean of ``column``, alpha = 2/(span+1).
+
+    A value that is NULL counts as zero.  For series that outgrow a task use ``blocks.Blocks``.
+    """
+    summed = decayed_sums(df, column, spans, by).withColumn("_pos", F.row_number().over(series(by)))
+    means = {f"ema_{n}": F.col(f"_sum_{n}") * F.lit(1 - q) / (F.lit(1.0) - F.pow(F.lit(q), F.col("_pos"))) for n, q in ((n, decay_of(n)) for n in spans)}
+    return summed.withColumns(means).drop("_pos", *[f"_sum_{n}" for n in spans])
 
 
 def relative_strength(df: DataFrame, spans: Sequence[int], by: Sequence[str] = SERIES) -> DataFrame:
     """Adds ``rsi_<n>``: share of gains in all moves of the last ``n`` steps, times 100."""
-    w = series(by)
-    moved = df.withColumn("_move", F.col("close") - F.lag("close", 1).over(w))
-    moved = moved.withColumns(
-        {"_gain": F.greatest("_move", F.when(F.col("_move").isNotNull(), 0.0)), "_size": F.abs("_move")}
-    )
-    return moved.withColumns(
-        {
-            f"rsi_{n}": 100
-            * F.try_divide(rolling_stat(F.col("_gain"), "mean", n, by), rolling_stat(F.col("_size"), "mean", n, by))
-            for n in spans
-        }
-    ).drop("_move", "_gain", "_size")
+    found = rolling_windows(_moves(df, by), {"_gain": (("mean",), spans), "_size": (("mean",), spans)}, by)
+    return _strength(found, spans).drop("_gain", "_size")
+
+
+def _moves(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Adds ``_gain`` and ``_size`` of the step from the row before."""
+    moved = df.withColumn("_move", F.col("close") - F.lag("close", 1).over(series(by)))
+    gain = F.greatest("_move", F.when(F.col("_move").isNotNull(), 0.0))
+    return moved.withColumns({"_gain": gain, "_size": F.abs("_move")}).drop("_move")
+
+
+def _strength(df: DataFrame, spans: Sequence[int]) -> DataFrame:
+    share = {f"rsi_{n}": 100 * F.try_divide(f"_gain_mean_{n}", f"_size_mean_{n}") for n in spans}
+    return df.withColumns(share).drop(*[f"_{c}_mean_{n}" for n in spans for c in ("gain", "size")])
 
 
 def commodity_channel(df: DataFrame, spans: Sequence[int], by: Sequence[str] = SERIES) -> DataFrame:
     """Adds ``cci_<n>``: distance of the typical price to its mean, in mean absolute deviations."""
+    return _channel(rolling_windows(_typical(df), {"_tp": (("mean",), spans)}, by), spans, by)
+
+
+def _typical(df: DataFrame) -> DataFrame:
+    return df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
+
+
+def _channel(df: DataFrame, spans: Sequence[int], by: Sequence[str]) -> DataFrame:
     w = series(by)
-    typical = df.withColumn("_tp", (F.col("high") + F.col("low") + F.col("close")) / 3)
-    recent = typical.withColumns(
-        {f"_tp_{k}": F.lag("_tp", k).over(w) for k in range(1, max(spans))}
-        | {f"_mid_{n}": rolling_stat(F.col("_tp"), "mean", n, by) for n in spans}
-    )
+    recent = df.withColumns({f"_tp_{k}": F.lag("_tp", k).over(w) for k in range(1, max(spans))})
 
     def channel(n: int) -> Column:
-        mid = F.col(f"_mid_{n}")
+        mid = F.col(f"_tp_mean_{n}")
         deviation = F.abs(F.col("_tp") - mid)
         for k in range(1, n):
             deviation = deviation + F.abs(F.col(f"_tp_{k}") - mid)
         return F.try_divide(F.col("_tp") - mid, F.lit(0.015) * deviation / n)
 
     return recent.withColumns({f"cci_{n}": channel(n) for n in spans}).drop(
-        "_tp", *[f"_tp_{k}" for k in range(1, max(spans))], *[f"_mid_{n}" for n in spans]
+        "_tp", *[f"_tp_{k}" for k in range(1, max(spans))], *[f"_tp_mean_{n}" for n in spans]
     )
 
 
@@ -99,20 +119,20 @@ def true_range(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     )
 
 
+def windowed_indicators(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
+    """The indicators that look back a bounded number of rows (``LOOKBACK``), from one set of windows."""
+    df = true_range(_typical(_moves(df, by)), by)
+    short = (7, 14)
+    wanted = {"_gain": (("mean",), short), "_size": (("mean",), short), "_tp": (("mean",), short), "true_range": (("mean",), short), "close": (("mean",), (50, 100))}
+    df = rolling_windows(df.withColumn("_close", F.col("close")), wanted | {"_close": (("mean", "std"), (20,))}, by)
+    df = _channel(_strength(df, short).drop("_gain", "_size"), short, by)
+    renamed = {"close_mean_50": "sma_50", "close_mean_100": "sma_100", "true_range_mean_7": "atr_7", "true_range_mean_14": "atr_14"}
+    df = df.withColumn("bollinger", F.col("_close_mean_20") + 2 * F.col("_close_std_20")).drop("_close", "_close_mean_20", "_close_std_20")
+    return df.withColumnsRenamed(renamed)
+
+
 def add_indicators(bars: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
     """All indicator columns a feature table starts from."""
-    close = F.col("close")
-    df = exponential_means(bars, "close", (12, 26, 50, 100), by)
+    df = exponential_means(bars, "close", SPANS, by)
     df = df.withColumn("macd", F.col("ema_12") - F.col("ema_26")).drop("ema_12", "ema_26")
-    df = relative_strength(df, (7, 14), by)
-    df = commodity_channel(df, (7, 14), by)
-    df = true_range(df, by)
-    return df.withColumns(
-        {
-            "sma_50": rolling_stat(close, "mean", 50, by),
-            "sma_100": rolling_stat(close, "mean", 100, by),
-            "bollinger": rolling_stat(close, "mean", 20, by) + 2 * rolling_stat(close, "std", 20, by),
-            "atr_7": rolling_stat(F.col("true_range"), "mean", 7, by),
-            "atr_14": rolling_stat(F.col("true_range"), "mean", 14, by),
-        }
-    )
+    return windowed_indicators(df, by)

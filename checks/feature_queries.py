@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from barline.operators import blocks, features, fill, split
 from barline.operators.features import LAGS, MOMENTUM_PERIODS, VOLATILITY_WINDOWS, WINDOWS
+from barline.plans import long_series
 from barline.sources.bars import INDICATOR_COLUMNS, PRICE_COLUMNS, bars_from_trades
 from checks import panels as p
 from checks.registry import fixed, fixed_sql, query, shaped, shaped_sql
@@ -339,6 +340,21 @@ def lean_features_without_rsi(spark, sf):
     return shaped(df, KEYS, {n: digits_of(n) for n in (*NO_RSI, *LEAN)})
 
 
+BLOCK = 512
+
+
+def flag_bars(spark, sf):
+    """Three long series, as the aggregation leaves them: not spread by series."""
+    return p.lineitem_bars(p.table(spark, sf, "lineitem"), "l_returnflag")
+
+
+def cleaned_sql(c: str) -> str:
+    up = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    down = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    return (f'coalesce(last_value("{c}" IGNORE NULLS) OVER {up}, first_value("{c}" IGNORE NULLS) OVER {down}, 0) '
+            f'AS "{c}"')
+
+
 BLOCKED = {**p.LABEL_SQL, **p.RETURN_SQL, **p.lag_sql("close"), **p.MOMENTUM_SQL}
 BLOCKED_LATE = {**p.lag_sql("return"), **DEVIATIONS}
 BLOCKED_DIGITS = {n: digits_of(n) for n in (*BLOCKED, *BLOCKED_LATE)}
@@ -357,10 +373,27 @@ def _bounded(df, by):
 )
 def features_in_blocks(spark, sf):
     """Bounded windows over time blocks with a halo; equal to the plain windows."""
-    df = blocks.in_blocks(p.bars(spark, sf, "flag"), _bounded, features.LOOKBACK, features.LOOKAHEAD, block_rows=512)
+    df = blocks.in_blocks(flag_bars(spark, sf), _bounded, features.LOOKBACK, features.LOOKAHEAD, block_rows=BLOCK)
     return shaped(df, KEYS, BLOCKED_DIGITS)
 
 
+@query(p.with_sql(FLAG, p.indicators_sql()) + shaped_sql("ind", KEYS, INDICATOR_DIGITS))
+def indicators_in_blocks(spark, sf):
+    """Exponential means handed from block to block, the other indicators with a halo."""
+    return shaped(long_series.indicator_blocks(flag_bars(spark, sf), BLOCK).rows(), KEYS, INDICATOR_DIGITS)
+
+
+@query(
+    p.with_sql(FLAG, p.indicators_sql(), p.features_sql(), "cleaned AS (SELECT symbol, date, next_5day_return, "
+               + ", ".join(cleaned_sql(c) for c in FEATURES if c != "next_5day_return")
+               + " FROM feat WHERE next_5day_return IS NOT NULL)")
+    + shaped_sql("cleaned", KEYS, FEATURE_DIGITS)
+)
+def feature_table_in_blocks(spark, sf):
+    """The whole cleaned feature table without bringing a series together."""
+    return shaped(long_series.clean_features(flag_bars(spark, sf), BLOCK), KEYS, FEATURE_DIGITS)
+
+
 # --- missing values -----------------------------------------------------------------------
 
 SOME = {"return_lag5": 6, "return_std_10": 4, "close_max_20": 6, "volume_change": 6}
@@ -398,33 +431,41 @@ def _gaps(df):
     return df.withColumns({c: F.when(F.dayofmonth("date") % 7 != 0, F.col(c)) for c in ("close", "volume")})
 
 
-GAPS_SQL = (SUPPLIER, "g AS (SELECT symbol, date, CASE WHEN day(date) % 7 <> 0 THEN close END AS close, "
+def gaps_sql(panel: str) -> tuple[str, str]:
+    return (panel, "g AS (SELECT symbol, date, CASE WHEN day(date) % 7 <> 0 THEN close END AS close, "
             "CASE WHEN day(date) % 7 <> 0 THEN volume END AS volume FROM bars)")
 
 
-@query(p.with_sql(*GAPS_SQL) + "SELECT symbol, CAST(date AS VARCHAR) AS date, " + ", ".join(
-    fixed_sql(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date "
-              "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)") + f" AS {c}" for c in ("close", "volume"))
-    + " FROM g")
+def filled_sql(panel: str, pick: str, frame: str) -> str:
+    filled = (fixed_sql(f"{pick}({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN {frame})") + f" AS {c}"
+              for c in ("close", "volume"))
+    return p.with_sql(*gaps_sql(panel)) + "SELECT symbol, CAST(date AS VARCHAR) AS date, " + ", ".join(filled) + " FROM g"
+
+
+FORWARD, BACKWARD = ("last_value", "UNBOUNDED PRECEDING AND CURRENT ROW"), ("first_value", "CURRENT ROW AND UNBOUNDED FOLLOWING")
+
+
+@query(filled_sql(SUPPLIER, *FORWARD))
 def forward_filled(spark, sf):
-    df = fill.ffill(_gaps(p.bars(spark, sf)), ["close", "volume"])
-    return shaped(df, KEYS, ["close", "volume"])
+    return shaped(fill.ffill(_gaps(p.bars(spark, sf)), ["close", "volume"]), KEYS, ["close", "volume"])
 
 
-@query(p.with_sql(*GAPS_SQL) + "SELECT symbol, CAST(date AS VARCHAR) AS date, " + ", ".join(
-    fixed_sql(f"first_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date "
-              "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)") + f" AS {c}" for c in ("close", "volume"))
-    + " FROM g")
+@query(filled_sql(SUPPLIER, *BACKWARD))
 def backward_filled(spark, sf):
-    df = fill.bfill(_gaps(p.bars(spark, sf)), ["close", "volume"])
-    return shaped(df, KEYS, ["close", "volume"])
+    return shaped(fill.bfill(_gaps(p.bars(spark, sf)), ["close", "volume"]), KEYS, ["close", "volume"])
 
 
-def cleaned_sql(c: str) -> str:
-    up = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
-    down = "(PARTITION BY symbol ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
-    return (f'coalesce(last_value("{c}" IGNORE NULLS) OVER {up}, first_value("{c}" IGNORE NULLS) OVER {down}, 0) '
-            f'AS "{c}"')
+@query(filled_sql(FLAG, *FORWARD))
+def forward_filled_in_blocks(spark, sf):
+    """The last known value is handed from block to block."""
+    cut = blocks.Blocks(_gaps(flag_bars(spark, sf)), block_rows=5)
+    return shaped(cut.ffill(["close", "volume"]).rows(), KEYS, ["close", "volume"])
+
+
+@query(filled_sql(FLAG, *BACKWARD))
+def backward_filled_in_blocks(spark, sf):
+    cut = blocks.Blocks(_gaps(flag_bars(spark, sf)), block_rows=5)
+    return shaped(cut.bfill(["close", "volume"]).rows(), KEYS, ["close", "volume"])
 
 
 CLEAN_SQL = "cleaned AS (SELECT symbol, date, next_5day_return, " + ", ".join(

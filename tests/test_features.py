@@ -1,6 +1,7 @@
 """Window and calendar features against pandas, and the properties they must have."""
 
 import datetime as dt
+import re
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.operators import blocks, features, fill, split
-from barline.operators.indicators import SEGMENT, add_indicators, exponential_means
+from barline.operators.indicators import LOOKBACK, SEGMENT, add_indicators, exponential_means, windowed_indicators
+from barline.plans import long_series
 from tests.conftest import by_symbol, make_bars
 
 
@@ -45,6 +47,21 @@ def test_moments_of_a_flat_window_are_missing(spark):
     assert df.where(F.col("close_skew_5").isNotNull() | F.col("close_kurt_5").isNotNull()).count() == 0
 
 
+def test_an_extreme_value_leaves_no_trace_in_later_windows(spark):
+    rng = np.random.default_rng(1)
+    values = rng.normal(0, 1, 200)
+    values[40] = 1e12
+    rows = [("A", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(v)) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "symbol string, date date, x double")
+    df = features.rolling(frame, "x", ("mean", "std", "skew", "kurt", "max", "min"), [1, 7, 60])
+    pdf = pd.Series(values[41:])  # windows that begin behind it
+    for n in (7, 60):
+        for stat in ("mean", "std", "skew", "kurt", "max", "min"):
+            same(by_symbol(df, f"x_{stat}_{n}")["A"][41 + n - 1 :], getattr(pdf.rolling(n), stat)()[n - 1 :], 1e-9)
+    same(by_symbol(df, "x_mean_1")["A"], values)
+    assert "x_skew_1" not in df.columns and np.isnan(by_symbol(df, "x_std_1")["A"]).all()
+
+
 def test_changes_lags_and_label(bars, bars_pdf):
     df = features.forward_return(features.returns(bars))
     df = features.momentum(features.lags(df, ["return"], [3]), [5])
@@ -137,6 +154,45 @@ def test_blocks_equal_plain_windows(bars):
     pd.testing.assert_frame_equal(plain, cut.select(*plain.columns).orderBy("symbol", "date").toPandas())
 
 
+@pytest.mark.parametrize("block_rows", [3, 7, 64])
+def test_carried_values_equal_plain_windows(spark, block_rows):
+    """Long gaps that reach over several blocks, a column without values, one known value only."""
+    bars = spark.createDataFrame(make_bars(150, ("A", "B", "C"), seed=5), "symbol string, date date, open double, high double, low double, close double, volume double")
+    holed = bars.withColumns(
+        {
+            "x": F.when((F.dayofyear("date") % 41 == 0) | (F.dayofyear("date") % 43 == 1), F.col("close")),
+            "none": F.lit(None).cast("double"),
+            "one": F.when((F.col("symbol") == "B") & (F.col("date") == "2024-01-20"), F.col("open")),
+            "next_5day_return": F.when(F.dayofmonth("date") != 9, F.col("low")),
+        }
+    )
+    order = lambda df: df.select(*sorted(df.columns)).orderBy("symbol", "date").toPandas()
+    cut = blocks.Blocks(holed, block_rows)
+    columns = ["x", "none", "one"]
+    pd.testing.assert_frame_equal(order(cut.ffill(columns).rows()), order(fill.ffill(holed, columns)))
+    pd.testing.assert_frame_equal(order(cut.bfill(columns).rows()), order(fill.bfill(holed, columns)))
+    pd.testing.assert_frame_equal(order(cut.clean().rows()), order(fill.clean(holed)))
+    spans = [2, 12, 100, 5000]
+    pd.testing.assert_frame_equal(order(cut.exponential_means("close", spans).rows()), order(exponential_means(holed, "close", spans)), rtol=1e-12)
+    assert blocks.Blocks(holed.limit(0), block_rows).clean().rows().count() == 0
+
+
+def test_carried_values_never_bring_a_series_together(bars):
+    """Every window of the long-series plan works inside a cell, a block, or on one row for each of these."""
+    cut = blocks.Blocks(bars, 200).exponential_means("close", [12]).windowed(windowed_indicators, LOOKBACK, 0)
+    plan = cut.ffill(["rsi_7"]).bfill(["cci_7"]).clean("close").rows()._jdf.queryExecution().optimizedPlan().toString()
+    keys = [k for w in re.findall(r"Window \[.*?\], \[([^\]]*)\], \[", plan) for k in [re.sub(r"#\d+L?", "", w)]]
+    assert keys and set(keys) <= {"symbol, _cell", "symbol", "symbol, _home", "symbol, _home, _seg", "symbol, _block"}
+    alone = [line for line in plan.splitlines() if re.search(r"Window \[.*\], \[symbol#\d+\], \[(_cell|_home)", line)]
+    assert len(alone) == keys.count("symbol")  # over cells or blocks, one row each
+
+
+def test_long_series_plan_equals_the_plain_one(bars):
+    order = lambda df: df.select(*sorted(df.columns)).orderBy("symbol", "date").toPandas()
+    plain = fill.clean(features.feature_table(add_indicators(bars)))
+    pd.testing.assert_frame_equal(order(long_series.clean_features(bars, block_rows=101)), order(plain), rtol=1e-9, check_dtype=False)
+
+
 def test_fills_equal_pandas(bars, bars_pdf):
     df = features.forward_return(features.returns(bars))
     df = features.rolling(df, "return", "std", [10])
