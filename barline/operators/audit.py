@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.windows import SERIES, series
+from barline.operators.columns import column_quantiles
 from barline.operators.features import LABEL
-from barline.operators.ordered import quantiles
-from barline.operators.profile import bin_of, corr_matrix, correlation, long_form
+from barline.operators.profile import bin_counts, corr_matrix, correlation, per_feature
+from barline.session import materialise
 
 # Levels of the oscillator and the outlier fence.
 OVERBOUGHT, OVERSOLD, FENCE, HIGH_CORRELATION = 70, 30, 1.5, 0.95
@@ -18,11 +19,15 @@ OVERBOUGHT, OVERSOLD, FENCE, HIGH_CORRELATION = 70, 30, 1.5, 0.95
 
 def quality_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULLs and value range per column."""
-    return long_form(df, columns).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count_if(F.col("value").isNull()).alias("n_null"),
-        F.min("value").alias("low"),
-        F.max("value").alias("high"),
+    return per_feature(
+        df,
+        columns,
+        {
+            "n_rows": lambda c: F.count(F.lit(1)),
+            "n_null": lambda c: F.count_if(F.col(c).isNull()),
+            "low": lambda c: F.min(F.col(c).cast("double")),
+            "high": lambda c: F.max(F.col(c).cast("double")),
+        },
     )
 
 
@@ -40,19 +45,28 @@ def date_gaps(df: DataFrame, longer_than: int = 1, by: Sequence[str] = SERIES) -
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], fence: float = FENCE) -> DataFrame:
     """Outlier bounds of each feature from its exact quartiles."""
-    found = quantiles(long_form(df, columns), ["feature"], "value", {"q1": 0.25, "q3": 0.75})
+    found = column_quantiles(df, columns, {"q1": 0.25, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * fence
     return found.select("feature", "q1", "q3", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
 
 
 def iqr_outliers(df: DataFrame, columns: Sequence[str], fence: float = FENCE, keys: Sequence[str] = ("symbol", "date")) -> DataFrame:
-    """Values outside their feature's bounds."""
-    # One row of bounds per feature: as small as the column list.
-    bounds = F.broadcast(iqr_bounds(df, columns, fence))
-    flagged = long_form(df, columns, keys).join(bounds, "feature")
-    return flagged.where((F.col("value") < F.col("low")) | (F.col("value") > F.col("high"))).select(
-        *keys, "feature", "value", F.when(F.col("value") < F.col("low"), "low").otherwise("high").alias("side")
-    )
+    """Values outside their feature's bounds.
+
+    The bounds, two numbers for each feature, are part of the plan, and a row is repeated only for its own outliers.
+    """
+    rows = materialise(df.select(*keys, *columns))
+    bounds = {r["feature"]: (r["low"], r["high"]) for r in iqr_bounds(rows, columns, fence).collect() if r["low"] is not None}
+
+    def flagged(c: str) -> Column:
+        value, (low, high) = F.col(c).cast("double"), bounds[c]
+        side = F.when(value < F.lit(low), "low").when(value > F.lit(high), "high")
+        return F.when(side.isNotNull(), F.struct(F.lit(c).alias("feature"), value.alias("value"), side.alias("side")))
+
+    if not bounds:
+        return rows.limit(0).select(*keys, F.lit("").alias("feature"), F.lit(0.0).alias("value"), F.lit("").alias("side"))
+    found = F.explode(F.array_compact(F.array(*[flagged(c) for c in columns if c in bounds])))
+    return rows.select(*keys, found.alias("_found")).select(*keys, "_found.*")
 
 
 def correlated_groups(df: DataFrame, columns: Sequence[str], limit: float = HIGH_CORRELATION) -> DataFrame:
@@ -62,7 +76,8 @@ def correlated_groups(df: DataFrame, columns: Sequence[str], limit: float = HIGH
 
 def label_ranking(df: DataFrame, columns: Sequence[str], label: str = LABEL) -> DataFrame:
     """Signed correlation of each feature with the label, strongest first."""
-    rows = long_form(df, columns, [label]).groupBy("feature").agg(correlation("value", label).alias("r"))
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, label])])
+    rows = per_feature(values, columns, {"r": lambda c: correlation(c, label)})
     return rows.withColumn(
         "place", F.row_number().over(Window.orderBy(F.abs("r").desc_nulls_last(), "feature"))
     )
@@ -83,24 +98,18 @@ def signals(df: DataFrame, by: Sequence[str] = SERIES) -> DataFrame:
 
 def distribution(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, skewness and exact quartiles per feature."""
-    rows = long_form(df, columns)
-    n = F.count("value")
-    # The factor turns Spark's population skewness into the bias-corrected one.
-    unbiased = F.skewness("value") * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
-    moments = rows.groupBy("feature").agg(
-        n.alias("n_values"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), unbiased.alias("skew")
-    )
-    quarts = quantiles(
-        rows, ["feature"], "value", {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
-    )
-    return moments.join(quarts.drop("n"), "feature")
+    rows = materialise(df.select(*[F.col(c).cast("double").alias(c) for c in columns]))
+
+    def unbiased(c: str) -> Column:
+        """Spark's population skewness, corrected for its bias."""
+        n = F.count(c)
+        return F.skewness(c) * F.sqrt(n * (n - 1)) / F.when(n > 2, n - 2)
+
+    found = per_feature(rows, columns, {"n_values": F.count, "mean": F.avg, "std": F.stddev_samp, "skew": unbiased})
+    quarts = column_quantiles(rows, columns, {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0})
+    return found.join(F.broadcast(quarts.drop("n")), "feature")  # one row per feature
 
 
 def histogram(df: DataFrame, columns: Sequence[str], bins: int = 30) -> DataFrame:
     """Equal-width bin counts per feature."""
-    rows = long_form(df, columns).where(F.col("value").isNotNull())
-    spans = rows.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
-    binned = rows.join(F.broadcast(spans), "feature").select(
-        "feature", bin_of(F.col("value"), F.col("low"), F.col("high"), bins).alias("bin")
-    )
-    return binned.groupBy("feature", "bin").agg(F.count(F.lit(1)).alias("n"))
+    return bin_counts(df, columns, bins).select("feature", F.col("bx").alias("bin"), "n")

@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
@@ -14,17 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.windows import few_groups
+from barline.operators.columns import column_quantiles, rank_moments
 from barline.operators.features import LABEL
-from barline.operators.ordered import average_ranks, quantiles
+from barline.operators.partials import SCHEMA, Partial, as_batch, collected, joined, of_rows
 from barline.session import importable
 
 
-def long_form(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
-    """One row per input row and feature: ``ids``, ``feature``, ``value``."""
-    values = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
-    return values.unpivot(list(ids), list(columns), "feature", "value")
-
-
 def null_total(df: DataFrame) -> DataFrame:
     """Number of NULLs in the whole frame."""
     per_row = sum((F.col(c).isNull().cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
@@ -87,18 +81,6 @@ class Moments:
         return Moments(list(columns), self.n, self.mean[at], self.std[at], self.corr[np.ix_(at, at)])
 
 
-Partial = tuple[int, np.ndarray, np.ndarray]  # rows, means, sums of products of deviations
-TREE = 32
-
-
-def _joined(a: Partial | None, b: Partial) -> Partial:
-    """Moments of two disjoint sets of rows, from those of each."""
-    if a is None or not a[0]:
-        return b
-    n, apart = a[0] + b[0], b[1] - a[1]
-    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + np.outer(apart, apart) * (a[0] * b[0] / n)
-
-
 def _partials(k: int):
     """Moments of the rows of a partition, per group; batches are centred before they are summed."""
 
@@ -109,33 +91,13 @@ def _partials(k: int):
             x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)]).astype(float)
             whole = ~np.isnan(x).any(axis=1)
             for g in np.unique(groups[whole]).tolist():
-                own = x[whole & (groups == g)]
-                mean = own.mean(axis=0)
-                own = own - mean
-                found[g] = _joined(found.get(g), (len(own), mean, own.T @ own))
-        tree = TaskContext.get().partitionId() % TREE
-        for g, (n, mean, products) in found.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([g], pa.int32()), pa.array([tree], pa.int32()), pa.array([n], pa.int64()), pa.array([mean.tobytes()], pa.binary()), pa.array([products.tobytes()], pa.binary())],
-                ["part", "tree", "n", "mean", "products"],
-            )
+                found[g] = joined(found.get(g), of_rows(x[whole & (groups == g)]))
+        for g, partial in found.items():
+            yield as_batch(g, TaskContext.get().partitionId(), partial)
 
     return run
 
 
-def _read_partial(n: int, mean: bytes, products: bytes) -> Partial:
-    means = np.frombuffer(mean)
-    return int(n), means, np.frombuffer(products).reshape(len(means), len(means))
-
-
-def _merge(group: pd.DataFrame) -> pd.DataFrame:
-    total = None
-    for row in group.itertuples():
-        total = _joined(total, _read_partial(row.n, row.mean, row.products))
-    first = group.iloc[0]
-    return pd.DataFrame([(first["part"], first["tree"], total[0], total[1].tobytes(), total[2].tobytes())], columns=list(group.columns))
-
-
 def moments_by(df: DataFrame, columns: Sequence[str], part: Column | None = None) -> dict[int, Moments]:
     """Moments per value of an integer ``part`` (one group without it), in one pass over the rows.
 
@@ -146,12 +108,7 @@ def moments_by(df: DataFrame, columns: Sequence[str], part: Column | None = None
     importable(df.sparkSession)
     group = (F.lit(0) if part is None else part).cast("int").alias("part")
     rows = df.select(group, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).where("part is not null")
-    schema = "part int, tree int, n bigint, mean binary, products binary"
-    partials = rows.mapInArrow(_partials(len(columns)), schema).groupBy("part", "tree").applyInPandas(_merge, schema)
-    found: dict[int, Partial] = {}
-    for r in partials.orderBy("part", "tree").collect():  # at most TREE rows per group
-        found[r["part"]] = _joined(found.get(r["part"]), _read_partial(r["n"], r["mean"], r["products"]))
-    return {g: _as_moments(columns, p) for g, p in found.items()}
+    return {g: _as_moments(columns, p) for g, p in collected(rows.mapInArrow(_partials(len(columns)), SCHEMA)).items()}
 
 
 def _as_moments(columns: list[str], found: Partial) -> Moments:
@@ -164,18 +121,26 @@ def _as_moments(columns: list[str], found: Partial) -> Moments:
     return Moments(columns, n, mean, std, corr)
 
 
+def _one(columns: Sequence[str], found: Moments | None) -> Moments:
+    nothing = np.full(len(columns), np.nan)
+    return found or Moments(list(columns), 0, nothing, nothing, np.outer(nothing, nothing))
+
+
 def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
     """First and second moments of all columns; rows with a NULL or NaN in any of them are left out."""
-    found = moments_by(df, columns)
-    nothing = np.full(len(columns), np.nan)
-    return found[0] if found else Moments(list(columns), 0, nothing, nothing, np.outer(nothing, nothing))
+    return _one(columns, moments_by(df, columns).get(0))
+
+
+def moments_of_ranks(df: DataFrame, columns: Sequence[str]) -> Moments:
+    """Moments of the average ranks of all columns, over the rows without a missing value."""
+    found = rank_moments(df, columns)
+    return _one(columns, found and _as_moments(list(columns), found))
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:
     """Correlation of each pair of columns, ``feature_i`` before ``feature_j`` in column order."""
     columns = list(columns)
-    source = df if method == "pearson" else ranked(df, columns)
-    found = moments(source, columns)
+    found = moments(df, columns) if method == "pearson" else moments_of_ranks(df, columns)
     rows = [
         (a, b, i, j, None if np.isnan(found.corr[i, j]) else float(found.corr[i, j]))
         for i, a in enumerate(columns)
@@ -186,21 +151,13 @@ def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson")
     return df.sparkSession.createDataFrame(rows, schema)
 
 
-def ranked(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ("symbol", "date")) -> DataFrame:
-    """Every column replaced by its average rank over all rows."""
-    rows = long_form(df, columns, keys)
-    ranks = average_ranks(rows, ["feature"], "value")
-    joined = rows.join(ranks, ["feature", "value"])
-    return joined.groupBy(*keys).pivot("feature", list(columns)).agg(F.first("avg_rank"))
-
-
 def bin_of(value: Column, low: Column, high: Column, bins: int) -> Column:
     """Equal-width bin 0..bins-1; the largest value falls into the last bin, a constant into the first."""
     share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
     return F.least(F.lit(bins - 1), F.floor(share * bins)).cast("int")
 
 
-def _cells(columns: list[str], label: str, spans: dict[str, tuple[float | None, float | None]], bins: int):
+def _cells(columns: list[str], label: str | None, spans: dict[str, tuple[float | None, float | None]], bins: int):
     """Counts of the cells (bin of the feature, bin of the label) of each partition, for all features."""
 
     def codes(values: np.ndarray, name: str) -> np.ndarray:
@@ -211,8 +168,10 @@ def _cells(columns: list[str], label: str, spans: dict[str, tuple[float | None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((len(columns), bins * (bins + 1)), np.int64)
         for batch in batches:
-            y = batch.column(len(columns)).to_numpy(zero_copy_only=False).astype(float)
-            by = np.where(np.isnan(y), bins, codes(y, label))  # rows without a label have a cell of their own
+            by = np.zeros(batch.num_rows, np.int64)
+            if label is not None:
+                y = batch.column(len(columns)).to_numpy(zero_copy_only=False).astype(float)
+                by = np.where(np.isnan(y), bins, codes(y, label))  # rows without a label have a cell of their own
             for i, name in enumerate(columns):
                 x = batch.column(i).to_numpy(zero_copy_only=False).astype(float)
                 there = ~np.isnan(x)
@@ -228,15 +187,24 @@ def _cells(columns: list[str], label: str, spans: dict[str, tuple[float | None,
     return run
 
 
-def mi_scores(df: DataFrame, columns: Sequence[str], label: str = LABEL, bins: int = 16) -> DataFrame:
-    """Mutual information of each feature with the label over equal-width bins, in nats."""
+def bin_counts(df: DataFrame, columns: Sequence[str], bins: int, label: str | None = None) -> DataFrame:
+    """``feature, bx, by, n``: known values per equal-width bin of the feature and, if there is one, of the label.
+
+    Cells are counted in the tasks; a task sends one row for each cell it has met.
+    """
     columns = list(columns)
     importable(df.sparkSession)
-    low = per_feature(df, [*columns, label], {"low": lambda c: F.min(F.col(c).cast("double")), "high": lambda c: F.max(F.col(c).cast("double"))})
-    spans = {r["feature"]: (r["low"], r["high"]) for r in low.collect()}  # one row per feature
-    values = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([*columns, label])])
+    all_ = columns if label is None else [*columns, label]
+    span = {"low": lambda c: F.min(F.col(c).cast("double")), "high": lambda c: F.max(F.col(c).cast("double"))}
+    spans = {r["feature"]: (r["low"], r["high"]) for r in per_feature(df, list(dict.fromkeys(all_)), span).collect()}  # one row per feature
+    values = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(all_)])
     cells = values.mapInArrow(_cells(columns, label, spans, bins), "feature string, bx int, by int, n bigint")
-    cells = cells.groupBy("feature", "bx", "by").agg(F.sum("n").alias("n"))
+    return cells.groupBy("feature", "bx", "by").agg(F.sum("n").alias("n"))
+
+
+def mi_scores(df: DataFrame, columns: Sequence[str], label: str = LABEL, bins: int = 16) -> DataFrame:
+    """Mutual information of each feature with the label over equal-width bins, in nats."""
+    cells = bin_counts(df, columns, bins, label)
     shares = cells.select(
         "feature",
         "n",
@@ -293,4 +261,4 @@ def minmax(df: DataFrame, columns: Sequence[str], by: Sequence[str], epsilon: fl
 
 def quartiles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact quartiles per feature."""
-    return quantiles(long_form(df, columns), ["feature"], "value", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    return column_quantiles(df, columns, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
