@@ -55,7 +55,7 @@ def rolling_stat(x: Column, stat: str, n: int, by: Sequence[str] = SERIES, order
 
 # What a window keeps of its values, and the part of it each statistic needs.
 POWERS = ("mean", "m2", "m3", "m4")  # the mean and the sums of powers of the deviations from it
-KEPT = {"mean": 1, "std": 2, "skew": 3, "kurt": 4}
+KEPT = {"std": 2, "skew": 3, "kurt": 4}  # the mean comes from the plain sum, which is exact for whole numbers
 
 
 def _joined(a: dict[str, Column], na: int, b: dict[str, Column], nb: int) -> dict[str, Column]:
@@ -64,6 +64,8 @@ def _joined(a: dict[str, Column], na: int, b: dict[str, Column], nb: int) -> dic
     for name, pick in (("max", F.greatest), ("min", F.least)):
         if name in a:
             out[name] = F.when(a[name].isNotNull() & b[name].isNotNull(), pick(a[name], b[name]))
+    if "sum" in a:
+        out["sum"] = a["sum"] + b["sum"]
     if "mean" not in a:
         return out
     d = b["mean"] - a["mean"]
@@ -93,7 +95,7 @@ def rolling_windows(
     more and are NULL in a flat window.
     """
     w = series(by, order)
-    keep = {c: [k for k in POWERS[: max((KEPT[s] for s in stats if s in KEPT), default=0)]] + [s for s in ("max", "min") if s in stats] for c, (stats, _) in wanted.items()}
+    keep = {c: [k for k in POWERS[: max((KEPT[s] for s in stats if s in KEPT), default=0)]] + [k for k, s in (("max", "max"), ("min", "min"), ("sum", "mean")) if s in stats] for c, (stats, _) in wanted.items()}
     levels: list[set[tuple[str, int]]] = []  # pieces by the number of halvings below them
     needed = {(c, n) for c, (_, windows) in wanted.items() for n in windows}
     while needed:
@@ -103,7 +105,7 @@ def rolling_windows(
             levels[depth].add((c, n))
         needed = {(c, half) for c, n in needed if n > 1 for half in (n - n // 2, n // 2)}
     name = lambda c, k, n: f"_{c}_{k}_{n}"
-    one = {"mean": lambda c: F.col(c).cast("double"), "max": F.col, "min": F.col}
+    one = {"mean": lambda c: F.col(c).cast("double"), "sum": lambda c: F.col(c).cast("double"), "max": F.col, "min": F.col}
     zero = lambda c: F.when(F.col(c).isNotNull(), F.lit(0.0))
     df = df.withColumns({name(c, k, 1): one.get(k, zero)(c) for c, _ in sorted(levels[0]) for k in keep[c]} if levels else {})
     last = {}  # the level that reads a piece for the last time
@@ -125,7 +127,9 @@ def rolling_windows(
         for s in stats:
             for n in windows:
                 p = {k: F.col(name(c, k, n)) for k in keep[c]}
-                if s in p:
+                if s == "mean":
+                    added[f"{c}_{s}_{n}"] = p["sum"] / F.lit(float(n))
+                elif s in p:
                     added[f"{c}_{s}_{n}"] = p[s]
                 elif s == "std":
                     added[f"{c}_{s}_{n}"] = F.sqrt(p["m2"] / F.lit(float(n - 1))) if n > 1 else F.lit(None).cast("double")

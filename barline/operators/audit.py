@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barline.functions.windows import SERIES, series
 from barline.operators.columns import column_quantiles
 from barline.operators.features import LABEL
-from barline.operators.profile import bin_counts, corr_matrix, correlation, per_feature
+from barline.operators.profile import bin_counts, corr_matrix, label_correlations, per_feature
 from barline.session import materialise
 
 # Levels of the oscillator and the outlier fence.
@@ -76,8 +76,7 @@ def correlated_groups(df: DataFrame, columns: Sequence[str], limit: float = HIGH
 
 def label_ranking(df: DataFrame, columns: Sequence[str], label: str = LABEL) -> DataFrame:
     """Signed correlation of each feature with the label, strongest first."""
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, label])])
-    rows = per_feature(values, columns, {"r": lambda c: correlation(c, label)})
+    rows = label_correlations(df, columns, label)
     return rows.withColumn(
         "place", F.row_number().over(Window.orderBy(F.abs("r").desc_nulls_last(), "feature"))
     )

@@ -53,3 +53,45 @@ def collected(partials: DataFrame) -> dict[int, Partial]:
     for r in partials.groupBy("part", "tree").applyInPandas(_merge, SCHEMA).orderBy("part", "tree").collect():  # at most TREE rows per part
         found[r["part"]] = joined(found.get(r["part"]), _read(r["n"], r["mean"], r["products"]))
     return found
+
+
+# ---- many columns beside one ----------------------------------------------------------------------------
+
+BESIDE = "tree int, found binary"
+
+
+def beside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Six rows for the columns of ``x``: count, both means, both sums of squares and the sum of products with ``y``.
+
+    Each column counts the rows where it and ``y`` are known.
+    """
+    known = ~np.isnan(x) & ~np.isnan(y)[:, None]
+    n = known.sum(axis=0)
+    some = np.maximum(n, 1)
+    mx, my = np.where(known, x, 0).sum(axis=0) / some, np.where(known, y[:, None], 0).sum(axis=0) / some
+    dx, dy = np.where(known, x - mx, 0), np.where(known, y[:, None] - my, 0)
+    return np.stack([n, mx, my, (dx * dx).sum(axis=0), (dy * dy).sum(axis=0), (dx * dy).sum(axis=0)])
+
+
+def beside_joined(a: np.ndarray | None, b: np.ndarray) -> np.ndarray:
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    share = b[0] / np.maximum(n, 1)
+    dx, dy = b[1] - a[1], b[2] - a[2]
+    weight = a[0] * share
+    return np.stack([n, a[1] + dx * share, a[2] + dy * share, a[3] + b[3] + dx * dx * weight, a[4] + b[4] + dy * dy * weight, a[5] + b[5] + dx * dy * weight])
+
+
+def _merge_beside(group: pd.DataFrame) -> pd.DataFrame:
+    total = None
+    for found in group["found"]:
+        total = beside_joined(total, np.frombuffer(found).reshape(6, -1))
+    return pd.DataFrame([(group["tree"].iloc[0], total.tobytes())], columns=["tree", "found"])
+
+
+def beside_collected(found: DataFrame) -> np.ndarray | None:
+    total = None
+    for r in found.groupBy("tree").applyInPandas(_merge_beside, BESIDE).orderBy("tree").collect():  # at most TREE rows
+        total = beside_joined(total, np.frombuffer(r["found"]).reshape(6, -1))
+    return total

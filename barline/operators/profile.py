@@ -7,15 +7,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.windows import few_groups
-from barline.operators.columns import column_quantiles, rank_moments
+from barline.operators.columns import column_quantiles, doubles, rank_moments
 from barline.operators.features import LABEL
-from barline.operators.partials import SCHEMA, Partial, as_batch, collected, joined, of_rows
+from barline.operators.partials import BESIDE, SCHEMA, TREE, Partial, as_batch, beside, beside_collected, beside_joined, collected, joined, of_rows
 from barline.session import importable
 
 
@@ -60,10 +61,36 @@ def correlation(x: str, y: str) -> Column:
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 
+def label_correlations(df: DataFrame, columns: Sequence[str], label: str = LABEL) -> DataFrame:
+    """``feature, r``: correlation of each feature with the label over the rows where both are known, from one pass.
+
+    NULL where it is undefined.  Tasks send six numbers for each feature.
+    """
+    columns = list(columns)
+    importable(df.sparkSession)
+    rows = doubles(df, [*columns, label])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            total = beside_joined(total, beside(x[:, :-1], x[:, -1]))
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % TREE], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["tree", "found"])
+
+    found = beside_collected(rows.mapInArrow(run, BESIDE))
+    schema = "feature string, r double"
+    if found is None:
+        return df.sparkSession.createDataFrame([(c, None) for c in columns], schema)
+    n, mx, my, xx, yy, xy = found
+    flat = (n < 2) | (xx <= 1e-26 * np.maximum(mx * mx, 1e-300) * n) | (yy <= 1e-26 * np.maximum(my * my, 1e-300) * n)
+    r = xy / np.sqrt(np.where(flat, 1.0, xx * yy))
+    return df.sparkSession.createDataFrame([(c, None if f else float(v)) for c, f, v in zip(columns, flat, r)], schema)
+
+
 def target_corr(df: DataFrame, columns: Sequence[str], label: str = LABEL) -> DataFrame:
     """Absolute correlation of each feature with the label, 0 where it is undefined."""
-    values = df.select(*[F.col(c).cast("double").alias(c) for c in dict.fromkeys([*columns, label])])
-    return per_feature(values, columns, {"score": lambda c: F.coalesce(F.abs(correlation(c, label)), F.lit(0.0))})
+    return label_correlations(df, columns, label).select("feature", F.coalesce(F.abs("r"), F.lit(0.0)).alias("score"))
 
 
 @dataclass(frozen=True)
@@ -87,6 +114,7 @@ def _partials(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, Partial] = {}
         for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(0)))
             groups = batch.column(0).to_numpy()
             x = np.column_stack([batch.column(i + 1).to_numpy(zero_copy_only=False) for i in range(k)]).astype(float)
             whole = ~np.isnan(x).any(axis=1)
@@ -107,7 +135,8 @@ def moments_by(df: DataFrame, columns: Sequence[str], part: Column | None = None
     columns = list(columns)
     importable(df.sparkSession)
     group = (F.lit(0) if part is None else part).cast("int").alias("part")
-    rows = df.select(group, *[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]).where("part is not null")
+    kinds = dict(df.dtypes)
+    rows = df.select(group, *[F.col(c) if kinds[c] == "double" else F.col(c).cast("double") for c in columns])
     return {g: _as_moments(columns, p) for g, p in collected(rows.mapInArrow(_partials(len(columns)), SCHEMA)).items()}
 
 
@@ -197,7 +226,7 @@ def bin_counts(df: DataFrame, columns: Sequence[str], bins: int, label: str | No
     all_ = columns if label is None else [*columns, label]
     span = {"low": lambda c: F.min(F.col(c).cast("double")), "high": lambda c: F.max(F.col(c).cast("double"))}
     spans = {r["feature"]: (r["low"], r["high"]) for r in per_feature(df, list(dict.fromkeys(all_)), span).collect()}  # one row per feature
-    values = df.select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(all_)])
+    values = doubles(df, all_)
     cells = values.mapInArrow(_cells(columns, label, spans, bins), "feature string, bx int, by int, n bigint")
     return cells.groupBy("feature", "bx", "by").agg(F.sum("n").alias("n"))
 

@@ -7,53 +7,35 @@ from pyspark.sql import functions as F
 from barline.operators import audit, features, fill, profile, select, split
 from barline.session import materialise
 from checks import panels as p
-from checks.feature_queries import split_sql
+from checks.feature_queries import FEATURES, split_sql
 from checks.registry import fixed, fixed_sql, query, shaped, shaped_sql
 
 KEYS = ("symbol", "date")
 LABEL = "next_5day_return"
 SUPPLIER = p.bars_sql("l_suppkey")
-COLUMNS = [
-    "daily_range", "open_close_ratio", "high_close_ratio", "low_close_ratio", "volume_change", "return", "log_return",
-    "open", "high", "low", "close", "volume", "return_lag1", "close_lag1", "return_mean_5", "return_mean_20",
-    "return_std_10", "close_mean_10", "close_max_20", "month", "dayofweek",
-]
-CALENDAR = {n: p.CALENDAR_SQL[n] for n in ("month", "dayofweek")}
+#: Every column of the rich feature table that a model may read.
+COLUMNS = ["open", "high", "low", "close", "volume", *[c for c in FEATURES if c != LABEL]]
 
 
 def panel(spark, sf):
-    """Bars with a small mixed feature set, NULLs included."""
-    df = features.price_shape(features.returns(features.forward_return(p.bars(spark, sf))))
-    df = features.lags(features.lags(df, ["return"], [1]), ["close"], [1])
-    df = features.rolling(features.rolling(df, "return", "mean", [5, 20]), "return", "std", [10])
-    df = features.rolling(features.rolling(df, "close", "mean", [10]), "close", "max", [20])
-    return features.calendar_features(df).select(*KEYS, LABEL, *COLUMNS)
+    """The rich feature table, NULLs included; written once, as the operators read it more than once."""
+    return materialise(p.feature_panel(spark, sf).select(*KEYS, LABEL, *COLUMNS))
 
 
 def train(spark, sf):
     return split.chrono_split(fill.drop_warmup(panel(spark, sf))).where(F.col("split") == "train").drop("split")
 
 
-PANEL = ",\n".join([
-    SUPPLIER,
-    p.added("a", "bars", {**p.LABEL_SQL, **p.PRICE_SHAPE_SQL, **p.RETURN_SQL, **CALENDAR}),
-    p.added("panel", "a", {
-        "return_lag1": p.lag_sql("return")["return_lag1"], "close_lag1": p.lag_sql("close")["close_lag1"],
-        "return_mean_5": p.rolling_sql('"return"', "mean", 5), "return_mean_20": p.rolling_sql('"return"', "mean", 20),
-        "return_std_10": p.rolling_sql('"return"', "std", 10), "close_mean_10": p.rolling_sql("close", "mean", 10),
-        "close_max_20": p.rolling_sql("close", "max", 20),
-    }),
-])
+PANEL = ",\n".join([SUPPLIER, p.indicators_sql(), p.features_sql(), "panel AS (SELECT * FROM feat)"])
 KNOWN = " AND ".join(f'"{c}" IS NOT NULL' for c in (LABEL, *COLUMNS))
 TRAIN = ",\n".join([PANEL, f"known AS (SELECT * FROM panel WHERE {KNOWN})", split_sql("known"),
                     "train AS (SELECT * FROM parted WHERE split = 'train')"])
 
 
 def long_sql(source: str, ids: str = "", cte: str = "long") -> str:
-    parts = " UNION ALL ".join(
-        f"SELECT {ids} '{c}' AS feature, CAST(\"{c}\" AS DOUBLE) AS value FROM {source}" for c in COLUMNS
-    )
-    return f"{cte} AS ({parts})"
+    names = ", ".join(f"'{c}'" for c in COLUMNS)
+    values = ", ".join(f'CAST("{c}" AS DOUBLE)' for c in COLUMNS)
+    return f"{cte} AS (SELECT {ids} unnest([{names}]) AS feature, unnest([{values}]) AS value FROM {source})"
 
 
 # --- profiles -----------------------------------------------------------------------------
@@ -97,14 +79,13 @@ def label_correlations(spark, sf):
 
 
 def pairs_sql(source: str, cte: str = "pairs") -> str:
-    """All correlations in one scan, then one row per pair."""
+    """Centred products of the rows of all pairs in one scan, then one row per pair."""
     names = [(i, j) for i in range(len(COLUMNS)) for j in range(i + 1, len(COLUMNS))]
-    one = ", ".join(f'corr("{COLUMNS[i]}", "{COLUMNS[j]}") AS r_{i}_{j}' for i, j in names)
-    rows = " UNION ALL ".join(
-        f"SELECT '{COLUMNS[i]}' AS feature_i, '{COLUMNS[j]}' AS feature_j, {i} AS pos_i, {j} AS pos_j, r_{i}_{j} AS r FROM one_{cte}"
-        for i, j in names
-    )
-    return f"one_{cte} AS (SELECT {one} FROM {source}),\n{cte} AS ({rows})"
+    found = ", ".join(f'corr("{COLUMNS[i]}", "{COLUMNS[j]}")' for i, j in names)
+    listed = ", ".join(f"'{c}'" for c in COLUMNS)
+    return f"""one_{cte} AS (SELECT [{found}] AS r, [{listed}] AS names FROM {source}),
+{cte} AS (SELECT names[i + 1] AS feature_i, names[j + 1] AS feature_j, i AS pos_i, j AS pos_j, CASE WHEN isfinite(x) THEN x END AS r
+  FROM (SELECT names, unnest(r) AS x, unnest([{", ".join(str(i) for i, _ in names)}]) AS i, unnest([{", ".join(str(j) for _, j in names)}]) AS j FROM one_{cte}))"""
 
 
 PAIR = ("feature_i", "feature_j")
@@ -115,14 +96,20 @@ def correlation_matrix(spark, sf):
     return shaped(profile.corr_matrix(train(spark, sf), COLUMNS), PAIR, ("r",))
 
 
-RANKED = "ranked AS (SELECT " + ", ".join(
-    f'rank() OVER (ORDER BY "{c}") + (count(*) OVER (PARTITION BY "{c}") - 1) / 2.0 AS "{c}"' for c in COLUMNS
-) + " FROM train)"
+RANKED = ",\n".join([
+    "numbered AS (SELECT row_number() OVER () AS i, " + ", ".join(f"{fixed_sql(chr(34) + c + chr(34))} AS \"{c}\"" for c in COLUMNS) + " FROM train)",
+    long_sql("numbered", "i,"),
+    """placed AS (SELECT i, feature, rank() OVER (PARTITION BY feature ORDER BY value)
+  + (count(*) OVER (PARTITION BY feature, value) - 1) / 2.0 AS r FROM long)""",
+    "ranked AS (SELECT i, " + ", ".join(f"max(r) FILTER (feature = '{c}') AS \"{c}\"" for c in COLUMNS) + " FROM placed GROUP BY i)",
+])
 
 
 @query(p.with_sql(TRAIN, RANKED, pairs_sql("ranked")) + shaped_sql("pairs", PAIR, ("r",)))
 def rank_correlation_matrix(spark, sf):
-    return shaped(profile.corr_matrix(train(spark, sf), COLUMNS, "spearman"), PAIR, ("r",))
+    """Values are rounded first: values that differ in the last bit only are ties."""
+    rows = train(spark, sf).select(*[fixed(c).alias(c) for c in COLUMNS])
+    return shaped(profile.corr_matrix(rows, COLUMNS, "spearman"), PAIR, ("r",))
 
 
 @query(
@@ -207,7 +194,7 @@ def selection_report(spark, sf):
     return found.report(df).select(F.col("step"), F.col("n_features").cast("bigint"), F.col("place").cast("bigint"))
 
 
-SCALED = [c for c in COLUMNS if c not in ("month", "dayofweek")]
+SCALED = [c for c in COLUMNS if c not in p.CALENDAR_SQL and c not in p.CROSS_SQL]
 
 
 @query(
@@ -267,19 +254,15 @@ def date_gaps(spark, sf):
     return shaped(audit.date_gaps(p.bars(spark, sf)), (*KEYS, "previous"), (), ("days",))
 
 
-OUTLIERS = ["close", "volume", "return", "return_std_10"]
-
-
 @query(
     p.with_sql(PANEL, long_sql("panel", "symbol, date,"), """q AS (SELECT feature, quantile_cont(value, 0.25) AS q1,
   quantile_cont(value, 0.75) AS q3 FROM long GROUP BY 1)""",
                """x AS (SELECT symbol, date, feature, value, CASE WHEN value < q1 - 1.5 * (q3 - q1) THEN 'low' ELSE 'high' END AS side
   FROM long JOIN q USING (feature) WHERE value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1))""")
-    + shaped_sql("x", (*KEYS, "feature", "side"), {"value": 4}) + " WHERE feature IN ("
-    + ", ".join(f"'{c}'" for c in OUTLIERS) + ")"
+    + shaped_sql("x", (*KEYS, "feature", "side"), {"value": 2})
 )
 def iqr_outliers(spark, sf):
-    return shaped(audit.iqr_outliers(panel(spark, sf), OUTLIERS), (*KEYS, "feature", "side"), {"value": 4})
+    return shaped(audit.iqr_outliers(panel(spark, sf), COLUMNS), (*KEYS, "feature", "side"), {"value": 2})
 
 
 @query(p.with_sql(TRAIN, pairs_sql("train")) + shaped_sql("pairs", PAIR, ("r",)) + " WHERE abs(r) > 0.95")
