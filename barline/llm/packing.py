@@ -59,6 +59,7 @@ class Encoder:
         self.letters = _byte_letters()
         self.most = most
         self.known: dict[bytes, bytes] = {}
+        self.words: dict[bytes, bytes] = {}  # of letters alone: other chunks may join with what stands behind them
 
     def _word(self, word: bytes) -> bytes | None:
         """Ids of a word if it is made of letters alone, in the form the tokenizer would give it."""
@@ -88,9 +89,11 @@ class Encoder:
         known, parted, other = self.known, [], {}
         for chunk in chunks:
             word = chunk.rstrip(self.PUNCTUATION)
-            ids = known.get(word) if len(word) < len(chunk) else None
+            ids = self.words.get(word)
             if ids is None and word:
                 ids = self._word(word)
+                if ids is not None:
+                    self.words[word] = ids
             if ids is None:
                 other[chunk] = b""
             elif len(word) < len(chunk):
@@ -129,6 +132,8 @@ class Encoder:
             surplus = len(self.known) - max(before, self.most)
             for _ in range(surplus):
                 self.known.popitem()  # the newest
+            for _ in range(len(self.words) - self.most):
+                self.words.popitem()
 
 
 _ENCODERS: dict[str, Encoder] = {}

@@ -559,3 +559,17 @@ def test_pipeline_equals_its_stages(spark, sf):
     packed = corpus_pipeline.run(spark, sf).collect()
     check_packed(packed)
     assert {r["doc_id"] for r in packed} == left
+
+
+def test_ids_do_not_depend_on_what_was_read_before():
+    """Symbols, punctuation and letters in any order, each text against the tokenizer alone."""
+    from tokenizers import Tokenizer
+
+    path = tokenizer_file()
+    whole, rng = Tokenizer.from_file(path), random.Random(4)
+    parts = ["😀", "***", "c++", "-", "“", "100%", "é%", "é", "Word", "naïve", "a1", "'s", "#", "…", "中文", "x_y", "\u03a3\u03a3", ".", ",", ";", ":", "!", "?"]
+    encoder = packing.Encoder(path, most=300)
+    for _ in range(20):
+        texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 6))) for _ in range(400)]
+        for text, ids in zip(texts, encoder(texts)):
+            assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
