@@ -123,13 +123,16 @@ def leaks(
     ``items`` (``item_id``, ``text``) is the query set. Its bytes are counted first; beyond
     ``block_bytes`` it is cut into blocks of about that size by hash, and every block meets all
     documents in turn. ``tiles`` lists ``document word, item word, length``. An item shorter than
-    ``min_match`` words has to occur whole. Null or empty texts and items leak nothing; a repeated
-    document row or item gives its rows again once per pair of ids.
+    ``min_match`` words has to occur whole. Ids are of any type. Null or empty texts and items leak nothing, an
+    empty table gives no rows, and very long texts are searched whole. A pair of ids has one row: of repeated rows, or of several
+    texts with one id, the one that covers most, then the one with the greatest tiles. Other columns are not read.
     """
     source = id_text(docs, id_column, text_column)
     schema = f"doc_id {dict(source.dtypes)['doc_id']}, item_id {dict(items.dtypes)['item_id']}, coverage double, n_tiles int, tiles array<struct<doc_word:int,item_word:int,length:int>>"
-    parts = [source.mapInArrow(_finder(index, min_match, coverage), schema) for index in _indexes(items, min_match, block_bytes)]
-    return reduce(DataFrame.unionByName, parts).dropDuplicates(["doc_id", "item_id"])
+    kind = items.select("item_id").limit(0).toArrow().schema.field(0).type
+    parts = [source.mapInArrow(_finder(index, min_match, coverage, kind), schema) for index in _indexes(items, min_match, block_bytes)]
+    best = F.max(F.struct("coverage", "n_tiles", "tiles")).alias("best")
+    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def _indexes(items: DataFrame, min_match: int, block_bytes: int) -> Iterator[Index]:
@@ -152,7 +155,7 @@ def _leaked(index: Index, text: str, min_match: int, coverage: float) -> Iterato
             yield item, share, sorted(marked)
 
 
-def _finder(index: Index, min_match: int, coverage: float):
+def _finder(index: Index, min_match: int, coverage: float, kind: pa.DataType):
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile = pa.list_(pa.struct([("doc_word", pa.int32()), ("item_word", pa.int32()), ("length", pa.int32())]))
         for batch in batches:
@@ -165,7 +168,7 @@ def _finder(index: Index, min_match: int, coverage: float):
                     runs.append([{"doc_word": a, "item_word": b, "length": c} for a, b, c in marked])
             if at:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(at)), pa.array(item_ids, pa.int64()), pa.array(shares, pa.float64()), pa.array([len(r) for r in runs], pa.int32()), pa.array(runs, tile)],
+                    [batch.column("doc_id").take(pa.array(at)), pa.array(item_ids, kind), pa.array(shares, pa.float64()), pa.array([len(r) for r in runs], pa.int32()), pa.array(runs, tile)],
                     ["doc_id", "item_id", "coverage", "n_tiles", "tiles"],
                 )
 
@@ -175,7 +178,10 @@ def _finder(index: Index, min_match: int, coverage: float):
 def decontaminate(
     docs: DataFrame, items: DataFrame, min_match: int = 5, coverage: float = 0.8, block_bytes: int = BLOCK_BYTES, text_column: str = "text"
 ) -> DataFrame:
-    """``docs`` without the rows that leak an item; all columns stay and no row is shuffled."""
+    """``docs`` without the rows that leak an item; all columns stay and no row is shuffled.
+
+    Rows with a null or empty text stay, as do repeated rows that leak nothing; very long texts are searched whole.
+    """
     for index in _indexes(items, min_match, block_bytes):
         docs = docs.mapInArrow(_sieve(index, min_match, coverage, text_column), docs.schema)
     return docs

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import components, id_text, lookup, slices, stage
+from barline.llm.common import components, free, id_text, lookup, slices, stage
 from barline.llm.simhash_dedup import fingerprint, links
 
 # The kinds in their order, and their patterns and limits as stated. The patterns are
@@ -275,16 +275,18 @@ def mask(text: str, base: list[Span], terms: list[tuple[int, int, float]], remov
 def sanitise(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs`` with personal data masked in the text; all other columns stay.
 
-    Null texts stay null. Without revealing words no document is shuffled.
+    Null texts stay null, and empty and very long ones are masked as any other. Repeated rows stay, each masked; spans that
+    overlap are masked as one. Other columns stay, whatever their names; an empty table gives one. Without
+    revealing words no document is shuffled.
     """
     survey = Survey(docs, id_column=id_column, text_column=text_column)
     columns = docs.columns
-    terms = "_terms"
+    own, id_, text_digest, terms = (free(columns, c) for c in ("_own", "_id", "_digest", "_terms"))
     if survey.blocks:
-        added = survey.added().select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), F.col("terms").alias(terms))
+        added = survey.added().select(F.col("doc_id").alias(id_), F.col("digest").alias(text_digest), F.col("terms").alias(terms))
         digest = F.pandas_udf(lambda s: s.fillna("").map(_signed), "bigint")
-        marked = docs.withColumn("_own", digest(F.col(text_column)))
-        rows = marked.join(added.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left").select(*columns, terms)
+        marked = docs.withColumn(own, digest(F.col(text_column)))
+        rows = marked.join(added.hint("shuffle_hash"), F.col(id_column).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(text_digest)), "left").select(*columns, terms)
     else:
         rows = docs.withColumn(terms, F.lit(None).cast("array<struct<start:bigint,end:bigint,strength:double>>"))
 

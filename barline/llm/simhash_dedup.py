@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import components, id_text, lookup, stage, texts_in
+from barline.llm.common import components, free, id_text, lookup, stage, texts_in
 
 BITS = 64
 STEP = 6  # bits per step of the walk: a pair of nodes has at most 2**12 pairs of children
@@ -139,9 +139,10 @@ def keep_first(docs: DataFrame, shingle: int = 3, budget: int = 2) -> DataFrame:
     found = _labelled(rows, budget, "label", "component_id").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     texts = found.groupBy("label", "component_id", "digest").agg(F.count(F.lit(1)).alias("n"))
     first = texts.groupBy("label").agg(F.min(F.struct("digest", "component_id", "n")).alias("first"))
-    first = stage(first.select(F.col("first.component_id").alias("_id"), F.col("first.digest").alias("_digest"), F.col("first.n").alias("_n")), "first")
-    marked = docs.withColumn("_own", _digest("text"))
-    kept = marked.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left_semi")
-    if first.where("_n > 1").take(1):
-        kept = kept.dropDuplicates(["doc_id", "_own"])
+    own, id_, digest, n = (free(docs.columns, c) for c in ("_own", "_id", "_digest", "_n"))
+    first = stage(first.select(F.col("first.component_id").alias(id_), F.col("first.digest").alias(digest), F.col("first.n").alias(n)), "first")
+    marked = docs.withColumn(own, _digest("text"))
+    kept = marked.join(first.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.col(own) == F.col(digest)), "left_semi")
+    if first.where(F.col(n) > 1).take(1):
+        kept = kept.dropDuplicates(["doc_id", own])
     return kept.select(*docs.columns)

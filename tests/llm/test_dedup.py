@@ -303,3 +303,29 @@ def test_planted_items_of_the_table(spark, sf):
     want = {(i, j) for i, t in zip(docs.doc_id, docs.text) for j, u in zip(items.item_id, items.text) if plain(u) in plain(t)}
     assert want <= set(zip(got.doc_id, got.item_id))
     assert (got.coverage >= 0.8).all()
+
+
+CLASHES = ("_own", "_id", "_digest", "_n", "_terms", "_ID_")
+
+
+def clashing(spark, rows):
+    """Documents with columns named as the operators name their own."""
+    names = ", ".join(f"`{c}` string" for c in CLASHES)
+    return spark.createDataFrame([(i, t, *CLASHES) for i, t in rows], f"doc_id bigint, text string, {names}")
+
+
+def test_columns_with_clashing_names_stay(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "g h i j k l"), (3, "g h i j k l"), (4, None)]
+    kept = simhash_dedup.keep_first(clashing(spark, rows)).collect()
+    assert sorted(r["doc_id"] for r in kept) == [1, 3, 4]
+    assert all(tuple(r)[2:] == CLASHES for r in kept)
+
+
+def test_item_ids_of_any_type_and_one_row_for_a_pair_of_ids(spark):
+    item = "one two three four five six seven eight nine ten"
+    items = spark.createDataFrame([("x", item), ("y", None)], "item_id string, text string")
+    part = " ".join(item.split()[:8])
+    docs = spark.createDataFrame([(1, f"so {part} end"), (1, f"so {item} end"), (2, "nothing here"), (None, item)], "doc_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]): r["coverage"] for r in decontaminate.leaks(docs, items).collect()}
+    assert got == {(1, "x"): 1.0, (None, "x"): 1.0}
+    assert decontaminate.leaks(docs, items.limit(0)).count() == 0

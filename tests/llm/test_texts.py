@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from barline.llm import html_text, language_model, packing, sanitise, secret_scan, toxicity
 from barline.llm.queries import QUERIES, tokenizer_file
-from tests.llm.test_dedup import ODD, odd
+from tests.llm.test_dedup import CLASHES, ODD, clashing, odd
 
 
 def documents(spark, sf):
@@ -573,3 +573,11 @@ def test_ids_do_not_depend_on_what_was_read_before():
         texts = [" ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(rng.randint(0, 6))) for _ in range(400)]
         for text, ids in zip(texts, encoder(texts)):
             assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, text
+
+
+def test_masked_rows_keep_columns_with_clashing_names(spark):
+    rows = telling(spark)
+    plain = sorted((str(r["doc_id"]), str(r["text"])) for r in sanitise.sanitise(odd(spark, rows)).collect())
+    got = sanitise.sanitise(clashing(spark, rows)).collect()
+    assert sorted((str(r["doc_id"]), str(r["text"])) for r in got) == plain
+    assert all(tuple(r)[2:] == CLASHES for r in got)
