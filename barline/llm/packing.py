@@ -59,19 +59,16 @@ class Encoder:
         self.letters = _byte_letters()
         self.most = most
         self.known: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}  # of letters alone: other chunks may join with what stands behind them
 
-    def _word(self, word: bytes) -> bytes | None:
-        """Ids of a word if it is made of letters alone, in the form the tokenizer would give it."""
+    def _letters_of(self, word: bytes) -> str | None:
+        """A word as the tokenizer's model takes it, if it is made of letters alone: others may join with what is behind them."""
         if word.isalpha():  # ASCII letters
-            text = word.lower().decode()
-        else:
-            text = word.decode("utf-8", "surrogatepass")
-            low = text.lower()
-            if not (text.isalpha() and low.isalpha() and is_normalized("NFC", text) and is_normalized("NFC", low)) or "\u03a3" in text:
-                return None
-            text = low.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            return word.lower().decode()
+        text = word.decode("utf-8", "surrogatepass")
+        low = text.lower()
+        if not (text.isalpha() and low.isalpha() and is_normalized("NFC", text) and is_normalized("NFC", low)) or "\u03a3" in text:
+            return None
+        return low.encode().decode("latin-1").translate(self.letters)
 
     def _pieces(self, texts: list[str], size: int = 256) -> Iterator[bytes]:
         """Ids of texts without line ends, encoded together and cut at the texts' borders."""
@@ -89,14 +86,14 @@ class Encoder:
         known, parted, other = self.known, [], {}
         for chunk in chunks:
             word = chunk.rstrip(self.PUNCTUATION)
-            ids = self.words.get(word)
-            if ids is None and word:
-                ids = self._word(word)
-                if ids is not None:
-                    self.words[word] = ids
-            if ids is None:
+            text = self._letters_of(word) if word else None
+            if text is None:
                 other[chunk] = b""
-            elif len(word) < len(chunk):
+                continue
+            ids = known.get(word)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+            if len(word) < len(chunk):
                 tail = chunk[len(word) :]
                 other[tail] = b""
                 parted.append((chunk, ids, tail))
@@ -132,8 +129,6 @@ class Encoder:
             surplus = len(self.known) - max(before, self.most)
             for _ in range(surplus):
                 self.known.popitem()  # the newest
-            for _ in range(len(self.words) - self.most):
-                self.words.popitem()
 
 
 _ENCODERS: dict[str, Encoder] = {}
