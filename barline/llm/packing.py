@@ -2,8 +2,8 @@
 
 Lengths are at most the size of a sequence, so the histogram has a bounded number of entries however
 many documents there are, and the program over it is solved on the driver: multiplicative weights on
-the lengths, where a knapsack dynamic program prices the best configuration under the weights of the
-moment. The shares of the configurations are rounded down, the rest is solved again, and the last
+the lengths, where a knapsack dynamic program prices the configurations under the weights of the
+moment. The shares of the full configurations are rounded, the rest is solved again, and the last
 pieces go by best fit, each onto the fullest open sequence that still takes it.
 """
 
@@ -165,57 +165,85 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_column:
 # ---- the program over the histogram ------------------------------------------------------------------
 
 
-def best_config(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> Config:
-    """Unbounded knapsack: the lengths of most total worth that fit into ``capacity``."""
+def worths(lengths: np.ndarray, worth: np.ndarray, capacity: int, waste: float = 0.0) -> tuple[np.ndarray, list[int]]:
+    """Unbounded knapsack over ascending ``lengths``: the most worth in each room when empty room costs ``waste``
+    a token, and how many of the lengths fit into each room."""
     best = np.zeros(capacity + 1)
-    took = np.zeros(capacity + 1, np.int64)  # index of the item taken last, -1 for none
-    order = np.argsort(lengths)
-    lengths, worth = lengths[order], worth[order]
-    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right")
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), "right").tolist()
     for room in range(1, capacity + 1):
-        took[room], best[room] = -1, best[room - 1]
+        most = best[room - 1] - waste
         if fits[room]:
-            values = best[room - lengths[: fits[room]]] + worth[: fits[room]]
-            i = int(values.argmax())
-            if values[i] > best[room]:
-                took[room], best[room] = i, values[i]
+            most = max(most, (best[room - lengths[: fits[room]]] + worth[: fits[room]]).max())
+        best[room] = most
+    return best, fits
+
+
+def best_config(lengths: np.ndarray, worth: np.ndarray, capacity: int) -> Config:
+    """The lengths of most total worth that fit into ``capacity``."""
+    order = np.argsort(lengths)
+    lengths, worth = lengths[order], worth[order]
+    best, fits = worths(lengths, worth, capacity)
     room, out = capacity, Counter()
-    while room > 0:
-        if took[room] < 0:
+    while room > 0 and fits[room]:
+        values = best[room - lengths[: fits[room]]] + worth[: fits[room]]
+        i = int(values.argmax())
+        if values[i] < best[room - 1]:
             room -= 1
         else:
-            out[int(lengths[took[room]])] += 1
-            room -= int(lengths[took[room]])
+            out[int(lengths[i])] += 1
+            room -= int(lengths[i])
     return tuple(sorted(out.items(), reverse=True))
 
 
-def solve(histogram: dict[int, int], capacity: int, rounds: int = 60, rate: float = 0.3) -> dict[Config, float]:
+def solve(histogram: dict[int, int], capacity: int, rounds: int = 20, gap: float = 0.05, rate: float = 0.5) -> dict[Config, float]:
     """Fractional cover of the histogram by configurations, by multiplicative weights.
 
-    A length's weight falls as it gets covered. The configuration priced best is used as often as it
-    takes to cover its tightest length by ``rate`` of its count; the cover is scaled to the histogram
-    in the end.
+    A length's weight falls as it gets covered. A round prices all rooms by one knapsack table under the weights of
+    the moment. It then takes, from the least covered length on, the dearest configuration with it that holds no
+    length the round has covered before, if that is priced within ``gap`` of the best of all. Such a configuration
+    covers its tightest length by ``rate`` of its count. Rounds end when the cover is within ``gap`` of the
+    volume bound, or after ``rounds``. The shares are scaled to cover every length, at most twofold.
     """
     lengths = np.array(sorted(histogram), np.int64)
     need = np.array([histogram[n] for n in lengths.tolist()], float)
-    index = {n: i for i, n in enumerate(lengths.tolist())}
-    log_weight = np.zeros(len(lengths))
-    covered = np.zeros(len(lengths))
+    size = lengths.tolist()
+    tokens = float(lengths @ need)
+    # Worths start in proportion to the length, so that full sequences win from the first round on.
+    prior, log_weight, covered = np.log(lengths / capacity), np.zeros(len(lengths)), np.zeros(len(lengths))
     share: dict[Config, float] = {}
-    # Start from worths in proportion to the length, so that full sequences win from the first round on.
-    prior = np.log(lengths / capacity)
+    least = 0.0
     for _ in range(rounds):
-        worth = np.exp(prior + log_weight - (log_weight).max())
-        config = best_config(lengths, worth, capacity)
-        use = min(rate * need[index[n]] / k for n, k in config)
-        share[config] = share.get(config, 0.0) + use
-        for n, k in config:
-            covered[index[n]] += use * k
-            log_weight[index[n]] -= 0.5 * use * k / need[index[n]]
-    if not (covered > 0).any():
-        return {}
-    most = {c: min(need[index[n]] / covered[index[n]] for n, _ in c) for c in share}
-    return {c: x * min(1.0, most[c]) for c, x in share.items()}
+        worth = np.exp(prior + log_weight - log_weight.max())
+        best, fits = worths(lengths, worth, capacity, float(worth @ need) / tokens)
+        enough = best[capacity] - gap * abs(best[capacity])
+        free, done = worth.copy(), np.zeros(len(lengths))
+        for first in np.lexsort((-lengths, covered / need)).tolist():
+            if done[first]:
+                continue
+            config, room, got = {first: 1}, capacity - size[first], worth[first]
+            while fits[room]:
+                values = free[: fits[room]] + best[room - lengths[: fits[room]]]
+                i = int(values.argmax())
+                if got + values[i] < enough:
+                    break
+                config[i] = config.get(i, 0) + 1
+                got += worth[i]
+                room -= size[i]
+            if got < enough:
+                continue
+            use = min(rate * need[i] / k for i, k in config.items())
+            key = tuple(sorted(((size[i], k) for i, k in config.items()), reverse=True))
+            share[key] = share.get(key, 0.0) + use
+            for i, k in config.items():
+                done[i] = use * k / need[i]
+                covered[i] += use * k
+                free[i] = -np.inf
+        log_weight -= done
+        least = float((covered / need).min())
+        if least and sum(share.values()) / least <= (1 + gap) * tokens / capacity:
+            break
+    scale = min(1 / least, 2.0) if least else 1.0
+    return {c: x * scale for c, x in share.items()}
 
 
 def best_fit(rest: Counter, capacity: int) -> Counter:
@@ -251,31 +279,48 @@ def best_fit(rest: Counter, capacity: int) -> Counter:
     return out
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, solves: int = 5, rounds: int = 60) -> Counter:
+SLACK = 2000  # a plan may use one sequence in this many more than the fewest found
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 20, least: float = 0.2) -> Counter:
     """Configurations and how many sequences use each; together they hold exactly the histogram."""
+    program, rest = plan_parts(histogram, capacity, rounds, least)
+    return program + rest
+
+
+def plan_parts(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 20, least: float = 0.2) -> tuple[Counter, Counter]:
+    """The plan's sequences from the program (and whole ones), and those from best fit.
+
+    Each solve's shares are rounded, the largest first and one at least, as far as the pieces last. Only
+    its configurations with the least room left are fixed, and the rest is solved again; a looser one could
+    still be filled better. Once a solve places less than ``least`` of its pieces, the rest goes by best fit.
+    Of the solves the most are kept that lead to no more sequences than the fewest after any of them, but for
+    one in ``SLACK``.
+    """
     rest = Counter({n: c for n, c in histogram.items() if c})
-    out: Counter = Counter()
+    fixed: Counter = Counter()
     full = rest.pop(capacity, 0)
     if full:
-        out[((capacity, 1),)] = full
-    for _ in range(solves):
-        if sum(rest.values()) < 64:
-            break
-        done = 0
-        for config, share in sorted(solve(rest, capacity, rounds).items(), key=lambda x: -x[1]):
-            times = min([int(share), *(rest[n] // k for n, k in config)])
-            # Only full sequences are fixed early; a loose one could still take a later piece.
-            if times < 1 or sum(n * k for n, k in config) < capacity - 2:
-                continue
-            out[config] += times
-            done += times
-            for n, k in config:
-                rest[n] -= k * times
-                if not rest[n]:
-                    del rest[n]
-        if not done:
+        fixed[((capacity, 1),)] = full
+    after = [(Counter(fixed), best_fit(rest, capacity))]
+    while rest:
+        before, placed = sum(rest.values()), 0
+        shares = solve(rest, capacity, rounds)
+        most = max((sum(n * k for n, k in c) for c in shares), default=0)
+        for config, share in sorted(shares.items(), key=lambda x: (-x[1], x[0])):
+            times = min([max(1, int(share)), *(rest[n] // k for n, k in config)])
+            if times and sum(n * k for n, k in config) == most:
+                fixed[config] += times
+                placed += times * sum(k for _, k in config)
+                for n, k in config:
+                    rest[n] -= k * times
+                    if not rest[n]:
+                        del rest[n]
+        after.append((Counter(fixed), best_fit(rest, capacity)))
+        if placed < least * before:
             break
-    return out + best_fit(rest, capacity)
+    used = [sum(a.values()) + sum(b.values()) for a, b in after]
+    return after[max(i for i, n in enumerate(used) if n <= min(used) + min(used) // SLACK)]
 
 
 class Places:

@@ -365,7 +365,33 @@ def test_plans_hold_the_histogram_and_come_near_the_bound(seed):
         for n, k in config:
             held[n] += k * times
     assert held == histogram
-    assert sum(used.values()) <= sum(packing.best_fit(Counter(histogram), 100).values()) * 1.02 + 1
+    assert sum(used.values()) <= sum(packing.best_fit(Counter(histogram), 100).values()) * 1.0005
+
+
+def test_most_sequences_come_from_the_program():
+    rng = random.Random(4)
+    histogram = Counter(min(1000, int(rng.lognormvariate(5.2, 0.7)) + 1) for _ in range(6000))
+    program, rest = packing.plan_parts(histogram, 1000)
+    made = sum(program.values()) - program[((1000, 1),)]
+    assert made > 4 * sum(rest.values())
+    assert sum(program.values()) + sum(rest.values()) <= -(-sum(n * c for n, c in histogram.items()) // 1000) + 1
+
+
+def test_plans_of_one_length():
+    assert packing.plan({1000: 9}, 4096) == Counter({((1000, 4),): 2, ((1000, 1),): 1})
+    assert packing.plan({2100: 5}, 4096) == Counter({((2100, 1),): 5})
+    assert not packing.plan({}, 4096)
+
+
+def test_covers_hold_every_length_once():
+    rng = random.Random(6)
+    histogram = Counter(rng.randint(20, 600) for _ in range(3000))
+    covered: Counter = Counter()
+    for config, share in packing.solve(histogram, 1000, rounds=60).items():
+        assert sum(n * k for n, k in config) <= 1000
+        for n, k in config:
+            covered[n] += share * k
+    assert all(covered[n] > 0.5 * c for n, c in histogram.items())
 
 
 def test_knapsack_is_optimal():
