@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
-from barline.operators import choose, ensemble, evaluate, features, fill, models, select, split
+from barline.operators import choose, ensemble, evaluate, features, fill, models, select, split, staged
 from barline.operators.profile import Standardizer, moments
 from barline.plans import trials
 from barline.session import materialise, shared_folder
@@ -228,6 +229,55 @@ def early_stopped_boosting(spark, sf):
     return scored(models.predict(model, test_rows(rows), "GradientBoosting"))
 
 
+@query()
+def boosting_stages(spark, sf):
+    """Validation loss of every boosted tree; those up to the best within patience are kept."""
+    rows, *_ = model_rows(spark, sf)
+    return spark.createDataFrame(staged.stages(staged.fit_patience(rows, most=80)), "tree int, loss double, kept boolean")
+
+
+@query()
+def boosting_with_patience(spark, sf):
+    rows, *_ = model_rows(spark, sf)
+    return scored(models.predict(staged.fit_patience(rows, most=80), test_rows(rows), "GradientBoosting"))
+
+
+@query()
+def forest_out_of_bag(spark, sf):
+    """Score of the rows each tree left out, beside the score over contiguous folds."""
+    rows, *_ = model_rows(spark, sf)
+    train, trial = models.part(rows, "train"), trials.RF_TRIALS[3]
+    found = staged.out_of_bag_scores(staged.fit_bagged(train, trial), train, trial.name)
+    return found.withColumn("fold_r2", F.lit(float(models.fold_score(models.forest(trial), train))))
+
+
+# A tree of one split on whole numbers: SQL can try every cut.
+PARTS = ("day", "month")
+STUMP_SQL = (
+    *TWO_SQL[:3], date_split_sql("known"),
+    "num AS (SELECT *, CAST(isodow(date) - 1 AS DOUBLE) AS day, CAST(month(date) AS DOUBLE) AS month FROM parted)",
+    "fitted AS (SELECT 'day' AS feature, day AS v, y FROM num WHERE split = 'train' UNION ALL SELECT 'month', month, y FROM num WHERE split = 'train')",
+    "cells AS (SELECT feature, v, sum(y) AS s, count(*) AS n FROM fitted GROUP BY 1, 2)",
+    """cuts AS (SELECT feature, v, sum(s) OVER up AS ls, sum(n) OVER up AS ln, sum(s) OVER (PARTITION BY feature) AS ts,
+  sum(n) OVER (PARTITION BY feature) AS tn FROM cells WINDOW up AS (PARTITION BY feature ORDER BY v))""",
+    """cut AS (SELECT *, ls / ln AS low, (ts - ls) / (tn - ln) AS high FROM cuts WHERE ln >= 20 AND tn - ln >= 20
+  ORDER BY ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) DESC LIMIT 1)""",
+)
+
+
+@query(
+    p.with_sql(*STUMP_SQL, """x AS (SELECT 'Stump' AS model, split, symbol, date, y,
+  CASE WHEN (CASE feature WHEN 'day' THEN day ELSE month END) <= cut.v THEN low ELSE high END AS yhat FROM num CROSS JOIN cut)""")
+    + shaped_sql("x", ("model", "split", "symbol", "date"), {"y": 5, "yhat": 5})
+)
+def stump_forecasts(spark, sf):
+    """A tree of one split; the best of all cuts and the means on both sides."""
+    df = two_features(spark, sf).withColumns({"day": F.weekday("date").cast("double"), "month": F.month("date").cast("double"), "label": F.col(LABEL)})
+    rows = VectorAssembler(inputCols=list(PARTS), outputCol="features").transform(df)
+    model = models.fit_tree(models.part(rows, "train"), depth=1, gain=0.0)
+    return shaped(models.predict(model, rows, "Stump"), ("model", "split", "symbol", "date"), {"y": 5, "yhat": 5})
+
+
 DEPTHS = [3, 4, 5, 6, 7]
 
 
