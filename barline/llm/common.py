@@ -13,6 +13,7 @@ from barline.session import shared_folder
 
 HOT_KEYS = 1000
 HOT_ROWS = 500
+MOST_MARKS = 1 << 26  # 8 MB
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,7 +71,31 @@ def lookup(rows: DataFrame, small: DataFrame, key: str, how: str = "inner") -> D
     return rows.join(hot, key, "left_semi").join(few, key, how).unionByName(rows.join(hot, key, "left_anti").join(small, key, how))
 
 
-def components(nodes: DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
+class Marks:
+    """A set of 64-bit hashes as marked bits, of a size that never exceeds ``MOST_MARKS`` bits.
+
+    A hash that was marked is always found; others can be found too, the more the fuller the table is. So it
+    spares rows a shuffle but decides nothing: an exact join or grouping has to follow.
+    """
+
+    def __init__(self, keys: DataFrame, key: str):
+        """``key`` holds signed hashes; they are read twice."""
+        self.bits = 1 << 15
+        count = keys.count()
+        while self.bits < min(16 * count, MOST_MARKS):
+            self.bits *= 2
+        self.bytes = bytearray(self.bits // 8)
+        at = keys.select((F.pmod(F.col(key), F.lit(self.bits)) + 1).alias("at"))
+        parts = at.groupBy(F.bitmap_bucket_number("at").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("marked"))
+        for row in parts.collect():
+            self.bytes[(row["part"] - 1) * 4096 : row["part"] * 4096] = row["marked"]
+
+    def __contains__(self, digest: int) -> bool:
+        at = digest & (self.bits - 1)
+        return bool(self.bytes[at >> 3] >> (at & 7) & 1)
+
+
+def components(nodes:DataFrame, links: DataFrame, rounds: int = 100) -> DataFrame:
     """``node, label`` for every node: the smallest node that links reach from it.
 
     ``links`` has columns ``a, b`` of distinct nodes and bounded degree. Each round takes the smallest

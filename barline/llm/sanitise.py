@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import components, free, id_text, lookup, slices, stage
+from barline.llm.common import Marks, components, free, id_text, lookup, slices, stage
 from barline.llm.simhash_dedup import fingerprint, links
 
 # The kinds in their order, and their patterns and limits as stated. The patterns are
@@ -121,6 +121,11 @@ def _signed(text: str) -> int:
     return digest - (1 << 64) * (digest >> 63)
 
 
+def _spark_hash(word: str) -> int:
+    """``xxhash64`` of Spark, as an unsigned number."""
+    return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), seed=42)
+
+
 def _survey(kind: pa.DataType):
     """One pass over the texts: a row per document with its base spans and, if it has any, its entities, the
     words beside them and the fingerprint."""
@@ -146,24 +151,57 @@ def _survey(kind: pa.DataType):
     return run
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``word, n``: in how many of the texts a word stands, in parts to add up."""
+def _counted(wanted: Marks, repeated: Marks | None = None):
+    """``word, n``: in how many of the texts a wanted word stands, in parts to add up; texts marked as repeated are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = [(w, n) for w, n in words.items() if _spark_hash(w) in wanted]
+            words.clear()
+            for at in range(0, len(rows), 20_000):
+                some, n = zip(*rows[at : at + 20_000])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+
+        words: Counter = Counter()
+        for whole in batches:
+            for batch in slices(whole):
+                for text in batch.column("text").to_pylist():
+                    if repeated is None or _signed(text) not in repeated:
+                        words.update(set(WORD.findall(text.lower())))
+                if len(words) > MOST_WORDS:
+                    yield from flush()
+        yield from flush()
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        rows = list(words.items())
-        words.clear()
-        for at in range(0, len(rows), 20_000):
-            some, n = zip(*rows[at : at + 20_000])
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(n, pa.int64())], ["word", "n"])
+    return run
 
-    words: Counter = Counter()
-    for whole in batches:
-        for batch in slices(whole):
-            for text in batch.column("text").to_pylist():
-                words.update(set(WORD.findall(text.lower())))
-            if len(words) > MOST_WORDS:
-                yield from flush()
-    yield from flush()
+
+def _repeated(marks: Marks):
+    """``digest, text`` of the texts marked as repeated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                digests = [_signed(t) for t in batch.column("text").to_pylist()]
+                rows = pa.array([n for n, d in enumerate(digests) if d in marks], pa.int64())
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(digests, pa.int64()).take(rows), batch.column("text").take(rows)], ["digest", "text"])
+
+    return run
+
+
+def document_counts(source: DataFrame, words: DataFrame, repeats: DataFrame) -> DataFrame:
+    """``word, df``: the number of distinct texts of ``source`` that hold each of ``words``.
+
+    ``repeats`` has the digests of texts that stand more than once. Only those texts, and the few whose
+    digest falls on a mark of theirs, are shuffled to be counted once; all others are counted where they are.
+    """
+    wanted = Marks(words.select(F.xxhash64("word").alias("key")), "key")
+    marks = Marks(repeats, "digest") if repeats.take(1) else None
+    counts = source.select("text").mapInArrow(_counted(wanted, marks), "word string, n bigint")
+    if marks:
+        once = source.select("text").mapInArrow(_repeated(marks), "digest bigint, text string").dropDuplicates(["digest"])
+        counts = counts.unionByName(once.select("text").mapInArrow(_counted(wanted), "word string, n bigint"))
+    return counts.groupBy("word").agg(F.sum("n").alias("df")).join(words, "word", "left_semi")
 
 
 class Survey:
@@ -202,10 +240,11 @@ class Survey:
         met = pairs.groupBy("entity", "ef", "word", "label").agg(F.count(F.lit(1)).alias("n"))
         met = met.groupBy("entity", "ef", "word").agg(F.sum("n").alias("joint"), F.count(F.lit(1)).alias("classes")).where(F.col("classes") >= classes)
         met = stage(met, "met")
-        unique = self.source.select("text", F.xxhash64("text").alias("digest")).dropDuplicates(["digest"]).select("text")
-        total = rows.select("digest").distinct().count()
-        with_word = unique.mapInArrow(_counted, "word string, n bigint").join(met.select("word").distinct(), "word", "left_semi")
-        with_word = with_word.groupBy("word").agg(F.sum("n").alias("df"))
+        if not met.take(1):
+            return
+        repeats = stage(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats")
+        total = rows.count() - (repeats.agg(F.sum(F.col("n") - 1)).first()[0] or 0)
+        with_word = document_counts(self.source, stage(met.select("word").distinct(), "candidates"), repeats.select("digest"))
         strength = F.col("joint") / F.col("df")
         pmi = F.log2(F.col("joint") * F.lit(float(total)) / (F.col("df") * F.col("ef")))
         telling = met.join(with_word, "word").where((strength >= disclosure) & (pmi >= bits))

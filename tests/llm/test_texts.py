@@ -12,9 +12,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barline.llm import html_text, language_model, packing, sanitise, secret_scan, toxicity
+from barline.llm import common, html_text, language_model, packing, sanitise, secret_scan, toxicity
 from barline.llm.queries import QUERIES, tokenizer_file
-from tests.llm.test_dedup import CLASHES, ODD, clashing, odd
+from tests.llm.test_dedup import CLASHES, ODD, classes, clashing, odd, slow_fingerprint
 
 
 def documents(spark, sf):
@@ -493,6 +493,60 @@ def test_evidence_is_of_distinct_documents(spark):
     assert [(t["start"], t["end"]) for r in survey.spans().where(F.col("doc_id") == rows[-1][0]).collect() for t in r["terms"]] == [(0, 7)]
 
 
+def slow_words(rows):
+    """The revealing words and their strengths, from every pair of distinct texts."""
+    texts = sorted({t or "" for _, t in rows})
+    held = [{sanitise.entity(t, s) for s in sanitise.base_spans(t)} for t in texts]
+    outside = [sanitise.beside(t, sanitise.base_spans(t)) for t in texts]
+    df = Counter(w for t in texts for w in set(sanitise.WORD.findall(t.lower())))
+    ef = Counter(e for es in held for e in es)
+    often = {e for e, n in ef.items() if n >= sanitise.CLASSES}
+    fps = {n: slow_fingerprint(t) for n, (t, es) in enumerate(zip(texts, held)) if es & often}
+    label = classes(fps, [(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= sanitise.APART])
+    met = defaultdict(list)
+    for n in fps:
+        for e in held[n] & often:
+            for w in outside[n]:
+                met[e, w].append(label[n])
+    out = {}
+    for (e, w), labels in met.items():
+        joint = len(labels)
+        if len(set(labels)) >= sanitise.CLASSES and joint / df[w] >= sanitise.DISCLOSURE and np.log2(joint * len(texts) / (df[w] * ef[e])) >= sanitise.BITS:
+            out[w] = max(out.get(w, 0), joint / df[w])
+    return out
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_revealing_words_equal_brute_force(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choices("bcdfghklmnprst", k=5)) for _ in range(120)]
+    people = [(f"Person{chr(97 + n)}", f"p{n}@mail.example", f"10.0.0.{n}") for n in range(8)]
+    rows = []
+    for n in range(400):
+        words = rng.choices(vocabulary, k=rng.randint(5, 40))
+        if rng.random() < 0.4:
+            name, mail, ip = rng.choice(people)
+            words += rng.sample([name, mail, ip, "Écriture", name.upper(), "4111 1111 1111 1111"], rng.randint(1, 5))
+        rng.shuffle(words)
+        rows.append((n, " ".join(words)))
+    rows += [(rng.randint(0, 600), rng.choice(rows)[1]) for _ in range(150)] + [(900 + n, t) for n, t in enumerate([rows[0][1]] * 40 + [None, "", None])]
+    want = slow_words(rows)
+    got = {r["word"]: r["strength"] for r in sanitise.Survey(odd(spark, rows)).words.collect()}
+    assert want and got.keys() == want.keys() and all(got[w] == pytest.approx(want[w]) for w in want)
+
+
+def test_marks_find_every_key(spark, monkeypatch):
+    monkeypatch.setattr(common, "MOST_MARKS", 1 << 17)
+    keys = spark.range(20_000).select(F.xxhash64("id").alias("key"))
+    marks = common.Marks(keys, "key")
+    found = [r["key"] for r in keys.collect()]
+    assert all(k in marks for k in found) and len(marks.bytes) == 1 << 14
+    monkeypatch.setattr(common, "MOST_MARKS", 1 << 26)
+    marks = common.Marks(keys, "key")
+    assert all(k in marks for k in found) and sum(k + 1 in marks for k in found) < 2500
+    assert 5 not in common.Marks(keys.limit(0), "key")
+
+
 def test_pii_odd_rows(spark):
     assert sanitise.Survey(odd(spark)).spans().count() == len(ODD)
     same = sanitise.sanitise(odd(spark))
