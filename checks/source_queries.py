@@ -46,8 +46,8 @@ def rows_in_date_order(spark, sf):
 
 @query(p.with_sql(SUPPLIER, p.added("x", "bars", p.RETURN_SQL)) + shaped_sql("x", KEYS, list(p.RETURN_SQL)))
 def feature_snapshot(spark, sf):
-    """Computed and written at the first call, read at the second."""
-    path, key = shared_folder(spark, "snapshot"), sinks.fingerprint(sf, "returns")
+    """Computed and written at the first call, read at the second; the key is that of the trades' files."""
+    path, key = shared_folder(spark, "snapshot"), sinks.fingerprint("returns", sinks.file_key(spark, f"{sf}/lineitem.parquet"))
     sinks.snapshot(spark, lambda: features.returns(p.bars(spark, sf)), path, key)
 
     def not_again():

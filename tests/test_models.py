@@ -1,6 +1,8 @@
 """Model fits against closed forms; trees and classifiers for sound and repeatable output."""
 
 import datetime as dt
+import os
+import threading
 
 import numpy as np
 import pytest
@@ -215,6 +217,51 @@ def test_snapshot_and_model_are_computed_once(spark, rows, bars, tmp_path):
     assert len(list((tmp_path / "m").glob("fp=*"))) == 3
 
 
+def test_snapshots_of_writers_at_the_same_time(spark, tmp_path):
+    home, both, slow = str(tmp_path / "s"), threading.Barrier(2), threading.Event()
+    seen = []
+
+    def rows(value, last):
+        def compute():
+            both.wait()  # neither has published when the other starts
+            if last:
+                slow.wait()
+            return spark.range(1000, numPartitions=4).select("id", F.lit(value).alias("writer"))
+
+        return compute
+
+    def write(value, last):
+        seen.append(sinks.snapshot(spark, rows(value, last), home, "k").select("writer").distinct().collect())
+
+    writers = [threading.Thread(target=write, args=a) for a in (("first", False), ("second", True))]
+    [w.start() for w in writers]
+    writers[0].join()
+    early = sinks.snapshot(spark, lambda: pytest.fail("published already"), home, "k")
+    slow.set()
+    writers[1].join()
+    assert seen == [[("first",)], [("first",)]]
+    assert early.groupBy("writer").count().collect() == [("first", 1000)]
+
+    def broken():
+        return spark.range(4).select(F.raise_error(F.lit("lost")).cast("string").alias("writer"))
+
+    with pytest.raises(Exception, match="lost"):
+        sinks.snapshot(spark, broken, home, "other")
+    assert sinks.snapshot(spark, lambda: spark.range(3), home, "other").count() == 3
+
+
+def test_key_of_files_follows_the_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    spark.range(10).coalesce(1).write.parquet(str(folder))
+    key = sinks.file_key(spark, str(folder))
+    assert key == sinks.file_key(spark, str(folder))
+    spark.range(1).coalesce(1).write.mode("append").parquet(str(folder))
+    more = sinks.file_key(spark, str(folder))
+    one = next(folder.glob("*.parquet"))
+    os.utime(one, (1, 1))
+    assert len({key, more, sinks.file_key(spark, str(folder))}) == 3
+
+
 def test_csv_nan_is_read_as_missing(spark, tmp_path):
     (tmp_path / "b.csv").write_text("symbol,date,open,high,low,close,volume\nA,2024-01-02,1,2,0.5,NaN,7\n")
     row = bar_source.read_bars(spark, str(tmp_path / "b.csv")).first()
