@@ -63,8 +63,8 @@ class Blocks:
         """The blocks after a change that leaves rows in their blocks, such as projections and filters."""
         return Blocks(change(self.df), self.block_rows, self.by, self.order, self.grain, numbered=True)
 
-    def windowed(self, compute: Callable[[DataFrame, Sequence[str]], DataFrame], lookback: int, lookahead: int) -> "Blocks":
-        """``compute(rows, by)`` with windows that look at most ``lookback`` and ``lookahead`` rows away.
+    def copied(self, lookback: int, lookahead: int) -> DataFrame:
+        """The rows with their ``_block``, and copies of the rows that a block's windows see beyond its borders.
 
         All rows have to be there still: a row's place says which blocks need a copy of it.
         """
@@ -78,7 +78,11 @@ class Blocks:
         targets = F.concat(
             F.array("_home"), copy(inside >= self.block_rows - lookback, 1), copy((inside < lookahead) & (F.col("_home") > 0), -1)
         )
-        computed = compute(self.df.withColumn("_block", F.explode(targets)), (*self.by, "_block"))
+        return self.df.withColumn("_block", F.explode(targets))
+
+    def windowed(self, compute: Callable[[DataFrame, Sequence[str]], DataFrame], lookback: int, lookahead: int) -> "Blocks":
+        """``compute(rows, by)`` with windows that look at most ``lookback`` and ``lookahead`` rows away."""
+        computed = compute(self.copied(lookback, lookahead), (*self.by, "_block"))
         return self.then(lambda _: computed.where(F.col("_block") == F.col("_home")).drop("_block"))
 
     def carried(self, summary: Mapping[str, Column], scanned: Mapping[str, Column]) -> DataFrame:

@@ -137,10 +137,11 @@ def moments_by(df: DataFrame, columns: Sequence[str], part: Column | None = None
     group = (F.lit(0) if part is None else part).cast("int").alias("part")
     kinds = dict(df.dtypes)
     rows = df.select(group, *[F.col(c) if kinds[c] == "double" else F.col(c).cast("double") for c in columns])
-    return {g: _as_moments(columns, p) for g, p in collected(rows.mapInArrow(_partials(len(columns)), SCHEMA)).items()}
+    return {g: moments_from(columns, p) for g, p in collected(rows.mapInArrow(_partials(len(columns)), SCHEMA)).items()}
 
 
-def _as_moments(columns: list[str], found: Partial) -> Moments:
+def moments_from(columns: list[str], found: Partial) -> Moments:
+    """Moments from counts, means and products of deviations."""
     n, mean, products = found
     std = np.sqrt(np.diag(products) / n)
     # A constant column has no correlation, not even with itself.
@@ -163,7 +164,7 @@ def moments(df: DataFrame, columns: Sequence[str]) -> Moments:
 def moments_of_ranks(df: DataFrame, columns: Sequence[str]) -> Moments:
     """Moments of the average ranks of all columns, over the rows without a missing value."""
     found = rank_moments(df, columns)
-    return _one(columns, found and _as_moments(list(columns), found))
+    return _one(columns, found and moments_from(list(columns), found))
 
 
 def corr_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
-from barline.operators import choose, ensemble, evaluate, features, fill, models, select, split, staged
+from barline.operators import choose, ensemble, evaluate, features, fill, lagged, models, select, split, staged
 from barline.operators.profile import Standardizer, moments
 from barline.plans import trials
 from barline.session import materialise, shared_folder
@@ -324,6 +324,37 @@ def sequence_ridge_scores(spark, sf):
     return scored(models.predict(models.fit_sequence_linear(rows, 100.0), test_rows(rows), "SequenceRidge"))
 
 
+PAIR_SQL = (
+    *TWO_SQL[:5],
+    "scaled AS (SELECT symbol, date, split, y, (r - mr) / sr AS z FROM parted CROSS JOIN (SELECT mr, sr FROM m))",
+    "pairs AS (SELECT *, lag(z) OVER (PARTITION BY symbol, split ORDER BY date) AS b FROM scaled)",
+    f"""s AS (SELECT avg(b) AS mb, avg(z) AS mz, avg(y) AS my, var_pop(b) + {ALPHA} / count(*) AS bb, var_pop(z) + {ALPHA} / count(*) AS zz,
+  covar_pop(b, z) AS bz, covar_pop(b, y) AS sb, covar_pop(z, y) AS sz FROM pairs WHERE split = 'train' AND b IS NOT NULL)""",
+    """x AS (SELECT 'Pair' AS model, split, symbol, date, y, my + (sb * zz - bz * sz) / (bb * zz - bz * bz) * (b - mb)
+  + (sz * bb - bz * sb) / (bb * zz - bz * bz) * (z - mz) AS yhat FROM pairs CROSS JOIN s WHERE b IS NOT NULL)""",
+)
+
+
+@query(p.with_sql(*PAIR_SQL) + shaped_sql("x", ("model", "split", "symbol", "date"), {"y": 5, "yhat": 5}))
+def lagged_ridge_forecasts(spark, sf):
+    """Ridge regression on sequences of two rows, from lagged products."""
+    df = two_features(spark, sf)
+    scaled = materialise(Standardizer(["r"]).fit(models.part(df, "train")).transform(df))
+    found = lagged.sequence_moments(models.part(scaled, "train"), ["r"], 2)
+    out = lagged.sequence_forecasts(scaled, ["r"], *lagged.sequence_ridge(found, ALPHA), "Pair")
+    return shaped(out, ("model", "split", "symbol", "date"), {"y": 5, "yhat": 5})
+
+
+@query()
+def lagged_ridge_scores(spark, sf):
+    """Test scores of the ridge regression on sequences of 20 rows of the lean features, without writing the sequences."""
+    df = materialise(lean(spark, sf))
+    columns = features.feature_columns(df, features.LEAN_DROPPED)
+    scaled = materialise(Standardizer(columns).fit(models.part(df, "train")).transform(df))
+    found = lagged.sequence_moments(models.part(scaled, "train"), columns, 20)
+    return scored(lagged.sequence_forecasts(test_rows(scaled), columns, *lagged.sequence_ridge(found, 100.0), "LaggedRidge"))
+
+
 @query()
 def response_surface(spark, sf):
     """Validation R2 of the light boosted trials over their two sizes, trees and smallest leaf."""
