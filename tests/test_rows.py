@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barline.functions.rows import Series, with_series
-from barline.operators import features
+from barline.operators import features, fill, split
 from barline.operators.indicators import add_indicators
 from checks import model_queries, profile_queries
 
@@ -63,3 +63,27 @@ def test_plans_read_written_bars_once(spark, tmp_path):
     assert "parquet" not in plan_of(model_queries.two_features(spark, sf))
     panel = profile_queries.panel(spark, sf)
     assert "parquet" not in plan_of(panel) and "inline" in plan_of(panel)  # bars are written, features are not
+
+
+def test_split_of_known_rows_in_one_pass(spark):
+    """The rows and splits of drop_warmup and chrono_split, for rows in any order, whatever the size of a batch."""
+    rows = [("a", d, None if d < 3 else d * 1.0, d) for d in range(30)] + [("b", d, float("nan") if d == 4 else 1.0, d) for d in range(9)]
+    rows += [(None, d, 1.0, 1) for d in range(4)] + [("c", 1, 2.0, 3), ("d", 1, None, 3), ("e", 2, 1.0, None)]
+    df = spark.createDataFrame(rows[::2] + rows[1::2], "symbol string, date int, x double, n int").repartition(3)
+    want = split.chrono_split(fill.drop_warmup(df))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        assert sorted(split.known_split(df).collect()) == sorted(want.collect())
+        assert sorted(split.known_split(df, only="train").collect()) == sorted(want.where("split = 'train'").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_training_rows_are_neither_sorted_nor_exchanged(spark, tmp_path):
+    """Only the bars are packed by series; the columns made of them are not moved for the split."""
+    sf = lineitems(spark, tmp_path)
+    wide = [profile_queries.train(spark, sf), split.known_split(profile_queries.panel(spark, sf), in_order=True)]
+    for df in wide:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("ArrowEvalPython")]
+        assert "Window" not in plan and "Exchange" not in above and "Sort" not in above
