@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from barline.functions.rows import Series, with_series
 from barline.operators import features, fill, split
 from barline.operators.indicators import add_indicators
-from checks import model_queries, profile_queries
+from checks import forecasts, model_queries, profile_queries
 
 
 def plan_of(df):
@@ -87,3 +87,15 @@ def test_training_rows_are_neither_sorted_nor_exchanged(spark, tmp_path):
         plan = df._jdf.queryExecution().executedPlan().toString()
         above = plan[: plan.index("ArrowEvalPython")]
         assert "Window" not in plan and "Exchange" not in above and "Sort" not in above
+
+
+def test_forecasts_stay_with_their_series(spark, tmp_path):
+    """Written rows are spread by series once; scores by symbol and rows that all models cover need no other exchange."""
+    sf = lineitems(spark, tmp_path)
+    scores = forecasts.metrics(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert scores.count("Exchange") == 1 and "parquet" not in scores
+    table = forecasts.predictions(spark, sf)
+    assert {(r["model"], r["n"]) for r in table.groupBy("model").agg(F.count_if(F.col("yhat").isNull()).alias("n")).collect()} <= {(m, 0) for m in forecasts.FORECASTS}
+    row = F.collect_set("model").alias("models")
+    plan = table.groupBy("split", "symbol", "date").agg(row)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
