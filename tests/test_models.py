@@ -6,14 +6,16 @@ import threading
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression
 from pyspark.sql import functions as F
 
-from barline.operators import ensemble, evaluate, models, split
+from barline.operators import ensemble, evaluate, features, models, profile, split
 from barline.operators.profile import Standardizer, moments
 from barline.plans import trials
 from barline.sources import bars as bar_source
 from barline.sources import sinks
+from checks import panels, profile_queries
 
 COLUMNS = ["a", "b", "c"]
 LABEL = "next_5day_return"
@@ -274,3 +276,13 @@ def test_bars_take_first_and_last_by_the_full_order(spark):
     df = spark.createDataFrame(trades, "s string, t string, k int, p double, q double").withColumn("t", F.to_timestamp("t"))
     row = bar_source.bars_from_trades(df, F.col("s"), F.col("t"), F.col("p"), F.col("q"), [F.col("k")]).first()
     assert (row["open"], row["high"], row["low"], row["close"], row["volume"]) == (7.0, 7.0, 5.0, 6.0, 7.0)
+
+
+def test_bars_of_spread_trades_need_one_exchange(spark):
+    trades = [(s, f"2024-01-0{d} 10:00:00", k, float(d * k), 1.0) for s in ("A", "B", None) for d in (1, 2) for k in (1, 2, 2)]
+    df = spark.createDataFrame(trades, "s string, t string, k int, p double, q double").withColumn("t", F.to_timestamp("t"))
+    bars = lambda n: bar_source.bars_from_trades(df, F.col("s"), F.col("t"), F.col("p"), F.col("q"), [F.col("k")], n)
+    spread = features.returns(bars(5))
+    assert spread._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    keys = ("symbol", "date")
+    assert spread.orderBy(*keys).collect() == features.returns(bars(None)).orderBy(*keys).collect()
