@@ -286,3 +286,14 @@ def test_bars_of_spread_trades_need_one_exchange(spark):
     assert spread._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
     keys = ("symbol", "date")
     assert spread.orderBy(*keys).collect() == features.returns(bars(None)).orderBy(*keys).collect()
+
+
+def test_gap_of_stored_models_joins_no_rows(spark, tmp_path):
+    rows = spark.range(400).select(
+        array_to_vector(F.array(F.col("id") % 2 * 1.0, F.lit(1.0))).alias("features"), (F.col("id") % 2 * 3.0).alias("label")
+    )
+    first, again = (sinks.fit_or_load(LinearRegression(regParam=0.1), rows, str(tmp_path)) for _ in range(2))
+    other = sinks.fit_or_load(LinearRegression(regParam=0.5), rows, str(tmp_path))
+    same, apart = models.forecast_gap(first, again, rows), models.forecast_gap(first, other, rows)
+    assert same.first()["gap"] == 0 and apart.first()["gap"] > 0
+    assert "Join" not in same._jdf.queryExecution().executedPlan().toString()
