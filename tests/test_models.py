@@ -297,3 +297,12 @@ def test_gap_of_stored_models_joins_no_rows(spark, tmp_path):
     same, apart = models.forecast_gap(first, again, rows), models.forecast_gap(first, other, rows)
     assert same.first()["gap"] == 0 and apart.first()["gap"] > 0
     assert "Join" not in same._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_missing_values_write_nothing(spark, tmp_path, monkeypatch):
+    trades = [(d % 4, 1, d % 2, 1, 1.0 + d % 3, 10.0 + d, dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for d in range(60)]
+    names = "l_orderkey int, l_partkey int, l_suppkey int, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(trades, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    stored = profile.null_total(profile_queries.panel(spark, str(tmp_path))).first()["n_null"]
+    monkeypatch.setattr(panels, "materialise", lambda df: pytest.fail("written"))
+    assert profile_queries.null_total(spark, str(tmp_path)).first()["n_null"] == stored > 0
