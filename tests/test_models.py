@@ -306,3 +306,4 @@ def test_counts_of_missing_values_write_nothing(spark, tmp_path, monkeypatch):
     stored = profile.null_total(profile_queries.panel(spark, str(tmp_path))).first()["n_null"]
     monkeypatch.setattr(panels, "materialise", lambda df: pytest.fail("written"))
     assert profile_queries.null_total(spark, str(tmp_path)).first()["n_null"] == stored > 0
+    assert profile_queries.missing_ratios(spark, str(tmp_path)).count() == len(profile_queries.COLUMNS)
