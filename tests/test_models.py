@@ -307,3 +307,11 @@ def test_counts_of_missing_values_write_nothing(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(panels, "materialise", lambda df: pytest.fail("written"))
     assert profile_queries.null_total(spark, str(tmp_path)).first()["n_null"] == stored > 0
     assert profile_queries.missing_ratios(spark, str(tmp_path)).count() == len(profile_queries.COLUMNS)
+
+
+def test_missing_share_is_counted_not_averaged(spark):
+    rows = spark.createDataFrame([(1.0, None), (float("nan"), 2), (None, None)], "a double, b int")
+    found = profile.missing_filter(rows, ["a", "b"], 0.5)
+    assert {r["feature"]: (r["missing_ratio"], r["kept"]) for r in found.collect()} == {"a": (1 / 3, True), "b": (2 / 3, False)}
+    assert "avg(" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["missing_ratio"] for r in profile.missing_filter(rows.where("a > 5 and b > 5"), ["a"]).collect()] == [None]
