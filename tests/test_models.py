@@ -15,7 +15,7 @@ from barline.operators.profile import Standardizer, moments
 from barline.plans import trials
 from barline.sources import bars as bar_source
 from barline.sources import sinks
-from checks import panels, profile_queries
+from checks import model_queries, panels, profile_queries
 
 COLUMNS = ["a", "b", "c"]
 LABEL = "next_5day_return"
@@ -315,3 +315,18 @@ def test_missing_share_is_counted_not_averaged(spark):
     assert {r["feature"]: (r["missing_ratio"], r["kept"]) for r in found.collect()} == {"a": (1 / 3, True), "b": (2 / 3, False)}
     assert "avg(" not in found._jdf.queryExecution().executedPlan().toString()
     assert [r["missing_ratio"] for r in profile.missing_filter(rows.where("a > 5 and b > 5"), ["a"]).collect()] == [None]
+
+
+def test_lean_table_is_made_once_for_split_folds_and_rows(spark, tmp_path, monkeypatch):
+    trades = [(d, 1, 1 + d % 2, 1, 1.0 + d % 3, 10.0 + d % 7, dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for d in range(300)]
+    names = "l_orderkey int, l_partkey int, l_suppkey int, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(trades, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    made = []
+    table = model_queries.features.lean_feature_table
+    monkeypatch.setattr(model_queries.features, "lean_feature_table", lambda df: made.append(table(df)) or made[-1])
+    found = model_queries.lean(spark, str(tmp_path))
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    costly = [n for n in ("MapInArrow", "MapInPandas", "ArrowEvalPython", "Window", "Generate") if n in plan(made[0])]
+    assert costly and not any(n in plan(found) for n in costly) and len(made) == 1
+    rows = found.groupBy("split").agg(F.count("fold").alias("folds"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r["split"] for r in rows} == {"train", "val", "test"} and all(r["folds"] == (r["n"] if r["split"] == "train" else 0) for r in rows)
