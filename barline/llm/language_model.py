@@ -18,21 +18,24 @@ import io
 import zlib
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import crc_fold, id_text, slices, stage, texts_in
+from barline.llm.common import crc_fold, id_text, slices, stage
 
 FOLDS, HELD_OUT = 7, 2
 CLASSES, PER_CLASS = 32, 64
 TAILS = 64
 HEAD = CLASSES * PER_CLASS
 TABLE = 262_144  # words whose counts every task holds; the counts of rarer words come from a join
+MOST_BYTES = 1 << 22  # of text that a task has as words at a time
 MOST_WORDS = 400_000  # words a task counts before it hands them on
 WIDTH = 16  # of the embedding and of the state
 LANES, STEPS = 512, 16  # texts side by side and steps back in time while training
@@ -42,9 +45,29 @@ PUNCTUATION = b".,;:!?\"')(|"
 F32 = np.float32
 
 
-def tokens(text: str) -> list[bytes]:
-    """Words with A-Z lower-cased, parted by ASCII white space; the end token is not among them."""
-    return text.encode("utf-8", "surrogatepass").lower().split()
+def bounded(batch: pa.RecordBatch, column: str = "text", most: int = MOST_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with about ``most`` bytes of text, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, with A-Z lower-cased, parted by ASCII white space, and how many each text has.
+
+    The end token is not among them; a null is the empty text.
+    """
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0)  # white space at either end leaves an empty string
+    owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    return words.filter(full), np.bincount(owner[full.to_numpy(zero_copy_only=False)], minlength=len(lists))
+
+
+def as_bytes(words: pa.Array) -> list[bytes]:
+    return words.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()  # much faster than to_pylist
 
 
 def tail_class(word: bytes) -> int:
@@ -68,9 +91,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     counts: Counter = Counter()
     for batch in batches:
-        for text in texts_in(batch):
-            counts.update(tokens(text))
-            counts[END] += 1
+        for part in bounded(batch):
+            found = words_of(part.column("text"))[0].value_counts()
+            counts.update(dict(zip(as_bytes(found.field("values")), found.field("counts").to_numpy().tolist())))
+            counts[END] += part.num_rows
             if len(counts) > MOST_WORDS:
                 yield from flush(counts)
     yield from flush(counts)
@@ -125,16 +149,48 @@ class Vocabulary:
         self.class_bias = (self.class_bias - np.log(np.exp(self.class_bias).sum())).astype(F32)
         self.log_tail = np.log10(mass)
 
-    def read(self, text: str) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Ids of the words and the end, the row of each in the table (-1 for none), and the words without a row."""
-        words = tokens(text)
-        words.append(END)
-        rows = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+    def read(self, texts: pa.Array) -> "Read":
+        """The texts in ids; a word is looked up once, however often they hold it."""
+        words, counts = words_of(texts)
+        coded = words.dictionary_encode()
+        distinct = [*as_bytes(coded.dictionary), END]
+        rows = np.fromiter(map(self.index.get, distinct, repeat(-1)), np.int32, len(distinct))
         ids = self.ids[rows] if len(self.ids) else np.zeros(len(rows), np.int32)
         missing = np.flatnonzero(rows < 0)
-        rare = [words[n] for n in missing.tolist()]
-        ids[missing] = [HEAD + tail_class(w) for w in rare]
-        return ids, rows, rare
+        ids[missing] = [HEAD + tail_class(distinct[n]) for n in missing.tolist()]
+        sizes = counts + 1
+        codes = np.full(int(sizes.sum()), len(distinct) - 1, np.int64)
+        inside = np.ones(len(codes), bool)
+        inside[np.cumsum(sizes) - 1] = False
+        codes[inside] = coded.indices.to_numpy()
+        return Read(distinct, rows, ids, codes, sizes)
+
+
+@dataclass
+class Read:
+    """Texts as codes of their distinct words, each text closed by the end."""
+
+    distinct: list[bytes]
+    rows: np.ndarray  # of the distinct words in the vocabulary's table, -1 for none
+    ids: np.ndarray  # of the distinct words
+    codes: np.ndarray  # of the words of all texts, one text behind the other
+    sizes: np.ndarray  # tokens of each text
+
+    def texts(self) -> list[np.ndarray]:
+        """The ids of each text."""
+        return np.split(self.ids[self.codes], np.cumsum(self.sizes)[:-1]) if len(self.sizes) else []
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Per text, the sum of a value of its tokens."""
+        return np.bincount(np.repeat(np.arange(len(self.sizes)), self.sizes), values[self.codes], len(self.sizes))
+
+    def rare(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """Words without a row in the table: each once for every text that holds it, how often, and where a text's words begin and end."""
+        far = np.flatnonzero(self.rows[self.codes] < 0)
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)[far]
+        pairs, times = np.unique(owner * len(self.distinct) + self.codes[far], return_counts=True)
+        cuts = np.searchsorted(pairs, np.arange(len(self.sizes) + 1) * len(self.distinct))
+        return [self.distinct[n] for n in (pairs % len(self.distinct)).tolist()], times, cuts
 
 
 # ---- the network --------------------------------------------------------------------------------------
@@ -176,7 +232,7 @@ def _exponentials(state: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> t
 
 def _by_class(ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Places of the words of each class."""
-    order = np.argsort(ids, kind="stable")
+    order = np.argsort(ids.astype(np.uint16), kind="stable")  # numbers of 16 bits are sorted by digits
     order = order[: np.searchsorted(ids[order], HEAD)]
     classes = ids[order] // PER_CLASS
     cuts = np.flatnonzero(np.diff(classes)) + 1
@@ -246,7 +302,9 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, fresh: np.
     g["wh"] = before.reshape(-1, WIDTH).T @ d_hidden.reshape(-1, 3 * WIDTH)
     wide = d_projected.reshape(-1, 3 * WIDTH)
     g["wx"], g["b"] = embedded.reshape(-1, WIDTH).T @ wide, wide.sum(0)
-    np.add.at(g["embed"], x.reshape(-1), wide @ p["wx"].T)
+    order = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
+    used, begin = np.unique(x.reshape(-1)[order], return_index=True)
+    g["embed"][used] = np.add.reduceat((wide @ p["wx"].T)[order], begin, axis=0)
     return loss / n, g, h
 
 
@@ -323,13 +381,13 @@ def train(rows: DataFrame, vocabulary, p: dict[str, np.ndarray], rate: float, fa
         trainer = Trainer({k: v.copy() for k, v in start.value.items()}, rate)
         held, size = [], 0
         for batch in batches:
-            for text in texts_in(batch):
-                ids = words.read(text)[0]
-                held.append(ids)
-                size += len(ids)
-                if size >= LANES * 512:
-                    trainer.learn(np.concatenate(held), end)
-                    held, size = [], 0
+            for part in bounded(batch):
+                for ids in words.read(part.column("text")).texts():
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= LANES * 512:
+                        trainer.learn(np.concatenate(held), end)
+                        held, size = [], 0
         if held:
             trainer.learn(np.concatenate(held), end)
         if trainer.seen:
@@ -424,33 +482,24 @@ def score(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
         start = int(known.ids[known.index[END]]) if END in known.index else HEAD + tail_class(END)
         base = TaskContext.get().partitionId() << 40
         for whole in batches:
-            for batch in slices(whole, 4096):
-                ids, logs, tails, sizes, there = [], [], [], [], []
-                rare, times, cuts = [], [], [0]
-                for text in texts_in(batch):
-                    own, rows, missing = known.read(text)
-                    ids.append(own)
-                    seen = rows[rows >= 0]
-                    far = own >= HEAD
-                    sizes.append(len(own))
-                    there.append(len(seen))
-                    logs.append(float(known.log_count[seen].sum()))
-                    # A tail word has its share of the class: count + 1 over the mass; rare counts come later.
-                    tails.append(float(known.log_count[rows[far & (rows >= 0)]].sum()) - float(known.log_tail[own[far] - HEAD].sum()))
-                    own_rare = Counter(missing)
-                    rare += own_rare
-                    times += own_rare.values()
-                    cuts.append(len(rare))
-                found = document_scores(network, ids, start) / np.log(10) + np.array(tails)
+            for batch in bounded(whole):
+                read = known.read(batch.column("text"))
+                there, far = read.rows >= 0, read.ids >= HEAD
+                log_count = np.where(there, known.log_count[read.rows], 0.0) if len(known.log_count) else np.zeros(len(there))
+                # A tail word has its share of the class: count + 1 over the mass; rare counts come later.
+                tail = np.where(far, log_count - known.log_tail[np.where(far, read.ids - HEAD, 0)], 0.0)
+                rare, times, cuts = read.rare()
+                found = document_scores(network, read.texts(), start) / np.log(10) + read.sums(tail)
                 entries = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], ["word", "n"])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(base + n, base + n + len(ids))), batch.column("doc_id"), batch.column("held_out"), pa.array(sizes, pa.int64()),
-                        pa.array(there, pa.int64()), pa.array(logs, pa.float64()), pa.array(found, pa.float64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), entries),
+                        pa.array(np.arange(base + n, base + n + batch.num_rows)), batch.column("doc_id"), batch.column("held_out"), pa.array(read.sizes, pa.int64()),
+                        pa.array(read.sums(there.astype(float)).astype(np.int64)), pa.array(read.sums(log_count)), pa.array(found, pa.float64()),
+                        pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), entries),
                     ],
                     ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "model", "rare"],
                 )
-                n += len(ids)
+                n += batch.num_rows
 
     scored = stage(source.select("doc_id", "held_out", "text").mapInArrow(run, _SCORED.format(id=kind)), "scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", F.col("r.n").alias("times"))

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,6 +292,31 @@ def test_state_is_carried_over_windows():
         assert got == pytest.approx(total, rel=1e-4)
 
 
+def test_language_model_reads_a_word_once_however_often_it_occurs(monkeypatch):
+    lm = language_model
+    texts = [" A a\tB\x0bzz É\x1cé ", None, "", "zz b zz \x0c", "a " * 1000]
+    slow = [(t or "").encode().lower().split() + [lm.END] for t in texts]
+    words = [lm.END, b"a", b"b"]
+    known = lm.Vocabulary(words, [3, 5, 4], np.full(lm.TAILS, 20), 12, 3)
+    looked = []
+    monkeypatch.setattr(lm, "tail_class", lambda w, real=lm.tail_class: looked.append(w) or real(w))
+    got = known.read(pa.array(texts))
+    assert sorted(looked) == sorted({w for own in slow for w in own} - set(words))
+    assert got.sizes.tolist() == [len(own) for own in slow]
+    ids = [[int(known.ids[words.index(w)]) if w in words else lm.HEAD + lm.tail_class(w) for w in own] for own in slow]
+    assert [t.tolist() for t in got.texts()] == ids
+    rare, times, cuts = got.rare()
+    found = [dict(zip(rare[a:b], times[a:b].tolist())) for a, b in zip(cuts, cuts[1:])]
+    assert found == [{w: own.count(w) for w in own if w not in words} for own in slow]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    counts = {r["word"]: r["n"] for b in lm._count(iter([batch])) for r in b.to_pylist()}
+    assert counts == {w: sum(own.count(w) for own in slow) for own in slow for w in own}
+    parts = list(lm.bounded(batch, most=4))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == texts and len(parts) > 2
+    none = known.read(pa.array([], pa.string()))
+    assert none.texts() == [] and none.rare()[0] == []
+
+
 def test_language_model_odd_rows(spark):
     got = language_model.score(odd(spark)).collect()
     assert len(got) == len(ODD) and all(r["score"] < 0 for r in got)
