@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.functions.windows import SERIES, series
 from barline.operators.blocks import Blocks
@@ -92,20 +93,27 @@ def _partials(k: int, length: int):
 
 
 def sequence_moments(
-    df: DataFrame, columns: Sequence[str], length: int = 20, label: str = LABEL, by: Sequence[str] = SERIES, block_rows: int = 4096, grain: str = "month"
+    df: DataFrame, columns: Sequence[str], length: int = 20, label: str = LABEL, by: Sequence[str] = SERIES, block_rows: int = 4096, grain: str = "month",
+    in_order: bool = False,
 ) -> Moments | None:
     """Moments of the last ``length`` rows of ``columns`` side by side, oldest first, and of the label; None without a window.
 
     Each row passes once, with k values, and ``length - 1`` rows of every ``block_rows`` twice; a long series is spread over
     tasks by its blocks. Windows with a missing feature or label are left out. The columns have to be scaled: their
     products are centred after they are summed. ``length * k`` numbers squared come from each task.
+
+    ``in_order`` states that the rows of a series lie one behind the other by date, as in a feature table: they are then
+    neither numbered nor exchanged, and no more of a series than a batch is held.
     """
     columns = list(columns)
     importable(df.sparkSession)
     needed = df.select(*by, "date", *[F.col(c).cast("double").alias(c) for c in columns], F.col(label).cast("double").alias(label))
-    rows = Blocks(needed, block_rows, by, grain=grain).copied(length - 1, 0)
-    rows = rows.select(F.xxhash64(*by, "_block").alias("_group"), F.col("_pos").cast("bigint").alias("_pos"), *columns, label)
-    rows = rows.repartition("_group").sortWithinPartitions("_group", "_pos")
+    if in_order:
+        rows = needed.select(F.xxhash64(*by).alias("_group"), F.monotonically_increasing_id().alias("_pos"), *columns, label)
+    else:
+        rows = Blocks(needed, block_rows, by, grain=grain).copied(length - 1, 0)
+        rows = rows.select(F.xxhash64(*by, "_block").alias("_group"), F.col("_pos").cast("bigint").alias("_pos"), *columns, label)
+        rows = rows.repartition("_group").sortWithinPartitions("_group", "_pos")
     found = collected(rows.mapInArrow(_partials(len(columns), length), SCHEMA)).get(0)
     return found and moments_from([f"{c}_{length - 1 - j}" for j in range(length) for c in columns] + [label], found)
 
@@ -115,14 +123,56 @@ def sequence_ridge(found: Moments, alpha: float) -> tuple[np.ndarray, float]:
     return ridge_solution(found, alpha)
 
 
+def _added_up(places: np.ndarray, intercept: float):
+    """Sums of the rows of a run times the weights of their places; a run is a group without a gap in it."""
+    length, k = places.shape
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, dots, whole = None, np.zeros((0, length)), np.zeros(0, bool)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups, inputs = batch.column(0).to_numpy(), batch.columns[1 : k + 1]
+            known = np.logical_and.reduce([c.is_valid().to_numpy(zero_copy_only=False) for c in inputs])
+            with np.errstate(all="ignore"):
+                new = np.column_stack([c.to_numpy(zero_copy_only=False) for c in inputs]).astype(float) @ places.T
+            cuts = np.flatnonzero(np.append(groups[0] != group, np.diff(groups) != 0))
+            yhat, full = np.zeros(len(groups)), np.zeros(len(groups), bool)
+            for start, end in zip(np.unique(np.append(0, cuts)), np.append(cuts[cuts > 0], len(groups))):
+                if start in cuts:
+                    dots, whole = np.zeros((0, length)), np.zeros(0, bool)
+                dots, whole = np.concatenate([dots, new[start:end]]), np.concatenate([whole, known[start:end]])
+                n = len(dots) - length + 1
+                if n > 0:  # the last n rows have a sequence
+                    upto = np.cumsum(np.append(0, ~whole))
+                    full[end - n : end] = upto[length:] == upto[: n]
+                    for j in range(length):
+                        yhat[end - n : end] += dots[j : j + n, j]
+                keep = min(len(dots), length - 1)
+                dots, whole = dots[len(dots) - keep :], whole[len(whole) - keep :]
+            group = groups[-1]
+            columns = [*batch.columns[k + 1 :], pa.array(yhat + intercept)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[k + 1 :], "yhat"]).filter(pa.array(full))
+
+    return run
+
+
 def sequence_forecasts(
-    df: DataFrame, columns: Sequence[str], weights: np.ndarray, intercept: float, name: str, label: str = LABEL, by: Sequence[str] = SERIES
+    df: DataFrame, columns: Sequence[str], weights: np.ndarray, intercept: float, name: str, label: str = LABEL, by: Sequence[str] = SERIES,
+    in_order: bool = False,
 ) -> DataFrame:
     """Forecasts in the layout of the predictions table, for rows whose sequence lies in their split and has no missing value.
 
-    A row is multiplied with the weights of each place once; the window adds up these ``length`` numbers.
+    A row is multiplied with the weights of each place once; the window adds up these ``length`` numbers. ``in_order``
+    states that the rows of a series lie one behind the other by date, as in a feature table; nothing is exchanged then.
     """
     columns, places = list(columns), np.asarray(weights).reshape(-1, len(columns))
+    if in_order:
+        importable(df.sparkSession)
+        kept = df.select(F.lit(name).alias("model"), "split", *by, "date", F.col(label).cast("double").alias("y"))
+        inputs = [F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate(columns)]
+        rows = df.select(F.xxhash64(*by, "split").alias("_group"), *inputs, F.lit(name).alias("model"), "split", *by, "date", F.col(label).cast("double").alias("y"))
+        return rows.mapInArrow(_added_up(places, intercept), T.StructType([*kept.schema.fields, T.StructField("yhat", T.DoubleType())]))
     known = [F.col(c).cast("double") for c in columns]
     dots = F.array(*[sum((x * F.lit(float(w)) for x, w in zip(known[1:], place[1:])), known[0] * F.lit(float(place[0]))) for place in places])
     w, last = series((*by, "split")), len(places) - 1

@@ -341,9 +341,9 @@ def lagged_ridge_scores(spark, sf):
     """Test scores of the ridge regression on sequences of 20 rows of the lean features, without writing the sequences."""
     df = lean(spark, sf)
     columns = features.feature_columns(df, features.LEAN_DROPPED)
-    scaled = materialise(Standardizer(columns).fit(models.part(df, "train")).transform(df))
-    found = lagged.sequence_moments(models.part(scaled, "train"), columns, 20)
-    return scored(lagged.sequence_forecasts(test_rows(scaled), columns, *lagged.sequence_ridge(found, 100.0), "LaggedRidge"))
+    scaled = Standardizer(columns).fit(models.part(df, "train")).transform(df)  # in the order of the lean table
+    found = lagged.sequence_moments(models.part(scaled, "train"), columns, 20, in_order=True)
+    return scored(lagged.sequence_forecasts(test_rows(scaled), columns, *lagged.sequence_ridge(found, 100.0), "LaggedRidge", in_order=True))
 
 
 @query()

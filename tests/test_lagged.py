@@ -1,5 +1,7 @@
 """Regression on sequences against the sequences written out."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,3 +63,32 @@ def test_weights_equal_the_fit_on_sequence_rows(spark):
     want = {(r["symbol"], r["date"]): r["yhat"] for r in models.predict(fitted, rows, "m").collect()}
     got = {(r["symbol"], r["date"]): r["yhat"] for r in lagged.sequence_forecasts(scaled, ["a", "b"], weights, intercept, "m", "y").collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-8) for k in want)
+
+
+def test_rows_in_order_need_no_exchange(spark):
+    """Moments and forecasts of rows that lie series by series equal those of numbered and spread rows."""
+    rng = np.random.default_rng(4)
+    data = []
+    for s, n in (("A", 40), ("B", 3), ("C", 25)):
+        for i in range(n):
+            part = "train" if i < n * 0.7 else "test"
+            a = None if s == "C" and i == 20 else float(rng.normal())
+            data.append((s, dt.date(2024, 1, 1) + dt.timedelta(days=i), part, a, float(rng.normal()), None if i == 9 else float(rng.normal())))
+    df = spark.createDataFrame(data, f"symbol string, date date, split string, a double, b double, {lagged.LABEL} double").coalesce(1)
+    df = df.sortWithinPartitions("symbol", "date")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        train = df.where("split = 'train'")
+        found, want = (lagged.sequence_moments(train, ["a", "b"], 4, in_order=x) for x in (True, False))
+        assert found.n == want.n and found.columns == want.columns
+        np.testing.assert_allclose(found.corr, want.corr, atol=1e-12)
+        np.testing.assert_allclose(found.mean, want.mean, atol=1e-12)
+        fitted = lagged.sequence_ridge(want, 0.5)
+        mine, theirs = (lagged.sequence_forecasts(df, ["a", "b"], *fitted, "M", in_order=x) for x in (True, False))
+        assert mine.columns == theirs.columns and "Exchange" not in mine._jdf.queryExecution().executedPlan().toString()
+        key = ["symbol", "date"]
+        left, right = (x.toPandas().sort_values(key).reset_index(drop=True) for x in (mine, theirs))
+        assert len(left) == len(right) > 20 and (left[["model", "split", *key]] == right[["model", "split", *key]]).all(axis=None)
+        np.testing.assert_allclose(left[["y", "yhat"]].astype(float), right[["y", "yhat"]].astype(float), atol=1e-12)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
