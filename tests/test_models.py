@@ -330,3 +330,20 @@ def test_lean_table_is_made_once_for_split_folds_and_rows(spark, tmp_path, monke
     assert costly and not any(n in plan(found) for n in costly) and len(made) == 1
     rows = found.groupBy("split").agg(F.count("fold").alias("folds"), F.count(F.lit(1)).alias("n")).collect()
     assert {r["split"] for r in rows} == {"train", "val", "test"} and all(r["folds"] == (r["n"] if r["split"] == "train" else 0) for r in rows)
+
+
+def test_model_rows_are_written_once_without_derived_columns(spark, tmp_path, monkeypatch):
+    trades = [(d, 1, 1 + d % 2, 1, 1.0 + d % 3, 10.0 + d % 7, dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for d in range(300)]
+    names = "l_orderkey int, l_partkey int, l_suppkey int, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
+    spark.createDataFrame(trades, names).write.parquet(f"{tmp_path}/lineitem.parquet")
+    written, own = [], model_queries.materialise
+    monkeypatch.setattr(model_queries, "materialise", lambda df: written.append(df.columns) or own(df))
+    rows, columns, *_ = model_queries.model_rows(spark, str(tmp_path))
+    wide = [w for w in written if "sma_50" in w or "features" in w]
+    derived = {*features.LEAN_DERIVED, *features.LEAN_DROPPED}
+    assert len(wide) == 1 and not derived & set(wide[0]) and set(features.LEAN_DERIVED) < set(columns)
+    whole = features.lean_feature_table(panels.stored_indicators(spark, str(tmp_path)))
+    assert columns == features.feature_columns(whole, features.LEAN_DROPPED)
+    means = whole.agg(*[F.avg(c) for c in columns]).first()
+    stored = model_queries.lean(spark, str(tmp_path)).agg(*[F.avg(c) for c in columns]).first()
+    assert rows.count() == whole.count() and tuple(stored) == pytest.approx(tuple(means))
