@@ -332,6 +332,28 @@ def test_lean_table_is_made_once_for_split_folds_and_rows(spark, tmp_path, monke
     assert {r["split"] for r in rows} == {"train", "val", "test"} and all(r["folds"] == (r["n"] if r["split"] == "train" else 0) for r in rows)
 
 
+def test_a_tree_cut_equals_a_fit_of_that_depth(rows, monkeypatch):
+    """Every depth is scored as a search that fits it does, from one fit a fold and one of the best depth."""
+    train, estimator = models.part(rows, "train"), DecisionTreeRegressor(minInstancesPerNode=3, seed=5)
+    deep = estimator.copy({estimator.maxDepth: 5}).fit(train)
+    for depth in (0, 1, 3):
+        own = estimator.copy({estimator.maxDepth: depth}).fit(train)
+        assert models.cut_tree(deep, depth).toDebugString.splitlines()[1:] == own.toDebugString.splitlines()[1:]
+    grid = {"maxDepth": [1, 2, 4]}
+    builder = models.ParamGridBuilder().addGrid(estimator.maxDepth, grid["maxDepth"])
+    want = models.CrossValidator(
+        estimator=estimator, estimatorParamMaps=builder.build(), evaluator=models.RegressionEvaluator(metricName="r2"), numFolds=3, foldCol="fold"
+    ).fit(train)
+    fits = []
+    fit = DecisionTreeRegressor.fit
+    monkeypatch.setattr(DecisionTreeRegressor, "fit", lambda self, df, *a: fits.append(self.getMaxDepth()) or fit(self, df, *a))
+    found = models.grid_search(estimator, grid, train)
+    np.testing.assert_allclose(found.avgMetrics, want.avgMetrics, atol=1e-9)
+    np.testing.assert_allclose(found.stdMetrics, want.stdMetrics, atol=1e-9)
+    assert found.bestModel.toDebugString.splitlines()[1:] == want.bestModel.toDebugString.splitlines()[1:]
+    assert fits == [4, 4, 4, grid["maxDepth"][int(np.argmax(want.avgMetrics))]]
+
+
 def test_model_rows_are_written_once_without_derived_columns(spark, tmp_path, monkeypatch):
     trades = [(d, 1, 1 + d % 2, 1, 1.0 + d % 3, 10.0 + d % 7, dt.datetime(2024, 1, 1) + dt.timedelta(days=d)) for d in range(300)]
     names = "l_orderkey int, l_partkey int, l_suppkey int, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp"
